@@ -154,15 +154,27 @@ def incident_id(alert_hash_col: Column) -> Column:
     return F.concat(F.lit("inc_"), F.substring(alert_hash_col, 1, 12))
 
 
+STRICT_JSON = {"allowSingleQuotes": "false"}
+
+
 def json_kind(line: Column) -> Column:
-    """``object``, ``other`` or null (not JSON) for a line of text."""
-    parsed = F.try_parse_json(F.trim(line))
-    kind = F.schema_of_variant(parsed)
-    return F.when(parsed.isNull(), F.lit(None)).otherwise(
-        F.when(kind.startswith("OBJECT"), F.lit("object")).otherwise(F.lit("other"))
-    )
+    """``object``, ``other`` or null (not JSON) for a line of text.
+
+    Spark's parsers stop after the first value and let anything follow it. Put
+    inside an array and inside an object, a line parses in both only when it
+    is exactly one value.
+    """
+    text = F.trim(line)
+    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT_JSON)
+    in_object = F.from_json(
+        F.concat(F.lit('{"w":'), text, F.lit("}")), "struct<w:string>", STRICT_JSON
+    )["w"]
+    valid = in_array.isNotNull() & (in_object.isNotNull() | (text == "null"))
+    return F.when(valid & (text != ""), F.when(text.startswith("{"), "object").otherwise("other"))
 
 
 def json_field(line: Column, path: str, kind: str = "string") -> Column:
     """A field of a JSON line, null on bad JSON or an absent path."""
-    return F.try_variant_get(F.try_parse_json(F.trim(line)), f"$.{path}", kind)
+    text = F.trim(line)
+    value = F.try_variant_get(F.try_parse_json(text), f"$.{path}", kind)
+    return F.when(json_kind(text).isNotNull(), value)
