@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from flowloom.functions.cleaning import name, number_or_zero, parse_double
-from flowloom.functions.text import is_suspicious_uri
+from flowloom.functions.text import is_suspicious_uri, let
 from flowloom.settings import PACKET_FEATURES, Settings
 
 # --- fixed values: weights, cuts and texts of the published scoring ---
@@ -244,13 +246,18 @@ def reconstruction_ratio(mse: Column, threshold: Column | float) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda z: F.exp(z - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(exps, lambda e: e / total)
+    def shifted(z: Column) -> Column:
+        top = F.array_max(z)
+        return let(top, lambda t: F.transform(z, lambda v: F.exp(v - t)))
+
+    def shares(exps: Column) -> Column:
+        total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
+        return let(total, lambda t: F.transform(exps, lambda e: e / t))
+
+    return let(let(logits, shifted), shares)
 
 
-def attack_probability(probabilities: Column, classes: list[str]) -> Column:
+def attack_probability(probabilities: Column, classes: Sequence[str]) -> Column:
     """1 − P(BENIGN), or the largest probability when no class is BENIGN."""
     for i, label in enumerate(classes):
         if str(label).upper() == "BENIGN":

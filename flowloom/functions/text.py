@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # --- fixed values: markers of the published rules ---
@@ -15,6 +17,15 @@ METHOD_NAMES = ("method", "http_method", "request_method")
 # --- end of fixed values ---
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    An expression used inside a lambda is otherwise computed again for every
+    element the lambda visits.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def first_uri_column(columns: list[str]) -> str | None:
     for c in columns:
         if any(part in c.lower() for part in URI_NAME_PARTS):
@@ -90,30 +101,36 @@ def dns_digit_ratio(name: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy over the characters of a string, in bits."""
-    s = or_empty(text)
-    total = F.length(s).cast("double")
 
-    def step(acc: Column, ch: Column) -> Column:
-        p = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))) / total
-        return acc - p * F.log2(p)
+    def of(s: Column) -> Column:
+        total = F.length(s).cast("double")
 
-    summed = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), step)
-    return F.when(s == "", F.lit(0.0)).otherwise(summed + F.lit(0.0))
+        def step(acc: Column, ch: Column) -> Column:
+            p = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))) / total
+            return acc - p * F.log2(p)
+
+        summed = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), step)
+        return F.when(s == "", F.lit(0.0)).otherwise(summed + F.lit(0.0))
+
+    return let(or_empty(text), of)
 
 
 def byte_entropy(data: Column) -> Column:
     """Entropy over bytes with the 1e-12 smoothing inside the logarithm."""
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    total = F.size(pairs).cast("double")
 
-    def step(acc: Column, pair: Column) -> Column:
-        p = F.size(F.filter(pairs, lambda x: x == pair)) / total
-        return acc - p * F.log2(p + F.lit(1e-12))
+    def of(pairs: Column) -> Column:
+        total = F.size(pairs).cast("double")
 
-    summed = F.aggregate(F.array_distinct(pairs), F.lit(0.0), step)
-    return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, F.lit(0.0)).otherwise(
-        summed + F.lit(0.0)
-    )
+        def step(acc: Column, pair: Column) -> Column:
+            p = F.size(F.filter(pairs, lambda x: x == pair)) / total
+            return acc - p * F.log2(p + F.lit(1e-12))
+
+        summed = F.aggregate(F.array_distinct(pairs), F.lit(0.0), step)
+        return F.when(F.coalesce(F.size(pairs), F.lit(0)) <= 0, F.lit(0.0)).otherwise(
+            summed + F.lit(0.0)
+        )
+
+    return let(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), of)
 
 
 def http_line(payload: Column) -> Column:

@@ -1,0 +1,86 @@
+"""Retention of a growing flow buffer: keep the newest rows, archive the rest."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from flowloom.operators.skew import running_totals
+
+MIB = 1024 * 1024
+
+
+def csv_bytes(columns: list[str]) -> Column:
+    """Bytes of a row as a CSV line with its line end."""
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    return F.octet_length(F.concat_ws(",", *values)) + 1
+
+
+def header_line_bytes(columns: list[str]) -> int:
+    return len(",".join(columns).encode()) + 1
+
+
+def buffer_sizes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row: rows, bytes of all of them with the header, longest row."""
+    columns = columns or df.columns
+    b = csv_bytes(columns)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.coalesce(F.sum(b), F.lit(0)) + header_line_bytes(columns)).alias("total_bytes"),
+        F.coalesce(F.max(b), F.lit(0)).alias("longest_row"),
+    )
+
+
+def mark_tail(
+    df: DataFrame,
+    keep_rows: int = 0,
+    keep_bytes: int = 0,
+    order: str = "row_id",
+    columns: list[str] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """Rows with ``kept``: the longest newest tail within both limits (0: no limit).
+
+    The newest row always stays. The byte limit counts the header line.
+    """
+    if keep_rows <= 0 and keep_bytes <= 0:
+        return df.withColumn("kept", F.lit(True))
+    columns = columns or df.columns
+    sized = df.withColumns({"_bytes": csv_bytes(columns).cast("long"), "_one": F.lit(1)})
+    summed = running_totals(
+        sized, [f"-{order}"], {"_upto": "_bytes", "_rank": "_one"}, limit
+    )
+    fits = F.lit(True)
+    if keep_rows > 0:
+        fits = fits & (F.col("_rank") <= keep_rows)
+    if keep_bytes > 0:
+        fits = fits & (F.col("_upto") + header_line_bytes(columns) <= keep_bytes)
+    return summed.withColumn("kept", fits | (F.col("_rank") == 1)).drop(
+        "_bytes", "_one", "_upto", "_rank"
+    )
+
+
+def retention_plan(
+    df: DataFrame,
+    keep_rows: int = 0,
+    keep_bytes: int = 0,
+    order: str = "row_id",
+    columns: list[str] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """One row: rows kept and archived, and whether the byte goal is out of reach."""
+    columns = columns or df.columns
+    marked = mark_tail(df, keep_rows, keep_bytes, order, columns, limit)
+    longest = F.max(csv_bytes(columns)) + header_line_bytes(columns)
+    return marked.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("kept").alias("tail_keep"),
+        F.count_if(~F.col("kept")).alias("archived"),
+        (F.count_if(~F.col("kept")) > 0).alias("needs_action"),
+        (F.lit(keep_bytes > 0) & (longest > keep_bytes)).alias("goal_unreachable"),
+    )
+
+
+def apply_retention(marked: DataFrame, keep_path: str, archive_path: str) -> None:
+    """Two writes: the kept tail, and the retired rows added to the archive."""
+    marked.filter("kept").drop("kept").write.mode("overwrite").parquet(keep_path)
+    marked.filter(~F.col("kept")).drop("kept").write.mode("append").parquet(archive_path)

@@ -141,31 +141,32 @@ def row_positions(
     return plain.unionByName(ranked) if keys else ranked
 
 
-def running_total(
-    df: DataFrame, order: Order, value: str, out: str, limit: int | None = None
+def running_totals(
+    df: DataFrame, order: Order, outputs: dict[str, str], limit: int | None = None
 ) -> DataFrame:
-    """Running sum of ``value`` over all rows in the given order."""
+    """Running sums (output name to value column) over all rows in order."""
     limit = limit or GROUP_LIMIT
     split = split_hot(df, [], limit)
     upto = (Window.unboundedPreceding, Window.currentRow)
     if split.hot is None:
-        return df.withColumn(
-            out, F.sum(value).over(Window.orderBy(*sort_columns(order)).rowsBetween(*upto))
-        )
+        whole = Window.orderBy(*sort_columns(order)).rowsBetween(*upto)
+        return df.withColumns({n: F.sum(v).over(whole) for n, v in outputs.items()})
     rows = _slices(split.hot, [], order, split.hot_rows, limit)
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("_slice")
-        .agg(F.sum(value).alias("_v"))
-        .withColumn("_before", F.coalesce(F.sum("_v").over(before), F.lit(0)))
-        .drop("_v")
+    sums = rows.groupBy("_slice").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in outputs.items()])
+    offsets = sums.select(
+        "_slice",
+        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in outputs],
     )
-    inside = F.sum(value).over(Window.partitionBy("_slice").orderBy(*sort_columns(order)).rowsBetween(*upto))
+    inside = (
+        Window.partitionBy("_slice").orderBy(*sort_columns(order)).rowsBetween(*upto)
+    )
+    # one row per slice, at most MAX_SLICES
     return (
-        rows.withColumn("_in", inside)
+        rows.withColumns({n: F.sum(v).over(inside) for n, v in outputs.items()})
         .join(F.broadcast(offsets), "_slice")
-        .withColumn(out, F.col("_before") + F.col("_in"))
-        .drop("_slice", "_in", "_before")
+        .withColumns({n: F.col(f"_b_{n}") + F.col(n) for n in outputs})
+        .drop("_slice", *[f"_b_{n}" for n in outputs])
     )
 
 

@@ -42,8 +42,8 @@ def test_trailing_frame(skewed, keys, limit):
 
 
 def test_running_total(skewed):
-    plain = skew.running_total(skewed, ["-t", "-row_id"], "v", "total")
-    sliced = skew.running_total(skewed, ["-t", "-row_id"], "v", "total", limit=40)
+    plain = skew.running_totals(skewed, ["-t", "-row_id"], {"total": "v", "other": "row_id"})
+    sliced = skew.running_totals(skewed, ["-t", "-row_id"], {"total": "v", "other": "row_id"}, limit=40)
     assert rows(plain) == rows(sliced)
 
 
