@@ -1,0 +1,138 @@
+"""Structured Streaming jobs.
+
+Each job reads new files of a folder, keeps its place in a checkpoint folder
+and writes Parquet. Output written inside ``foreachBatch`` goes to a folder of
+the batch's own number in overwrite mode, so a batch that is run again after a
+failure replaces what it wrote.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from flowloom.functions.cleaning import name
+from flowloom.plans.detect import detect
+from flowloom.settings import Settings
+from flowloom.sources import proxy
+
+WATERMARK = "10 minutes"
+
+
+def _source(
+    spark: SparkSession, path: str, schema: str | None, max_files: int | None = None, form: str = "parquet"
+) -> DataFrame:
+    reader = spark.readStream
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path) if form == "text" else reader.schema(schema).format(form).load(path)
+
+
+def ingest_proxy(
+    spark: SparkSession, source: str, out: str, checkpoint: str, max_files: int | None = None
+) -> StreamingQuery:
+    """Proxy log files to flow rows, each line exactly once."""
+    lines = _source(spark, source, None, max_files, "text")
+    return (
+        proxy.to_flows(proxy.with_outcome(lines))
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(out)
+    )
+
+
+def ingest_outcomes(
+    spark: SparkSession, source: str, out: str, checkpoint: str, max_files: int | None = None
+) -> StreamingQuery:
+    """Outcome counts and quarantined lines per batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        marked = proxy.with_outcome(batch)
+        proxy.outcome_counts(marked).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
+        proxy.quarantine(marked).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+
+    lines = _source(spark, source, None, max_files, "text")
+    return (
+        lines.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def detect_stream(
+    spark: SparkSession,
+    source: str,
+    schema: str,
+    out: str,
+    checkpoint: str,
+    cfg: Settings | None = None,
+    siem: DataFrame | None = None,
+    max_files: int | None = None,
+    refresh: Callable[[int], None] | None = None,
+    refresh_every: int = 1,
+) -> StreamingQuery:
+    """Alerts of each micro-batch, level 1 measured on the batch itself.
+
+    ``refresh`` is called every ``refresh_every`` batches (a model refresh);
+    its failure is reported and detection goes on.
+    """
+    cfg = cfg or Settings()
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        detect(batch, cfg, siem=siem).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if refresh is not None and (batch_id + 1) % max(refresh_every, 1) == 0:
+            try:
+                refresh(batch_id)
+            except Exception as e:
+                print(f"refresh failed, detection goes on: {e}")
+
+    return (
+        _source(spark, source, schema, max_files)
+        .writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def bucket_stream(
+    spark: SparkSession,
+    source: str,
+    schema: str,
+    out: str,
+    checkpoint: str,
+    width: str = "1 minute",
+    lateness: str = WATERMARK,
+    max_files: int | None = None,
+) -> StreamingQuery:
+    """Bucket sums in event time; a bucket is written once it can no longer change."""
+    flows = _source(spark, source, schema, max_files)
+    sums: list[Column] = [
+        F.sum(name("Flow Packets/s")).alias("packets_per_s"),
+        F.sum(name("SYN Flag Count")).alias("syn"),
+        F.count(F.lit(1)).alias("flows"),
+    ]
+    return (
+        flows.withWatermark("Timestamp", lateness)
+        .groupBy(F.window("Timestamp", width).alias("w"))
+        .agg(*sums)
+        .select(F.unix_micros("w.start").alias("bucket"), "packets_per_s", "syn", "flows")
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(out)
+    )
+
+
+def replay(
+    slices: list[DataFrame], source: str, start: Callable[[], StreamingQuery], form: str = "parquet"
+) -> None:
+    """Feed slices one after another, running the stream after each arrival."""
+    for part in slices:
+        part.write.mode("append").format(form).save(source)
+        start().awaitTermination()
