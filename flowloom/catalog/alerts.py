@@ -158,11 +158,11 @@ def rule_signals(spark, sf):
         F.col("Destination Port").cast("string")
     )
     f = flows(spark, sf, uri=True).withColumn("Destination Port", port)
-    ruled = f.withColumn("r", scoring.rule_names(f.columns))
-    return ruled.select(
+    rules = scoring.rule_conditions(dict(f.dtypes))
+    return f.select(
         "row_id",
-        F.array_join("r", ",").alias("rules"),
-        F.round(scoring.rule_boost(F.col("r")), 6).alias("boost"),
+        F.array_join(scoring.rule_names(rules), ",").alias("rules"),
+        F.round(scoring.rule_boost(rules), 6).alias("boost"),
     )
 
 
@@ -181,7 +181,7 @@ def effective_rates(spark, sf):
         F.col("event_id").alias("Total Length of Bwd Packets"),
         ((F.col("event_id") % 4) * 0.5).alias("Flow Duration"),
     )
-    pps, bps = scoring.effective_rates(f.columns)
+    pps, bps = scoring.effective_rates(dict(f.dtypes))
     return f.select("row_id", F.round(pps, 6).alias("pps"), F.round(bps, 6).alias("bps"))
 
 

@@ -77,73 +77,99 @@ def network_score(channel: dict[str, Column] | None = None) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend))
 
 
-def effective_rates(columns: list[str], duration_unit: str = "as_is") -> tuple[Column, Column]:
+def _measure(types: dict[str, str], column: str) -> Column:
+    """A column as a double, 0 where it is missing; text that is no number is NaN.
+
+    Only what the column's type calls for is generated: these expressions run
+    per flow and repeat inside filters.
+    """
+    kind = types.get(column)
+    if kind is None:
+        return F.lit(0.0)
+    if kind == "string":
+        text = name(column)
+        parsed = F.coalesce(parse_double(text), F.lit(float("nan")))
+        return F.when(text.isNull(), F.lit(0.0)).otherwise(parsed)
+    return zero_if_null(name(column).cast("double"))
+
+
+def _above(types: dict[str, str], column: str, value: Column, limit: float) -> Column:
+    """``value > limit``; NaN sorts above every number in Spark, so it is ruled out."""
+    whole = types.get(column) in ("tinyint", "smallint", "int", "bigint")
+    return value > limit if whole else (value > limit) & ~F.isnan(value)
+
+
+def _at_least_one(types: dict[str, str], column: str) -> Column:
+    value = _measure(types, column)
+    whole = types.get(column) in ("tinyint", "smallint", "int", "bigint")
+    return value >= 1 if whole else (value >= 1) & ~F.isnan(value)
+
+
+def effective_rates(
+    types: dict[str, str], duration_unit: str = "as_is"
+) -> tuple[Column, Column]:
     """Packets/s and bytes/s: the flow's own columns where the table has them.
 
+    ``types`` maps column names to type names (``dict(df.dtypes)``).
     ``duration_unit`` is ``as_is`` (the number is divided by unchanged) or
     ``micros`` (packet-derived durations, turned into seconds first).
     """
-
-    def col(c: str) -> Column:
-        return zero_if_null(name(c).cast("double")) if c in columns else F.lit(0.0)
-
-    if "Flow Packets/s" in columns:
-        pps = col("Flow Packets/s")
+    if "Flow Packets/s" in types:
+        pps = _measure(types, "Flow Packets/s")
     else:
-        pps = col("Fwd Packets/s") + col("Bwd Packets/s")
-    if "Flow Bytes/s" in columns:
-        bps = col("Flow Bytes/s")
+        pps = _measure(types, "Fwd Packets/s") + _measure(types, "Bwd Packets/s")
+    if "Flow Bytes/s" in types:
+        bps = _measure(types, "Flow Bytes/s")
     else:
-        duration = col("Flow Duration")
+        duration = _measure(types, "Flow Duration")
         if duration_unit == "micros":
             duration = duration / 1e6
-        total = col("Total Length of Fwd Packets") + col("Total Length of Bwd Packets")
+        total = _measure(types, "Total Length of Fwd Packets") + _measure(
+            types, "Total Length of Bwd Packets"
+        )
         bps = F.when(duration > 1e-9, total / duration).otherwise(F.lit(0.0))
     return pps, bps
 
 
-def rule_names(columns: list[str], duration_unit: str = "as_is") -> Column:
-    """Names of the rules a flow triggers; empty when its port is unreadable."""
-    pps, bps = effective_rates(columns, duration_unit)
-
-    def col(c: str) -> Column:
-        return zero_if_null(name(c).cast("double")) if c in columns else F.lit(0.0)
-
-    # NaN compares above every number in Spark, below none in the published rules
-    def above(value: Column, limit: float) -> Column:
-        return (value > limit) & ~F.isnan(value)
-
-    def at_least_one(value: Column) -> Column:
-        return (value >= 1) & ~F.isnan(value)
-
-    if "Destination Port" in columns:
-        port_number = F.nanvl(
-            parse_double(name("Destination Port")), F.lit(None).cast("double")
-        )
+def rule_conditions(types: dict[str, str], duration_unit: str = "as_is") -> dict[str, Column]:
+    """Condition of each rule; all are false where the port is unreadable."""
+    pps, bps = effective_rates(types, duration_unit)
+    port_type = types.get("Destination Port", "int")
+    if port_type in ("string", "double", "float"):
+        raw = _measure(types, "Destination Port")
+        readable = F.abs(raw) < 1e18  # false for NaN
+        port = F.when(readable, raw).cast("long")
     else:
-        port_number = F.lit(0.0)
-    readable = port_number.isNotNull() & (F.abs(port_number) < 1e18)
-    port = F.when(readable, port_number).cast("long")
-    uri = name("http_request_uri") if "http_request_uri" in columns else F.lit("")
-    rules = F.array_compact(
-        F.array(
-            F.when(above(pps, PACKET_RATE_LIMIT), F.lit("high_packet_rate")),
-            F.when(above(bps, BYTE_RATE_LIMIT), F.lit("high_byte_rate")),
-            F.when(
-                at_least_one(col("SYN Flag Count")) & at_least_one(col("RST Flag Count")),
-                F.lit("syn_rst_combo"),
-            ),
-            F.when(
-                ~port.isin(*USUAL_PORTS) & (port > 0), F.lit("unusual_destination_port")
-            ),
-            F.when(is_suspicious_uri(uri), F.lit("suspicious_uri_pattern")),
+        readable = None
+        port = (
+            F.coalesce(name("Destination Port"), F.lit(0)).cast("long")
+            if "Destination Port" in types
+            else F.lit(0)
         )
-    )
-    return F.when(readable, rules).otherwise(F.array().cast("array<string>"))
-
-
-def rule_boost(rules: Column) -> Column:
-    return F.least(F.lit(RULE_CAP), F.size(rules) * F.lit(RULE_STEP))
+    uri = name("http_request_uri") if "http_request_uri" in types else F.lit("")
+    conditions = {
+        "high_packet_rate": _above(types, "Flow Packets/s", pps, PACKET_RATE_LIMIT),
+        "high_byte_rate": _above(types, "Flow Bytes/s", bps, BYTE_RATE_LIMIT),
+        "syn_rst_combo": _at_least_one(types, "SYN Flag Count") & _at_least_one(types, "RST Flag Count"),
+        "unusual_destination_port": ~port.isin(*USUAL_PORTS) & (port > 0),
+        "suspicious_uri_pattern": is_suspicious_uri(uri),
+    }
+    if readable is None:
+        return conditions
+    return {k: readable & c for k, c in conditions.items()}
+
+
+def rule_names(conditions: dict[str, Column]) -> Column:
+    """Names of the triggered rules, in their fixed order."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in conditions.items()]))
+
+
+def rule_boost(conditions: dict[str, Column]) -> Column:
+    """Score added by the triggered rules, without building the name array."""
+    count = F.lit(0)
+    for c in conditions.values():
+        count = count + F.when(c, 1).otherwise(0)
+    return F.least(F.lit(RULE_CAP), count * F.lit(RULE_STEP))
 
 
 def alert_predicate(gate: bool) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.functions import scoring
 from flowloom.functions.text import alert_hash, incident_id
-from flowloom.operators.skew import trailing_frame
+from flowloom.operators.skew import lookup, lookup_by, trailing_frame
 from flowloom.settings import INCIDENT_STATES
 
 JOIN_FIELDS = ("ip", "ts", "threat_score")
@@ -129,7 +129,7 @@ def change_status(
     refused changes with their reason.
     """
     known = incidents.select("incident_id", F.col("status").alias("_current"))
-    joined = changes.join(known, "incident_id", "left")
+    joined = lookup(changes, known, ["incident_id"], row_bytes=96)
     reason = F.when(~F.col("status").isin(*INCIDENT_STATES), "unknown status").when(
         F.col("_current").isNull(), "unknown incident"
     )
@@ -213,11 +213,16 @@ def union_columns(tables: list[DataFrame]) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in sorted(out.columns)])
 
 
-def join_incidents(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
+def join_incidents(
+    alerts: DataFrame, incidents: DataFrame, all_matches: bool = False
+) -> DataFrame:
     """Alerts with incident id, and the incident's status and owner where set.
 
     The key is whichever of address, time and score both tables have; scores
-    meet as whole cents, missing values meet each other.
+    meet as whole cents, missing values meet each other. One incident, the
+    last by update time and id, speaks for a key, so every alert stays one row
+    and copies of an alert do not multiply. ``all_matches`` gives a row per
+    distinct incident of the key instead, as the published join does.
     """
     shared = [c for c in JOIN_FIELDS if c in alerts.columns and c in incidents.columns]
     if not shared:
@@ -227,15 +232,20 @@ def join_incidents(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
         return F.round(F.col(c) * 100).cast("long") if c == "threat_score" else F.col(c)
 
     extra = [c for c in ("incident_id", "status", "owner") if c in incidents.columns]
+    keys = [f"_k{i}" for i in range(len(shared))]
+    order = [F.col(c) for c in ("updated_at", "incident_id") if c in incidents.columns]
     side = incidents.select(
-        *[key(c).alias(f"_k{i}") for i, c in enumerate(shared)],
+        *[key(c).alias(k) for k, c in zip(keys, shared)],
         *[F.col(c).alias(f"_{c}") for c in extra],
-    ).distinct()
-    left = alerts.withColumns({f"_a{i}": key(c) for i, c in enumerate(shared)})
-    cond = F.lit(True)
-    for i in range(len(shared)):
-        cond = cond & F.col(f"_a{i}").eqNullSafe(F.col(f"_k{i}"))
-    joined = left.join(side, cond, "left")
+        F.struct(*order, F.lit(0)).alias("_order"),
+    )
+    if all_matches:
+        side = side.drop("_order").distinct()
+    else:
+        row = F.struct(*[F.col(f"_{c}") for c in extra])
+        side = side.groupBy(*keys).agg(F.max_by(row, "_order").alias("_r")).select(*keys, "_r.*")
+    left = alerts.withColumns({k: key(c) for k, c in zip(keys, shared)})
+    joined = lookup_by(left, side, keys) if all_matches else lookup(left, side, keys, 160)
     values = {}
     for c in extra:
         values[c] = (
@@ -243,8 +253,7 @@ def join_incidents(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
             if c in alerts.columns and c != "incident_id"
             else F.col(f"_{c}")
         )
-    temporary = [f"_{c}" for c in extra] + [f"_{s}{i}" for i in range(len(shared)) for s in "ak"]
-    return joined.withColumns(values).drop(*temporary)
+    return joined.withColumns(values).drop(*[f"_{c}" for c in extra], *keys)
 
 
 def action_history(actions: DataFrame, incident_ids: DataFrame) -> DataFrame:
@@ -281,8 +290,6 @@ def category_index(df: DataFrame, vocabulary: DataFrame, column: str, out: str)
 
     ``vocabulary`` holds (value, index) with indexes from 1.
     """
-    from flowloom.operators.skew import lookup
-
     dim = vocabulary.select(F.col("value").alias("_v"), F.col("index").alias("_i"))
     keyed = df.withColumn("_v", F.col(f"`{column}`").cast("string"))
     joined = lookup(keyed, dim, ["_v"], row_bytes=64)

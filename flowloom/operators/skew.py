@@ -60,14 +60,14 @@ def lookup_by(
 ) -> DataFrame:
     """Join on null-safe keys, keeping only the left side's key columns."""
     r = right.select(
-        *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)],
         *[F.col(f"`{c}`") for c in right.columns if c not in keys],
     )
     cond = F.lit(True)
     for i, k in enumerate(keys):
-        cond = cond & left[f"`{k}`"].eqNullSafe(r[f"_k{i}"])
+        cond = cond & left[f"`{k}`"].eqNullSafe(r[f"_key{i}"])
     joined = left.join(F.broadcast(r) if small else r, cond, how)
-    return joined.drop(*[f"_k{i}" for i in range(len(keys))]) if how not in (
+    return joined.drop(*[f"_key{i}" for i in range(len(keys))]) if how not in (
         "left_semi",
         "left_anti",
     ) else joined

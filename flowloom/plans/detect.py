@@ -85,11 +85,8 @@ def detect(
         cfg = replace(cfg, gate_on_level1=False, alert_threshold=0.0)
     scored = cascade(flows, cfg, by, anomalies)
     columns = scored.columns
-    rules = (
-        scoring.rule_names(columns)
-        if cfg.use_rules
-        else F.array().cast("array<string>")
-    )
+    rules = scoring.rule_conditions(dict(scored.dtypes)) if cfg.use_rules else {}
+    names = scoring.rule_names(rules) if rules else F.array().cast("array<string>")
     picked = scored if demo else scored.filter(scoring.alert_predicate(cfg.gate_on_level1))
     fused = picked.select(
         F.col("row_id").alias("alert_seq"),
@@ -100,15 +97,11 @@ def detect(
         "l1_triggered",
         *CHANNELS.values(),
         scoring.network_score().alias("network_score"),
-        rules.alias("triggered_rules"),
-    ).withColumn(
-        "network_score_with_rules",
+        names.alias("triggered_rules"),
         F.least(
             F.lit(1.0),
-            F.greatest(
-                F.lit(0.0), F.col("network_score") + scoring.rule_boost(F.col("triggered_rules"))
-            ),
-        ),
+            F.greatest(F.lit(0.0), scoring.network_score() + scoring.rule_boost(rules)),
+        ).alias("network_score_with_rules"),
     )
     counts = None if siem is None else materialize(siem_counts(siem))
     if counts is not None and not counts.isEmpty():
@@ -124,7 +117,8 @@ def detect(
     alerts = assemble(alerts, by or [])
     if cfg.dedup_window_seconds > 0:
         group = ("ip", "severity", *(by or []))
-        alerts = suppress(alerts, cfg.dedup_window_seconds, group, now=now, limit=group_limit)
+        # the scan reads the alerts several times: do not detect again each time
+        alerts = suppress(materialize(alerts), cfg.dedup_window_seconds, group, now=now, limit=group_limit)
     return alerts
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowloom.functions.cleaning import parse_double
-from flowloom.functions.text import json_kind
+from flowloom.functions.text import json_kind, let
 
 # --- fixed values: record layout and clamps of the published ingest ---
 REQUIRED = ("ts", "client_ip", "host")
@@ -42,17 +42,21 @@ PROXY_JSON = T.StructType([T.StructField(n, T.StringType()) for n in PROXY_FIELD
 def with_outcome(lines: DataFrame, column: str = "value") -> DataFrame:
     """Adds ``outcome`` to each line; required keys may hold null."""
     text = F.trim(F.col(column))
-    kind = json_kind(text)
     keys = F.json_object_keys(text)
     lacking = F.lit(False)
     for field in REQUIRED:
         lacking = lacking | ~F.array_contains(keys, field)
-    outcome = (
-        F.when(text == "", F.lit("empty_lines"))
-        .when(kind.isNull(), F.lit("invalid_json"))
-        .when(kind != "object", F.lit("invalid_type"))
-        .when(lacking, F.lit("missing_required_fields"))
-        .otherwise(F.lit("valid_records"))
+
+    def by_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "", F.lit("invalid_json"))
+            .when(kind != "object", F.lit("invalid_type"))
+            .when(lacking, F.lit("missing_required_fields"))
+            .otherwise(F.lit("valid_records"))
+        )
+
+    outcome = F.when(text == "", F.lit("empty_lines")).otherwise(
+        let(F.coalesce(json_kind(text), F.lit("")), by_kind)
     )
     return lines.withColumn("outcome", outcome)
 

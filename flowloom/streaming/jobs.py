@@ -50,9 +50,16 @@ def ingest_outcomes(
     """Outcome counts and quarantined lines per batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        marked = proxy.with_outcome(batch)
-        proxy.outcome_counts(marked).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
-        proxy.quarantine(marked).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        marked = proxy.with_outcome(batch).persist()
+        try:
+            proxy.outcome_counts(marked).write.mode("overwrite").parquet(
+                f"{out}/counts/batch={batch_id}"
+            )
+            proxy.quarantine(marked).write.mode("overwrite").parquet(
+                f"{out}/quarantine/batch={batch_id}"
+            )
+        finally:
+            marked.unpersist()
 
     lines = _source(spark, source, None, max_files, "text")
     return (
@@ -83,7 +90,11 @@ def detect_stream(
     cfg = cfg or Settings()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        detect(batch, cfg, siem=siem).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        kept = batch.persist()  # read once for the buckets and once for the flows
+        try:
+            detect(kept, cfg, siem=siem).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            kept.unpersist()
         if refresh is not None and (batch_id + 1) % max(refresh_every, 1) == 0:
             try:
                 refresh(batch_id)
