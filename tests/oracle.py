@@ -51,3 +51,12 @@ def compare(spark_df, con, sql):
         if a != b and repr(a) != repr(b):
             return f"{names}: {a} != {b}"
     return None
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def forbidden_joins(spark_df):
+    """Join kinds that must not appear in a query's plan."""
+    plan = spark_df._jdf.queryExecution().executedPlan().toString()
+    return [f for f in FORBIDDEN if f in plan]

@@ -1,0 +1,64 @@
+"""Readers and writers on small files."""
+
+import pytest
+
+from flowloom.operators.schema import SchemaError
+from flowloom.sources import flows, lines
+
+
+def put(path, text, encoding="utf-8"):
+    path.write_bytes(text.encode(encoding))
+    return str(path)
+
+
+def test_public_csv(spark, tmp_path):
+    p = put(tmp_path / "a.csv", "﻿ Source IP, Timestamp,X,X,labels\n1.1.1.1,03/07/2017 08:55:58,1,2,BENIGN\n2.2.2.2,bad,3,4,DoS\n")
+    df = flows.read_flow_csv(spark, p, strict=True).orderBy("row_id")
+    assert df.columns == ["Source IP", "Timestamp", "X", "X.1", "Label", "row_id"]
+    got = df.select("row_id", "`Source IP`", "`X.1`", "Label", "Timestamp").collect()
+    assert [tuple(map(str, r)) for r in got] == [
+        ("0", "1.1.1.1", "2", "BENIGN", "2017-07-03 08:55:58"), ("1", "2.2.2.2", "4", "DoS", "None")]
+
+
+def test_strict_reading(spark, tmp_path):
+    with pytest.raises(flows.InputError, match="no rows"):
+        flows.read_flow_csv(spark, put(tmp_path / "e.csv", "a,b\n"), strict=True)
+    with pytest.raises(flows.InputError, match="empty"):
+        flows.read_flow_csv(spark, put(tmp_path / "z.csv", ""), strict=True)
+    with pytest.raises(flows.InputError, match="UTF-8"):
+        flows.read_flow_csv(spark, put(tmp_path / "l.csv", "a,b\né,2\n", "latin-1"), strict=True)
+
+
+def test_corporate_columns(spark, tmp_path):
+    with pytest.raises(SchemaError, match="Destination IP"):
+        flows.read_corporate_csv(spark, put(tmp_path / "c.csv", "Label,Source IP\nBENIGN,1.1.1.1\n"))
+    full = "Label,Source IP,Destination IP\nBENIGN,1.1.1.1,2.2.2.2\n"
+    assert flows.read_corporate_csv(spark, put(tmp_path / "d.csv", full)).count() == 1
+    with pytest.raises(SchemaError, match="Timestamp"):
+        flows.read_corporate_csv(spark, put(tmp_path / "f.csv", full), strict_timestamp=True)
+
+
+def test_append_needs_equal_schema(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    flows.write_prepared(df, path)
+    flows.write_prepared(df, path, append=True)
+    for other in (df.select("y", "x"), df.drop("y"), df.selectExpr("*", "1 AS z")):
+        with pytest.raises(SchemaError):
+            flows.write_prepared(other, path, append=True)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_cache_follows_the_source(spark, tmp_path):
+    p = tmp_path / "f.csv"
+    root = str(tmp_path / "cache")
+    put(p, "a,Label\n1,x\n")
+    assert flows.read_flows(spark, str(p), columnar_cache=True, cache_root=root).count() == 1
+    put(p, "a,Label\n1,x\n2,y\n")
+    assert flows.read_flows(spark, str(p), columnar_cache=True, cache_root=root).count() == 2
+    assert [r.a for r in flows.read_flows(spark, str(p), row_limit=1).collect()] == ["1"]
+
+
+def test_labels_json(spark, tmp_path):
+    p = put(tmp_path / "l.json", '[{"sample_id": "a", "is_attack": 1}, {"sample_id": "b", "is_attack": 0}]')
+    assert sorted(tuple(r) for r in lines.read_labels(spark, p).select("sample_id", "is_attack").collect()) == [("a", "1"), ("b", "0")]
