@@ -78,6 +78,28 @@ def proxy_stream_outcomes(spark, sf):
     )
 
 
+@query(
+    "buffer_sync_stream",
+    f"""WITH {PROXY_SQL} SELECT micros, ip, port, length(uri)::DOUBLE AS token_len, length(qname)::DOUBLE AS qname_len,
+  syn::DOUBLE AS syn, 0 AS is_attack FROM proxied""",
+)
+def buffer_sync_stream(spark, sf):
+    """Proxy lines to prepared rows of the online buffer, in arrival slices."""
+    source, out, place = folders(spark, "buffer-sync")
+    lines = proxy_lines(spark, sf).select("value")
+    parts = [lines.filter(F.length("value") % 2 == i) for i in (0, 1)]
+    jobs.replay(parts, source, lambda: jobs.sync_buffer(spark, source, out, place), "text")
+    return spark.read.parquet(out).select(
+        micros(F.col("Timestamp")).alias("micros"),
+        F.col("Source IP").alias("ip"),
+        F.col("Destination Port").alias("port"),
+        F.col("http_token_len").alias("token_len"),
+        F.col("dns_qname_len").alias("qname_len"),
+        F.col("SYN Flag Count").alias("syn"),
+        "is_attack",
+    )
+
+
 PART = "CASE WHEN \"Timestamp\" < TIMESTAMP '2024-01-11' THEN 0 WHEN \"Timestamp\" < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
 # Detection with level-1 statistics of each part on its own.
 BATCHED = f"""{FLOWS_URI}, c AS (SELECT *, {PART} AS part, {B} AS bucket FROM flows),

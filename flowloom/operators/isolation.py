@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from flowloom.operators.skew import exact_quantile
+from flowloom.session import materialize
 
 POOL_ROWS = 1_000_000
 NODES = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
@@ -198,5 +199,7 @@ def fit(
     grown = tree_samples(df, features, key, trees, sample, seed).groupBy("tree").applyInPandas(grow, NODES)
     size = min(sample, df.limit(sample).count())
     model = IsolationForest(features, _collect_trees(grown), size)
-    model.threshold = exact_quantile(model.score(df), "anomaly_score", 1 - contamination, limit)
+    # the quantile reads the scores several times: score once
+    scores = materialize(model.score(df).select("anomaly_score"))
+    model.threshold = exact_quantile(scores, "anomaly_score", 1 - contamination, limit)
     return model

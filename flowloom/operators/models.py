@@ -32,6 +32,7 @@ from flowloom.functions.text import let
 from flowloom.operators.isolation import feature_array
 from flowloom.operators.packets import scaled_header
 from flowloom.operators.skew import exact_quantile, trailing_frame
+from flowloom.session import materialize
 from flowloom.settings import CHANNELS, HEADER_BYTES, HEADER_PACKETS, PACKET_FEATURES, PACKETS_PER_FLOW, Settings
 
 HEADER_WIDTH = HEADER_BYTES * HEADER_PACKETS
@@ -144,8 +145,10 @@ def fit_reconstruction(
         vector(feature_array(features)).alias("features")
     )
     ch = Channel("reconstruction", CHANNELS["ae"], features, _fit(stages, benign))
-    errors = ch.pipeline.transform(benign).select(
-        reconstruction_error(F.col("scaled"), F.col("projected")).alias("mse")
+    errors = materialize(
+        ch.pipeline.transform(benign).select(
+            reconstruction_error(F.col("scaled"), F.col("projected")).alias("mse")
+        )
     )
     ch.options["threshold"] = exact_quantile(errors, "mse", 0.95, limit)
     return ch

@@ -2,8 +2,8 @@
 
 An alert is dropped when it is not more than the window after the last *kept*
 alert of its (ip, severity), in arrival order; so the anchor moves only on
-keeping, which no fixed window frame can say. The scan runs per group on
-Arrow batches of three plain columns.
+keeping, which no fixed window frame can say. The scan runs over partitions
+sorted by group and arrival, on Arrow batches of three plain columns.
 
 Only the first alert of a (group, time) can be kept, so repeats are dropped by
 a partial aggregation before anything is grouped. A group that is still huge
@@ -15,6 +15,7 @@ number turns out different are scanned again until none changes.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,24 @@ def _entry(pdf: pd.DataFrame) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
+def _scan_runs(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Kept rows of a partition sorted by group and arrival, batch by batch."""
+    group, last = None, None
+    for batch in batches:
+        if batch.empty:
+            continue
+        names = batch["_group"].to_numpy()
+        times = batch["_us"].to_numpy(np.int64)
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+        kept: list[int] = []
+        for start, end in zip(edges, edges[1:]):
+            if names[start] != group:
+                group, last = names[start], None
+            found, last = scan(times[start:end], last, window)
+            kept += [start + i for i in found]
+        yield pd.DataFrame({"_seq": batch["_seq"].to_numpy()[kept]})
+
+
 def suppress(
     alerts: DataFrame,
     window_seconds: int,
@@ -73,11 +92,20 @@ def suppress(
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seq", kind="stable")
-        last = _entry(pdf) if "_entry" in pdf.columns else None
-        kept, _ = scan(pdf["_us"].to_numpy(np.int64), last, window)
+        kept, _ = scan(pdf["_us"].to_numpy(np.int64), _entry(pdf), window)
         return pd.DataFrame({"_seq": pdf["_seq"].to_numpy()[kept]})
 
-    kept = split.cold.groupBy(*keys).applyInPandas(keep, "_seq long")
+    def keep_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _scan_runs(batches, window)
+
+    # sorted partitions instead of a Python call per group: groups are many and small
+    group = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]))
+    sorted_rows = (
+        split.cold.select(group.alias("_group"), "_seq", "_us")
+        .repartition("_group")
+        .sortWithinPartitions("_group", "_seq")
+    )
+    kept = sorted_rows.mapInPandas(keep_sorted, "_seq long")
     if split.hot is not None:
         rows, entries = _resolve_slices(split, keys, window, limit)
         with_entry = skew.lookup_by(rows, entries, keys + ["_slice"], small=True)

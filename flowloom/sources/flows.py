@@ -94,6 +94,17 @@ def read_corporate_csv(
     return df
 
 
+def read_labelled_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Several labelled CSVs under the union of their columns, with ``source_file``."""
+    out = None
+    for path in paths:
+        one = read_flow_csv(spark, path).withColumn(
+            "source_file", F.lit(path.rstrip("/").rsplit("/", 1)[-1])
+        )
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def source_stamp(spark: SparkSession, path: str) -> str:
     """Digest of a path's files with their sizes and modification times."""
     jvm = spark.sparkContext._jvm

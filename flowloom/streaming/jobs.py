@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.functions.cleaning import name
+from flowloom.operators.skew import row_positions
 from flowloom.plans.detect import detect
+from flowloom.plans.prepare import prepare
 from flowloom.settings import Settings
 from flowloom.sources import proxy
 
 WATERMARK = "10 minutes"
+BATCH_ROWS = 2**40  # room for the rows of one batch in a row id
 
 
 def _source(
@@ -44,6 +47,38 @@ def ingest_proxy(
     )
 
 
+def sync_buffer(
+    spark: SparkSession,
+    source: str,
+    out: str,
+    checkpoint: str,
+    cfg: Settings | None = None,
+    max_files: int | None = None,
+) -> StreamingQuery:
+    """Proxy log files to prepared flows in the online buffer, each line once.
+
+    Rows are numbered by batch and place in it, so ids grow with arrival.
+    Features that look at other rows see the rows of their own batch.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        place = F.monotonically_increasing_id()
+        numbered = proxy.to_flows(proxy.with_outcome(batch)).withColumn(
+            "row_id", F.struct(F.lit(batch_id).alias("b"), place.alias("p"))
+        )
+        ordered = row_positions(numbered, [], ["row_id"], "_n")
+        flows = ordered.withColumn("row_id", F.lit(batch_id * BATCH_ROWS) + F.col("_n")).drop("_n")
+        prepare(flows, cfg).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    lines = _source(spark, source, None, max_files, "text")
+    return (
+        lines.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest_outcomes(
     spark: SparkSession, source: str, out: str, checkpoint: str, max_files: int | None = None
 ) -> StreamingQuery:
