@@ -76,8 +76,11 @@ PACKET_COLUMNS = {
     "ip_dst": "concat('203.0.7.', CAST(l_orderkey % 9 AS STRING))",
     "dport": "CASE l_orderkey % 3 WHEN 0 THEN 80 WHEN 1 THEN 53 ELSE 443 END",
     "proto": "CASE WHEN l_orderkey % 3 = 1 THEN 17 WHEN l_orderkey % 100 = 2 THEN 1 ELSE 6 END",
+    # unique within an order on the given tables, and equal in both engines
     "pkt_no": (
-        "CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey"
+        "CAST(l_linenumber AS BIGINT) * 1000000000000000 "
+        "+ CAST(extract(YEAR FROM l_shipdate) * 400 + extract(DOY FROM l_shipdate) AS BIGINT) * 10000000000 "
+        "+ (l_partkey % 100000) * 100000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 100000"
     ),
     "length": "CAST(l_quantity * 30 AS INT) + 34",
     "ip_len": "CAST(l_quantity * 30 AS INT) + 20",
