@@ -257,9 +257,9 @@ def group_counts(
     return plain.unionByName(lookup_by(split.hot, totals, keys, small=True))
 
 
-def within_bytes(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> bool:
+def within_bytes(df: DataFrame, row_bytes: int, budget: int | None = None) -> bool:
     """Whether a table counted now fits the broadcast budget."""
-    most = budget // row_bytes
+    most = (budget or BROADCAST_BYTES) // row_bytes
     return df.limit(most + 1).count() <= most
 
 
@@ -269,7 +269,7 @@ def lookup(
     keys: list[str],
     row_bytes: int = 64,
     limit: int | None = None,
-    budget: int = BROADCAST_BYTES,
+    budget: int | None = None,
 ) -> DataFrame:
     """Left join of a fact table to a table with one row per key.
 
