@@ -13,6 +13,7 @@ from flowloom.functions.cleaning import micros, name
 from flowloom.operators import alerts as ops
 from flowloom.operators import correlation, suppression
 from flowloom.plans.detect import cascade, detect, join_scores
+from flowloom.session import materialize
 from flowloom.settings import CHANNELS, Settings
 from flowloom.sources import sinks
 
@@ -467,7 +468,7 @@ SELECT alert_seq, ip, dup_rank, dup_size,
 )
 def alert_map_positions(spark, sf):
     """Map coordinates with a symmetric offset for repeated addresses."""
-    m = ops.map_positions(open_alerts(spark, sf).select("alert_seq", "ip"))
+    m = ops.map_positions(materialize(open_alerts(spark, sf).select("alert_seq", "ip")))
     return m.select(
         "alert_seq",
         "ip",

@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowloom.session import spread_small
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -111,7 +113,7 @@ def duck_text(expr: str) -> str:
 
 def flows(spark: SparkSession, sf_dir: str, uri: bool = False) -> DataFrame:
     """Flow table derived from ``events`` (and ``pages`` for the URI columns)."""
-    events = table(spark, sf_dir, "events")
+    events = spread_small(table(spark, sf_dir, "events"))
     if not uri:
         return events.selectExpr(
             *[f"{spark_text(e)} AS `{c}`" for c, e in FLOW_COLUMNS.items()]
@@ -128,7 +130,7 @@ def flows(spark: SparkSession, sf_dir: str, uri: bool = False) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet table derived from ``lineitem``: one flow per order."""
-    base = table(spark, sf_dir, "lineitem").selectExpr(
+    base = spread_small(table(spark, sf_dir, "lineitem")).selectExpr(
         "l_orderkey",
         "CAST(unix_micros(CAST(l_shipdate AS TIMESTAMP)) AS DOUBLE) / 1000000 + l_linenumber AS ts",
         *[f"{spark_text(e)} AS {c}" for c, e in PACKET_COLUMNS.items()],

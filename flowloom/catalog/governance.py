@@ -13,6 +13,7 @@ from flowloom.functions.text import row_fingerprint
 from flowloom.operators import alerts as alert_ops
 from flowloom.operators import governance as ops
 from flowloom.operators import metrics
+from flowloom.session import materialize
 from flowloom.settings import Settings
 from flowloom.sources import lines, sinks
 
@@ -111,7 +112,7 @@ old AS (SELECT concat('inc_', substr(h, 1, 12)) AS incident_id, alert_seq FROM a
 
 
 def _known_and_alerts(spark, sf):
-    a = open_alerts(spark, sf).select("alert_seq", "ip", "severity")
+    a = materialize(open_alerts(spark, sf).select("alert_seq", "ip", "severity"))
     known = ops.incidents_from_alerts(a.filter("severity = 'Emergency'"), dt.datetime(2024, 1, 1))
     return known.withColumns({"status": F.lit("triaged"), "owner": F.lit("ann")}), a
 
@@ -160,7 +161,7 @@ def incidents_replaced(spark, sf):
 )
 def incident_cards(spark, sf):
     """Incidents of full alerts as flat export rows."""
-    incidents = ops.incidents_from_alerts(open_alerts(spark, sf), NOW)
+    incidents = materialize(ops.incidents_from_alerts(open_alerts(spark, sf), NOW))
     cards = sinks.incident_cards(incidents)
     keyed = incidents.select("incident_id", "alert_seq").join(cards, "incident_id")
     return keyed.select(
@@ -263,7 +264,9 @@ LEFT JOIN i ON a.ip = i.ip AND a.ts IS NOT DISTINCT FROM i.ts AND round(a.threat
 )
 def alerts_with_incidents(spark, sf):
     """Incident status over alert status, joined on address, time and score."""
-    a = open_alerts(spark, sf).select("alert_seq", "ip", "ts", "threat_score", "severity", "status")
+    a = materialize(
+        open_alerts(spark, sf).select("alert_seq", "ip", "ts", "threat_score", "severity", "status")
+    )
     incidents = a.filter("severity <> 'Medium'").select(
         F.concat(F.lit("inc"), F.col("alert_seq")).alias("incident_id"),
         "ip",

@@ -8,7 +8,7 @@ from flowloom.catalog.base import FLOW_COLUMNS, SIEM, duck_text, query, siem, sp
 from flowloom.functions import network, text
 from flowloom.functions.cleaning import micros
 from flowloom.operators.correlation import siem_counts
-from flowloom.session import scratch_path
+from flowloom.session import scratch_path, spread_small
 from flowloom.sources import lines, proxy
 
 IP = FLOW_COLUMNS["Source IP"]
@@ -139,7 +139,8 @@ def proxy_lines(spark, sf) -> DataFrame:
         .when(i % 10 == 2, F.lit(" "))
         .otherwise(F.to_json(record))
     )
-    return table(spark, sf, "events").select(F.col("event_id").alias("row_id"), line.alias("value"))
+    events = spread_small(table(spark, sf, "events"))
+    return events.select(F.col("event_id").alias("row_id"), line.alias("value"))
 
 
 @query(

@@ -181,13 +181,19 @@ def json_kind(line: Column) -> Column:
     inside an array and inside an object, a line parses in both only when it
     is exactly one value.
     """
-    text = F.trim(line)
-    in_array = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT_JSON)
-    in_object = F.from_json(
-        F.concat(F.lit('{"w":'), text, F.lit("}")), "struct<w:string>", STRICT_JSON
-    )["w"]
-    valid = in_array.isNotNull() & (in_object.isNotNull() | (text == "null"))
-    return F.when(valid & (text != ""), F.when(text.startswith("{"), "object").otherwise("other"))
+
+    def of(text: Column) -> Column:
+        in_array = F.from_json(
+            F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT_JSON
+        )
+        in_object = F.from_json(
+            F.concat(F.lit('{"w":'), text, F.lit("}")), "struct<w:string>", STRICT_JSON
+        )["w"]
+        valid = in_array.isNotNull() & (in_object.isNotNull() | (text == "null"))
+        kind = F.when(text.startswith("{"), F.lit("object")).otherwise(F.lit("other"))
+        return F.when((text != "") & valid, kind)
+
+    return let(F.trim(line), of)
 
 
 def json_field(line: Column, path: str, kind: str = "string") -> Column:

@@ -50,6 +50,21 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/flowloom/{tag}-{uuid.uuid4().hex}"
 
 
+FEW_SPLITS = 8
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input of a few splits over the cores.
+
+    One file of one row group is one task, whatever follows it. That matters
+    only for inputs of at most eight splits (about 1 GiB); anything larger
+    already has tasks enough and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores and splits <= FEW_SPLITS else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage on reliable shared storage (never executor-local)."""
     scratch_root(df.sparkSession)

@@ -41,24 +41,25 @@ PROXY_JSON = T.StructType([T.StructField(n, T.StringType()) for n in PROXY_FIELD
 
 def with_outcome(lines: DataFrame, column: str = "value") -> DataFrame:
     """Adds ``outcome`` to each line; required keys may hold null."""
-    text = F.trim(F.col(column))
-    keys = F.json_object_keys(text)
-    lacking = F.lit(False)
-    for field in REQUIRED:
-        lacking = lacking | ~F.array_contains(keys, field)
-
-    def by_kind(kind: Column) -> Column:
-        return (
-            F.when(kind == "", F.lit("invalid_json"))
-            .when(kind != "object", F.lit("invalid_type"))
-            .when(lacking, F.lit("missing_required_fields"))
-            .otherwise(F.lit("valid_records"))
-        )
-
-    outcome = F.when(text == "", F.lit("empty_lines")).otherwise(
-        let(F.coalesce(json_kind(text), F.lit("")), by_kind)
-    )
-    return lines.withColumn("outcome", outcome)
+
+    def of(text: Column) -> Column:
+        keys = F.json_object_keys(text)
+        lacking = F.lit(False)
+        for field in REQUIRED:
+            lacking = lacking | ~F.array_contains(keys, field)
+
+        def by_kind(kind: Column) -> Column:
+            return (
+                F.when(kind == "", F.lit("invalid_json"))
+                .when(kind != "object", F.lit("invalid_type"))
+                .when(lacking, F.lit("missing_required_fields"))
+                .otherwise(F.lit("valid_records"))
+            )
+
+        judged = let(F.coalesce(json_kind(text), F.lit("")), by_kind)
+        return F.when(text == "", F.lit("empty_lines")).otherwise(judged)
+
+    return lines.withColumn("outcome", let(F.trim(F.col(column)), of))
 
 
 def outcome_counts(marked: DataFrame) -> DataFrame:
@@ -91,12 +92,13 @@ def to_flows(marked: DataFrame, column: str = "value") -> DataFrame:
     Other columns of the input (a line number, a file) are kept.
     """
     keep = [c for c in marked.columns if c not in (column, "outcome")]
-    text = F.trim(F.col(column))
-    r = marked.filter(F.col("outcome") == "valid_records").select(
-        *keep,
-        F.from_json(text, PROXY_JSON).alias("r"),
-        F.array_contains(F.json_object_keys(text), "error").alias("failed"),
-    )
+
+    def parsed(text: Column) -> Column:
+        failed = F.array_contains(F.json_object_keys(text), "error")
+        return F.struct(F.from_json(text, PROXY_JSON).alias("r"), failed.alias("failed"))
+
+    valid = marked.filter(F.col("outcome") == "valid_records")
+    r = valid.select(*keep, let(F.trim(F.col(column)), parsed).alias("p")).select(*keep, "p.r", "p.failed")
     seconds = F.greatest(
         F.coalesce(parse_double(F.col("r.duration_ms")), F.lit(0.0)) / 1000.0,
         F.lit(MIN_SECONDS),
