@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import toxicity
+from flowloom.llm import linededup, mixing, sentencepiece, simhash, toxicity
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.toxicity_scores(docs, model)
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"), n_lines="n_lines", removed="removed_lines")
+    return cleaned.select(
+        "doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines",
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_source_mixing",
+    """
+WITH RECURSIVE rates AS (
+  SELECT source, (SELECT count(*) FROM documents)::DOUBLE / ((SELECT count(*) FROM
+    (SELECT DISTINCT source FROM documents)) * count(*)) AS rate
+  FROM documents GROUP BY source
+), steps AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps WHERE k < 200
+), drawn AS (
+  SELECT doc_id, text, lang, source, n_chars,
+    ('0x' || substr(md5('42:' || doc_id || ':1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
+  FROM documents
+), copies AS (
+  SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, any_value(d.source) AS source,
+    any_value(d.n_chars) AS n_chars, count(*) FILTER (s.c <= d.u) AS n
+  FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source GROUP BY d.doc_id
+), repeated AS (
+  SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, n))::INTEGER AS copy FROM copies
+)
+SELECT *, substr(md5('42:order:' || doc_id || ':' || copy), 1, 16) AS shuffle_key FROM repeated
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), copy="copy", key="shuffle_key")
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece.compile_model()
+    return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), model)

@@ -212,6 +212,18 @@ class PieceTransducer:
 WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
+_shared: dict = {}  # a Python worker keeps one transducer with its memos from task to task
+
+
+def shared(transducer: PieceTransducer) -> PieceTransducer:
+    """The worker's own copy of an equal transducer, with what it has remembered."""
+    key = hash((tuple(transducer.texts), transducer.add_prefix, transducer.squeeze))
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = transducer
+    return _shared[key]
+
+
 def compile_model(path: str = MODEL_PATH) -> PieceTransducer:
     """Transducer of a model file. Raises for models it cannot follow exactly."""
     with open(path, "rb") as f:
@@ -264,13 +276,13 @@ def encode_documents(docs: DataFrame, transducer: PieceTransducer) -> DataFrame:
     """
 
     def encoded(batches):
-        low = set(transducer.byte_ids)
-        is_byte = np.zeros(len(transducer.texts), bool)
-        is_byte[list(low)] = True
+        model = shared(transducer)
+        is_byte = np.zeros(len(model.texts), bool)
+        is_byte[model.byte_ids] = True
         for b in batches:
             ids = b.column(0)
             for start, held in chunks(b.column(1).to_pylist()):
-                pieces = [transducer.encode(t) for t in held]
+                pieces = [model.encode(t) for t in held]
                 ends = np.cumsum([0] + [len(p) for p in pieces])
                 flat = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -278,7 +290,7 @@ def encode_documents(docs: DataFrame, transducer: PieceTransducer) -> DataFrame:
                         ids.slice(start, len(held)),
                         pa.array(np.diff(ends), pa.int32()),
                         pa.array([int(is_byte[p].sum()) for p in pieces], pa.int32()),
-                        pa.array([transducer.decode(p) == t for p, t in zip(pieces, held)], pa.bool_()),
+                        pa.array([model.decode(p) == t for p, t in zip(pieces, held)], pa.bool_()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
                     ],
                     names=["doc_id", "n_pieces", "n_fallback", "round_trip", "pieces"],
