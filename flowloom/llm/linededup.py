@@ -4,36 +4,36 @@ A line is the set of its lower-cased words. Lines come in the order of (doc_id,
 number); a line goes when an earlier one matches it with a Jaccard similarity of at
 least ``least``. Lines without words never match and stay.
 
-* Equal sets are one record, standing at its first place; later places go at once.
-* The tokens of a record are ordered by rarity, counted over all lines in a table of
-  fixed size (hash buckets, so a count is never too low). Two matching records share
-  a token in their prefixes; a prefix token whose bucket holds a single occurrence
-  is shared with nobody and is not indexed.
-* Records that share a prefix token meet in one group, in the order of their places.
-  Length, position and a 128-bit parity map of the tokens (its differing bits never
-  outnumber the differing tokens) leave few candidates.
+* The tokens of a line are ordered by rarity, counted over all lines in a table of
+  fixed size (hash buckets, so a count is never too low). Two matching lines share a
+  token in their prefixes; a prefix token whose bucket holds a single occurrence is
+  shared with nobody and is not indexed. Equal lines of a batch are one record.
+* Records that share a prefix token meet in one group. Equal sets go at once, all but
+  the first. Of the others, length, position and a parity map of the tokens (its
+  differing bits never outnumber the differing tokens) leave few candidates.
 * The texts of candidates are fetched and their Jaccard similarity is verified. A
   record keeps its best candidates; one whose candidates all fail although its groups
   held more of them meets all of them in a second pass, so nothing is missed.
 
-A group beyond ``large`` rows is cut into blocks, and pairs of blocks are compared in
-tasks of their own.
+Tokens frequent enough to fill a task are set aside, counted exactly, and their groups
+cut into blocks; pairs of blocks are compared in tasks of their own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.llm.common import chunks, col, fresh, partitions
 from flowloom.session import materialize
 
 BUCKETS = 1 << 18
-NO_ID = (1 << 63) - 1  # rows without doc_id come last
+HASHED = 1 << 62  # numbers of documents without a doc_id of their own start here
 KEPT = 3  # candidates of a record that are verified first
 
 
@@ -47,49 +47,62 @@ class LineDedup:
         return np.ceil(self.least / (1 + self.least) * (a + b) - 1e-9)
 
 
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Tokens:
     """Numbers and hashes of the words a task has met; starts anew when large."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.hashes = np.empty(0, np.uint64)
 
     def lines(self, texts: list[str]):
-        """(text, line, number of the token) for each word, and lines of each text."""
+        """Number of each word, words of each line, lines of each text."""
         if len(self.known) > self.most:
-            self.known, self.hashes = {}, np.empty(0, np.uint64)
-        known, numbers, sizes, counts = self.known, [], [], []
+            self.known, self.hashes = _Numbers(), np.empty(0, np.uint64)
+        number, numbers, sizes, counts = self.known.__getitem__, [], [], []
         for t in texts:
             lines = t.lower().split("\n")
             counts.append(len(lines))
             for line in lines:
                 words = line.split()
                 sizes.append(len(words))
-                for w in words:
-                    n = known.get(w)
-                    if n is None:
-                        n = known[w] = len(known)
-                    numbers.append(n)
-        if len(known) > len(self.hashes):
-            added = list(known)[len(self.hashes) :]
+                numbers.extend(map(number, words))
+        added = list(islice(self.known, len(self.hashes), None))
+        if added:
             new = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7) for w in added], np.uint64)
             self.hashes = np.concatenate([self.hashes, new])
         return np.array(numbers, np.int64), np.array(sizes, np.int64), np.array(counts, np.int64)
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """(id, version, text): rows with the same id and text are the same document."""
-    text = F.coalesce(col("text").cast("string"), F.lit(""))
-    return docs.select(*_place(docs), text.alias("text"))
+def with_rid(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number for each document that orders like doc_id.
 
-
-def _place(docs: DataFrame) -> list[Column]:
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return [F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("version")]
+    Rows with the same doc_id and text are one document. Rows without doc_id, and
+    those that share theirs with another text, are numbered by a hash, after all others.
+    """
+    text = F.xxhash64(F.coalesce(col("text").cast("string"), F.lit("")))
+    shared = materialize(
+        docs.groupBy(col("doc_id").alias("_i"))
+        .agg(F.min(text).alias("_low"), F.max(text).alias("_high"))
+        .filter((F.col("_low") != F.col("_high")) & F.col("_i").isNotNull())
+        .select(F.col("_i").alias(fresh(docs, "_shared")))
+    )
+    mark = shared.columns[0]
+    own = col("doc_id").cast("long")
+    hashed = F.xxhash64(own, text).bitwiseAND(F.lit(HASHED - 1)) + F.lit(HASHED)
+    if shared.isEmpty():
+        return docs.withColumn(name, F.coalesce(own, hashed))
+    marked = docs.join(shared, own == col(mark), "left")
+    return marked.withColumn(name, F.when(own.isNull() | col(mark).isNotNull(), hashed).otherwise(own)).drop(mark)
 
 
-def rarity(places: DataFrame) -> np.ndarray:
+def rarity(texts: DataFrame) -> np.ndarray:
     """Occurrences of the tokens of each hash bucket over all lines; fixed size."""
 
     def counted(batches):
@@ -101,7 +114,7 @@ def rarity(places: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    sums = places.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = texts.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # at most BUCKETS rows, whatever the input
     out = np.zeros(BUCKETS, np.int64)
     out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -132,304 +145,294 @@ class _Records:
             np.concatenate([[0], np.cumsum(self.line_counts)[:-1]]), self.line_counts
         )
 
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that stand for each line's set."""
-        out = []
-        for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            x = self.hash * np.uint64(k)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            out.append(np.add.reduceat(x, self.start[self.full]) if len(self.full) else np.empty(0, np.uint64))
-        return out[0], out[1]
-
-    def parity(self) -> tuple[np.ndarray, np.ndarray]:
-        bit = (self.hash >> np.uint64(40)) & np.uint64(63)
-        one = np.uint64(1) << bit
-        upper = (self.hash >> np.uint64(50)) & np.uint64(1) == 1
-        at = self.start[self.full]
-        if not len(at):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        zero = np.uint64(0)
-        return (
-            np.bitwise_xor.reduceat(np.where(upper, zero, one), at),
-            np.bitwise_xor.reduceat(np.where(upper, one, zero), at),
-        )
+    def sums(self) -> np.ndarray:
+        """64 bits that stand for each line's set."""
+        x = self.hash * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        return np.add.reduceat(x, self.start[self.full])
 
+    def parity(self) -> np.ndarray:
+        """A bit for each residue of the tokens: whether their number is odd."""
+        one = np.uint64(1) << ((self.hash >> np.uint64(40)) & np.uint64(63))
+        return np.bitwise_xor.reduceat(one, self.start[self.full])
 
-def line_records(places: DataFrame, counts) -> DataFrame:
-    """(set_a, set_b, id, version, line) of every line with words."""
 
-    def rows(batches):
-        tokens = _Tokens()
-        for b in batches:
-            for start, held in chunks(b.column(2).to_pylist()):
-                r = _Records(tokens, held, counts.value)
-                a, c = r.sums()
-                at = pa.array(start + r.text_of[r.full])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(a.view(np.int64)),
-                        pa.array(c.view(np.int64)),
-                        b.column(0).take(at),
-                        b.column(1).take(at),
-                        pa.array(r.line_no[r.full].astype(np.int32)),
-                    ],
-                    names=["set_a", "set_b", "id", "version", "line"],
-                )
-
-    return places.mapInArrow(rows, "set_a long, set_b long, id long, version long, line int")
-
-
-INDEX = "token long, id long, version long, line int, size int, place int, map_a long, map_b long"
+ROWS = "kind int, token long, rid long, line int, size int, place int, map long, set long"
+OUT = ROWS + ", to_rid long, to_line int, apart int, more boolean"
+COMPARE, SET_ASIDE, COPY, PAIR = range(4)
 
 
 def prefix_index(places: DataFrame, counts, rule: LineDedup) -> DataFrame:
-    """Prefix tokens of the lines that another record could match."""
-    least = rule.least
+    """Prefix tokens of the lines, and the lines that an equal one of their batch precedes."""
+    least, large = rule.least, rule.large
 
     def rows(batches):
         tokens = _Tokens()
         for b in batches:
-            ids, versions = b.column(0), b.column(1)
-            for start, held in chunks(b.column(2).to_pylist()):
+            rids = b.column(0).to_numpy()
+            for at, held in chunks(b.column(1).to_pylist()):
                 r = _Records(tokens, held, counts.value)
                 if not len(r.full):
                     continue
-                a, c = r.parity()
-                # a set of n tokens needs ceil(least * n) in common with any match
-                length = r.size - np.ceil(least * r.size - 1e-9).astype(np.int64) + 1
-                # sets too small to match any but their equals
-                length[(np.floor(r.size / least + 1e-9) <= r.size) & (rule.overlap(r.size, r.size) >= r.size)] = 0
-                inside = np.arange(len(r.line)) - r.start[r.line]
-                # equal copies inside these texts are one record
-                sa, sb = r.sums()
-                first = np.zeros(len(r.size), bool)
-                _, at = np.unique(np.stack([sa, sb]), axis=1, return_index=True)
-                first[r.full[at]] = True
-                pick = np.flatnonzero((inside < length[r.line]) & (r.count > 1) & first[r.line])
-                line = r.line[pick]
-                where = np.searchsorted(r.full, line)
-                at = pa.array(start + r.text_of[line])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r.hash[pick].view(np.int64)),
-                        ids.take(at),
-                        versions.take(at),
-                        pa.array(r.line_no[line].astype(np.int32)),
-                        pa.array(r.size[line].astype(np.int32)),
-                        pa.array(inside[pick].astype(np.int32)),
-                        pa.array(a[where].view(np.int64)),
-                        pa.array(c[where].view(np.int64)),
-                    ],
-                    names=[f.split()[0] for f in INDEX.split(", ")],
+                rid = rids[at : at + len(held)][r.text_of[r.full]]
+                line, sums, parity = r.line_no[r.full], r.sums(), r.parity()
+                order = np.lexsort((line, rid, sums))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = sums[order[1:]] == sums[order[:-1]]
+                record = np.full(len(r.size), -1)
+                record[r.full] = np.arange(len(r.full))
+                # a set of n tokens has ceil(least * n) in common with any match
+                prefix = r.size - np.ceil(least * r.size - 1e-9).astype(np.int64) + 1
+                place = np.arange(len(r.line)) - r.start[r.line]
+                pick = np.flatnonzero((place < prefix[r.line]) & (r.count > 1) & ~again[record[r.line]])
+                mine, copies = record[r.line[pick]], np.flatnonzero(again)
+                none, zeros = np.zeros(len(copies), np.int64), np.zeros(len(copies), np.int32)
+                kind = np.where(r.count[pick] > large, SET_ASIDE, COMPARE)
+                yield _batch(
+                    ROWS,
+                    np.append(kind, zeros + COPY),
+                    # rows that only pass through are dealt out by their line
+                    np.append(r.hash[pick].view(np.int64), sums[copies].view(np.int64) + line[copies]),
+                    np.append(rid[mine], rid[copies]),
+                    np.append(line[mine], line[copies]),
+                    np.append(r.size[r.line[pick]], none),
+                    np.append(place[pick], none),
+                    np.append(parity.view(np.int64)[mine], none),
+                    np.append(sums.view(np.int64)[mine], none),
                 )
 
-    return places.mapInArrow(rows, INDEX)
+    return places.mapInArrow(rows, ROWS)
 
 
-PAIRS = "id long, version long, line int, to_id long, to_version long, to_line int, apart int, more boolean"
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c.astype(kinds[t].to_pandas_dtype()), kinds[t]) for c, t in zip(columns, types)], names=list(names)
+    )
 
 
-def _candidates(index: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
-    """Earlier records that pass the filters; of each group at most ``kept`` and a flag for more."""
-    hot = materialize(
-        index.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rule.large)
-        .select("token", F.ceil(F.col("n") / rule.large).cast("int").alias("blocks"))
-    )
-    rows = index.withColumn("x", F.lit(-1)).withColumn("y", F.lit(-1)).withColumn("own", F.lit(0))
-    if not hot.isEmpty():
-        plain = rows.join(hot.select("token"), "token", "left_anti")
-        block = F.pmod(F.xxhash64("id", "version", "line"), F.col("blocks")).cast("int")
-        split = (
-            index.join(hot, "token")
-            .withColumn("own", block)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("x", F.least("own", "other"))
-            .withColumn("y", F.greatest("own", "other"))
-        )
-        rows = plain.unionByName(split.select(*rows.columns))
-    keys = ["token", "x", "y"]
-    order = [*keys, "id", "version", "line"]
-    dealt = rows.repartition(partitions(index), *keys).sortWithinPartitions(*order)
+def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup, kept: int | None) -> DataFrame:
+    """Groups of equal ``keys`` compared; rows of other kinds pass through."""
+    # what passes through has no group and is dealt out by its line
+    dealt_by = F.when(F.col("kind") == COMPARE, F.xxhash64(*keys)).otherwise(F.xxhash64("rid", "line", "token"))
+    dealt = rows.withColumn("_deal", dealt_by).repartition(partitions(rows), "_deal").drop("_deal")
+    dealt = dealt.sortWithinPartitions("kind", *keys)
 
-    def paired(batches):
+    def compared(batches):
         held = None
         for b in batches:
             part = [np.asarray(c) for c in b.columns]
-            held = part if held is None else [np.concatenate([p, q]) for p, q in zip(held, part)]
-            if not len(held[0]):
+            if part[0][0] != COMPARE and held is None:
+                yield _passed(part)
                 continue
-            new = _borders(held)
-            last = int(np.flatnonzero(new)[-1])
+            held = part if held is None else [np.concatenate([p, q]) for p, q in zip(held, part)]
+            last = int(np.flatnonzero(_borders(held))[-1])
             yield from _compare([h[:last] for h in held], rule, kept)
             held = [h[last:] for h in held]
         if held is not None:
             yield from _compare(held, rule, kept)
 
-    return dealt.select(*[f.split()[0] for f in INDEX.split(", ")], *keys[1:], "own").mapInArrow(paired, PAIRS)
+    return dealt.mapInArrow(compared, OUT)
+
+
+def _passed(cols: list[np.ndarray]) -> pa.RecordBatch:
+    zero = np.zeros(len(cols[0]), np.int64)
+    return _batch(OUT, *cols[:8], zero, zero, zero, zero)
 
 
 def _borders(cols: list[np.ndarray]) -> np.ndarray:
-    token, x, y = cols[0], cols[8], cols[9]
-    return np.concatenate([[True], (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    keys = [cols[0], cols[1], *cols[8:10]]
+    change = np.zeros(len(cols[0]) - 1, bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    return np.concatenate([[True], change])
 
 
 def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
-    token, ids, versions, line, size, place, map_a, map_b, x, y, own = cols
-    n = len(token)
-    if n < 2:
+    """Copies and candidates of whole groups; of each line at most ``kept`` and a flag for more."""
+    if len(cols[0]) and (cols[0] != COMPARE).any():
+        other = cols[0] != COMPARE
+        yield _passed([c[other] for c in cols])
+        cols = [c[~other] for c in cols]
+    if len(cols[0]) < 2:
         return
-    starts = np.flatnonzero(_borders(cols))
-    since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))  # earlier members of the group
-    map_a, map_b = map_a.view(np.uint64), map_b.view(np.uint64)
-    found = np.zeros(n, np.int32)
-    later, earlier, apart, more = [], [], [], np.zeros(n, bool)
-    active = np.flatnonzero(since > 0)
-    lag = 0
+    group = np.cumsum(_borders(cols))
+    # equal sets first, each in the order of its lines: all but the first are copies
+    order = np.lexsort((cols[3], cols[2], cols[7], group))
+    cols, group = [c[order] for c in cols], group[order]
+    sets = cols[7]
+    copy = np.concatenate([[False], (group[1:] == group[:-1]) & (sets[1:] == sets[:-1])])
+    gone = np.flatnonzero(copy & ((cols[2] != np.roll(cols[2], 1)) | (cols[3] != np.roll(cols[3], 1))))
+    if len(gone):
+        zero = np.zeros(len(gone), np.int64)
+        yield _batch(OUT, zero + COPY, *[c[gone] for c in cols[1:8]], zero, zero, zero, zero)
+    cols, group = [c[~copy] for c in cols], group[~copy]
+    order = np.lexsort((cols[3], cols[2], group))
+    cols, group = [c[order] for c in cols], group[order]
+    _, token, rid, line, size, place, parity, sets = cols[:8]
+    own = cols[10] if len(cols) > 10 else None
+    cross = cols[8] != cols[9] if own is not None else None
+    n = len(token)
+    parity = parity.view(np.uint64)
+    since = np.arange(n) - np.searchsorted(group, group)  # earlier members of the group
+    found, more = np.zeros(n, np.int32), np.zeros(n, bool)
+    later, earlier, apart = [], [], []
+    active, lag = np.flatnonzero(since > 0), 0
     while len(active):
         lag += 1
-        active = active[since[active] >= lag]
+        active = active[(since[active] >= lag) & ~more[active]]
         j = active - lag
         s, t = size[active], size[j]
         need = rule.overlap(s, t)
         rest = np.minimum(s - place[active], t - place[j]) - 1
-        most = 1 + rest + np.minimum(place[active], place[j])
-        near = (most >= need) & ((x[active] == y[active]) | (own[active] != own[j]))
+        near = 1 + rest + np.minimum(place[active], place[j]) >= need
         near &= np.minimum(s, t) >= rule.least * np.maximum(s, t) - 1e-9
+        if own is not None:
+            near &= ~cross[active] | (own[active] != own[j])
         at = np.flatnonzero(near)
-        if len(at):
-            i, k = active[at], j[at]
-            d = np.bitwise_count(map_a[i] ^ map_a[k]) + np.bitwise_count(map_b[i] ^ map_b[k])
-            good = (d <= s[at] + t[at] - 2 * need[at]) & (
-                (ids[i] != ids[k]) | (versions[i] != versions[k]) | (line[i] != line[k])
-            )
-            i, k, d = i[good], k[good], d[good]
-            if kept is not None:
-                full = found[i] >= kept
-                more[i[full]] = True
-                i, k, d = i[~full], k[~full], d[~full]
+        i, k = active[at], j[at]
+        d = np.bitwise_count(parity[i] ^ parity[k])
+        good = d <= s[at] + t[at] - 2 * need[at]
+        i, k, d = i[good], k[good], d[good]
+        if kept is not None:
+            full = found[i] >= kept
+            more[i[full]] = True
+            i, k, d = i[~full], k[~full], d[~full]
+        if len(i):
             found[i] += 1
             later.append(i)
             earlier.append(k)
             apart.append(d)
-            if kept is not None and len(active) and more.any():
-                active = active[~more[active]]
-    if not later:
-        return
-    i, k, d = np.concatenate(later), np.concatenate(earlier), np.concatenate(apart)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(c[v]) for v in (i, k) for c in (ids, versions, line)]
-        + [pa.array(d.astype(np.int32)), pa.array(more[i])],
-        names=[f.split()[0] for f in PAIRS.split(", ")],
+    if later:
+        i, k, d = np.concatenate(later), np.concatenate(earlier), np.concatenate(apart)
+        yield _batch(
+            OUT, np.full(len(i), PAIR), *[c[i] for c in (token, rid, line, size, place, parity.view(np.int64), sets)],
+            rid[k], line[k], d, more[i],
+        )
+
+
+def _in_blocks(rows: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
+    """Rows set aside, compared in blocks of their groups."""
+    blocks = (
+        rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / rule.large).cast("int").alias("blocks"))
     )
+    split = (
+        rows.withColumn("kind", F.lit(COMPARE))
+        .join(blocks, "token")
+        .withColumn("own", F.pmod(F.xxhash64("rid", "line"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("x", F.least("own", "other"))
+        .withColumn("y", F.greatest("own", "other"))
+    )
+    names = [f.split()[0] for f in ROWS.split(", ")]
+    return _grouped(split.select(*names, "x", "y", "own"), ["token", "x", "y"], rule, kept)
 
 
 def _verified(places: DataFrame, pairs: DataFrame, rule: LineDedup) -> DataFrame:
-    """(id, version, line) of the records of ``pairs`` that match their earlier record."""
-    one = pairs.select("id", "version", "line")
-    other = pairs.select(F.col("to_id").alias("id"), F.col("to_version").alias("version"), F.col("to_line").alias("line"))
-    wanted = one.unionByName(other).distinct().groupBy("id", "version").agg(F.collect_list("line").alias("lines"))
+    """(rid, line) of the lines of ``pairs`` that match their earlier line."""
+    other = pairs.select(F.col("to_rid").alias("rid"), F.col("to_line").alias("line"))
+    wanted = (
+        pairs.select("rid", "line").unionByName(other).distinct()
+        .groupBy("rid").agg(F.collect_list("line").alias("lines"))  # no more than the document has
+    )
 
     def fetched(batches):
         for b in batches:
-            ids, versions, numbers, sets = [], [], [], []
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
-            for i, v, t, wanted_lines in rows:
-                if wanted_lines is None:
-                    continue
-                lines = t.lower().split("\n")
-                for k in wanted_lines:
-                    ids.append(i)
-                    versions.append(v)
+            rids, numbers, sets = [], [], []
+            for rid, text, lines in zip(*(c.to_pylist() for c in b.columns)):
+                split = text.lower().split("\n")
+                for k in lines:
+                    rids.append(rid)
                     numbers.append(k)
-                    sets.append([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7) - (1 << 63) for w in set(lines[k].split())])
+                    words = set(split[k].split())
+                    sets.append([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7) - HALF for w in words])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["id", "version", "line", "tokens"],
+                [pa.array(rids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
+                names=["rid", "line", "tokens"],
             )
 
-    dealt = places.repartition(partitions(places), "id", "version")
     lines = (
-        dealt.join(wanted, ["id", "version"], "left")
-        .mapInArrow(fetched, "id long, version long, line int, tokens array<long>")
-        .dropDuplicates(["id", "version", "line"])
+        places.join(wanted, "rid")
+        .select("rid", "text", "lines")
+        .mapInArrow(fetched, "rid long, line int, tokens array<long>")
+        .dropDuplicates(["rid", "line"])
     )
-    far = lines.select(
-        F.col("id").alias("to_id"), F.col("version").alias("to_version"), F.col("line").alias("to_line"),
-        F.col("tokens").alias("to_tokens"),
-    )
-    joined = pairs.join(lines, ["id", "version", "line"]).join(far, ["to_id", "to_version", "to_line"])
+    far = lines.select(F.col("rid").alias("to_rid"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
+    joined = pairs.select("rid", "line", "to_rid", "to_line").join(lines, ["rid", "line"]).join(far, ["to_rid", "to_line"])
     common = F.size(F.array_intersect("tokens", "to_tokens"))
     match = common >= rule.least * (F.size("tokens") + F.size("to_tokens") - common) - 1e-9
-    return joined.filter(match).select("id", "version", "line").distinct()
-
-
-def later_matches(docs: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame:
-    """(id, version, lines): the line numbers, from 0, that go from each document."""
-    spark = docs.sparkSession
-    places = _places(docs)
-    counts = spark.sparkContext.broadcast(rarity(places))  # fixed size
-    records = line_records(places, counts)
-    first = F.min(F.struct("id", "version", "line")).alias("first")
-    sets = records.groupBy("set_a", "set_b").agg(first, F.count(F.lit(1)).alias("n"))
-    # places of sets that occur again, all but the first; both sides shuffle by set
-    again = sets.filter("n > 1").select("set_a", "set_b", "first")
-    copies = materialize(
-        records.join(again, ["set_a", "set_b"])
-        .filter(F.struct("id", "version", "line") != F.col("first"))
-        .select("id", "version", "line")
-        .distinct()
-    )
-    index = prefix_index(places, counts, rule).join(copies, ["id", "version", "line"], "left_anti")
-    found = _candidates(index, rule, KEPT)
-    best = Window.partitionBy("id", "version", "line").orderBy("apart", "to_id", "to_version", "to_line")
-    pairs = materialize(
-        found.groupBy("id", "version", "line", "to_id", "to_version", "to_line")
+    return joined.filter(match).select("rid", "line").distinct()
+
+
+HALF = 1 << 63
+
+
+def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame:
+    """(rid, lines): the line numbers, from 0, that go from each document of (rid, text)."""
+    spark = places.sparkSession
+    counts = spark.sparkContext.broadcast(rarity(places.select("text")))  # fixed size
+    index = prefix_index(places, counts, rule)
+    first = materialize(_grouped(index, ["token"], rule, KEPT))
+    aside = first.filter(F.col("kind") == SET_ASIDE)
+    found = first
+    if not aside.isEmpty():
+        found = first.unionByName(materialize(_in_blocks(aside.select(*_names(ROWS)), rule, KEPT)))
+    copies = found.filter(F.col("kind") == COPY).select("rid", "line").distinct()
+    best = Window.partitionBy("rid", "line").orderBy("apart", "to_rid", "to_line")
+    pairs = (
+        found.filter(F.col("kind") == PAIR)
+        .groupBy("rid", "line", "to_rid", "to_line")
         .agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
-        .withColumn("more", F.max("more").over(Window.partitionBy("id", "version", "line")))
-        .withColumn("_r", F.row_number().over(best))
+        .withColumn("more", F.max("more").over(Window.partitionBy("rid", "line")))
+        .withColumn("rank", F.row_number().over(best))
+        .join(copies, ["rid", "line"], "left_anti")
     )
-    matched = materialize(_verified(places, pairs.filter(F.col("_r") <= KEPT), rule))
-    open_ = pairs.filter((F.col("_r") > KEPT) | F.col("more")).select("id", "version", "line").distinct()
-    open_ = materialize(open_.join(matched, ["id", "version", "line"], "left_anti"))
-    if not open_.isEmpty():
-        # every candidate of the records that are still undecided
-        mine = open_.withColumn("mine", F.lit(True))
-        whole = index.join(mine, ["id", "version", "line"], "left").select("token", "mine")
-        tokens = whole.filter("mine").select("token").distinct()
-        rest = _candidates(index.join(tokens, "token", "left_semi"), rule, None).join(
-            open_, ["id", "version", "line"], "left_semi"
-        )
-        rest = materialize(rest.select("id", "version", "line", "to_id", "to_version", "to_line").distinct())
-        matched = matched.unionByName(materialize(_verified(places, rest, rule)))
+    pairs = materialize(pairs)
+    matched = materialize(_verified(places, pairs.filter(F.col("rank") <= KEPT), rule))
+    undecided = pairs.filter((F.col("rank") > KEPT) | F.col("more")).select("rid", "line").distinct()
+    undecided = materialize(undecided.join(matched, ["rid", "line"], "left_anti"))
+    if not undecided.isEmpty():
+        # every candidate of these lines, from all groups they are in
+        rows = index.filter(F.col("kind").isin(COMPARE, SET_ASIDE))
+        tokens = rows.join(undecided, ["rid", "line"], "left_semi").select("token").distinct()
+        rows = rows.join(tokens, "token", "left_semi")
+        every = _in_blocks(rows, rule, None).filter(F.col("kind") == PAIR)
+        rest = every.join(undecided, ["rid", "line"], "left_semi").select("rid", "line", "to_rid", "to_line").distinct()
+        matched = matched.unionByName(materialize(_verified(places, materialize(rest), rule)))
     gone = copies.unionByName(matched).distinct()
-    return gone.groupBy("id", "version").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return gone.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
 
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
-def dedup_lines(docs: DataFrame, rule: LineDedup = LineDedup(), n_lines: str | None = None, removed: str | None = None) -> DataFrame:
+
+def dedup_lines(
+    docs: DataFrame, rule: LineDedup = LineDedup(), n_lines: str | None = None, removed: str | None = None
+) -> DataFrame:
     """Rows of ``docs`` with later matches removed from ``text``, all columns kept.
 
     ``n_lines`` and ``removed`` name columns for the number of lines and for the
     removed line numbers. A null text has no lines and stays null; an empty text is
     one line without words. Rows that repeat doc_id and text are one document: the
-    same lines go from each. Rows without a doc_id come last, in the order of a hash
-    of their text.
+    same lines go from each. Rows without a doc_id of their own come last, in the
+    order of a hash.
     """
-    gone = materialize(later_matches(docs, rule))
-    names = [fresh(docs, n) for n in ("_id", "_version", "_lines")]
-    gone = gone.toDF(*names)
-    keyed = docs.withColumns(dict(zip(names[:2], _place(docs))))
-    # documents of one row each: the join cannot be skewed
-    joined = keyed.repartition(partitions(docs), *names[:2]).join(gone, names[:2], "left")
+    rid, gone_lines = fresh(docs, "_rid"), fresh(docs, "_gone")
+    numbered = with_rid(docs, rid)
+    text = F.coalesce(col("text").cast("string"), F.lit(""))
+    gone = materialize(later_matches(numbered.select(col(rid).alias("rid"), text.alias("text")), rule))
+    # one row for each document: the join cannot be skewed
+    out = numbered.join(gone.toDF(rid, gone_lines), rid, "left")
     lines = F.split(col("text").cast("string"), "\n", -1)
-    went = F.coalesce(col(names[2]), F.array().cast("array<int>"))
+    went = F.coalesce(col(gone_lines), F.array().cast("array<int>"))
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(went, i)), "\n")
-    text = F.when(F.size(went) > 0, left).otherwise(col("text"))
-    out = joined
     if n_lines:
         out = out.withColumn(n_lines, F.when(col("text").isNull(), 0).otherwise(F.size(lines)))
     if removed:
         out = out.withColumn(removed, went)
-    out = out.withColumn("text", text)
+    out = out.withColumn("text", F.when(F.size(went) > 0, left).otherwise(col("text")))
     return out.select(*[col(c) for c in docs.columns], *[col(c) for c in (n_lines, removed) if c])

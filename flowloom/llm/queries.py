@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import linededup, mixing, sentencepiece, simhash, toxicity
+from flowloom.llm import linededup, mixing, sentencepiece, simhash, suffixdedup, toxicity
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.compile_model()
     return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), model)
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
