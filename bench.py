@@ -9,7 +9,6 @@ import json
 import os
 import sys
 import time
-from dataclasses import replace
 
 from flowloom import catalog
 from flowloom.catalog.base import flows
@@ -43,8 +42,8 @@ def prepare_all(spark, sf):
 def train_forest_and_isolation(spark, sf):
     """Forest and isolation forest, as the published training baseline fits."""
     f = labelled(spark, sf).select("row_id", "is_attack", *FEATURES)
-    forest = models.fit_forest(f, FEATURES, replace(CFG, forest_trees=20, forest_depth=10))
-    return isolation.fit(f, FEATURES, trees=100).flag(forest.score(f))
+    forest = models.fit_forest(f, FEATURES, CFG)
+    return isolation.fit(f, FEATURES, trees=CFG.isolation_trees).flag(forest.score(f))
 
 
 def run(fn, spark, sf) -> float:

@@ -150,15 +150,29 @@ def network_scores(spark, sf):
 @query(
     "rule_signals",
     f"""WITH {FLOWS_URI}, r AS (SELECT row_id, event_type, {RULES} AS rules FROM flows)
-SELECT row_id, CASE WHEN event_type = 'view' THEN '' ELSE array_to_string(rules, ',') END AS rules,
-  round(CASE WHEN event_type = 'view' THEN 0.0 ELSE least(0.16, len(rules) * 0.035::DOUBLE) END, 6) AS boost FROM r""",
+SELECT row_id, CASE WHEN event_type IN ('view', 'click') THEN '' ELSE array_to_string(rules, ',') END AS rules,
+  round(CASE WHEN event_type IN ('view', 'click') THEN 0.0 ELSE least(0.16, len(rules) * 0.035::DOUBLE) END, 6) AS boost FROM r""",
 )
 def rule_signals(spark, sf):
-    """Rules and boost; an unreadable port drops all rules of its row."""
-    port = F.when(F.col("event_type") == "view", F.lit("n/a")).otherwise(
-        F.col("Destination Port").cast("string")
-    )
-    f = flows(spark, sf, uri=True).withColumn("Destination Port", port)
+    """Rules and boost; an unreadable or missing port drops all rules of its row."""
+    kind = F.col("event_type")
+    port = F.when(kind == "view", F.lit("n/a")).when(kind != "click", F.col("Destination Port").cast("string"))
+    return _signals(flows(spark, sf, uri=True).withColumn("Destination Port", port))
+
+
+@query(
+    "rule_signals_missing_port",
+    f"""WITH {FLOWS_URI}, r AS (SELECT row_id, event_type, {RULES} AS rules FROM flows)
+SELECT row_id, CASE WHEN event_type = 'error' THEN '' ELSE array_to_string(rules, ',') END AS rules,
+  round(CASE WHEN event_type = 'error' THEN 0.0 ELSE least(0.16, len(rules) * 0.035::DOUBLE) END, 6) AS boost FROM r""",
+)
+def rule_signals_missing_port(spark, sf):
+    """The same on whole-number ports, null for some rows."""
+    f = flows(spark, sf, uri=True)
+    return _signals(f.withColumn("Destination Port", F.when(F.col("event_type") != "error", F.col("Destination Port"))))
+
+
+def _signals(f):
     rules = scoring.rule_conditions(dict(f.dtypes))
     return f.select(
         "row_id",

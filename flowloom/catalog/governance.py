@@ -429,7 +429,7 @@ def sandbox_decision(spark, sf):
 @query(
     "retrain_guards",
     """SELECT o_orderstatus AS buffer, count(*) AS n, floor(count(*) * 0.8)::BIGINT AS split,
-  CASE WHEN count(*) < 5000 THEN 'need >= 5000 rows' END AS skip_reason FROM orders GROUP BY 1""",
+  CASE WHEN count(*) < 5000 THEN 'fewer than 5000 new rows' END AS skip_reason FROM orders GROUP BY 1""",
 )
 def retrain_guards(spark, sf):
     """Guard outcome of a buffer per order status."""

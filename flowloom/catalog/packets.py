@@ -311,17 +311,17 @@ def header_signal_quality(spark, sf):
 @query(
     "training_slice",
     f"""WITH {FLOWS}, b AS (SELECT row_id, 'benign' AS source_file FROM flows WHERE event_type = 'view'
-  ORDER BY row_id LIMIT 350),
+  ORDER BY row_id LIMIT 35000),
 a AS (SELECT row_id, concat('f', "Protocol") AS source_file, row_number() OVER (PARTITION BY "Protocol"
   ORDER BY md5(concat(row_id, ':42')), row_id) AS n FROM flows WHERE "Label" <> 'BENIGN')
-SELECT row_id, source_file FROM b UNION ALL SELECT row_id, source_file FROM a WHERE n <= 60""",
+SELECT row_id, source_file FROM b UNION ALL SELECT row_id, source_file FROM a WHERE n <= 6000""",
 )
 def training_slice(spark, sf):
     """Head of the benign rows and a capped, reproducible pick of attacks per file."""
     f = flows(spark, sf)
     benign = f.filter("event_type = 'view'").withColumn("source_file", F.lit("benign"))
     attacks = f.withColumn("source_file", F.concat(F.lit("f"), F.col("Protocol")))
-    return sampling.training_slice(benign, attacks, 350, 60).select("row_id", "source_file")
+    return sampling.training_slice(benign, attacks).select("row_id", "source_file")
 
 
 @query(

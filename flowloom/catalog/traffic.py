@@ -207,3 +207,26 @@ def class_report(spark, sf):
     return metrics.class_report(d, "t", "g").select(
         "label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support"
     )
+
+
+DIRTY = 'CASE WHEN row_id % 11 IN (0, 3, 7) THEN 0 ELSE "SYN Flag Count" END'
+
+
+@query(
+    "level1_dirty_values",
+    f"""WITH {FLOWS}, totals AS (SELECT {B} AS bucket, sum({DIRTY})::DOUBLE AS s FROM flows GROUP BY 1),
+dense AS (SELECT g.bucket, coalesce(s, 0) AS s FROM (SELECT unnest(generate_series((SELECT min(bucket) FROM totals),
+  (SELECT max(bucket) FROM totals), 3600000000)) AS bucket) g LEFT JOIN totals USING (bucket))
+SELECT bucket, s AS syn, s > (SELECT avg(s) + {MULTIPLIER} * stddev_samp(s) FROM dense) AS l1_syn_spike
+FROM dense WHERE bucket IN (SELECT bucket FROM totals)""",
+)
+def level1_dirty_values(spark, sf):
+    """Spikes found although SYN counts hold NaN, infinities and nulls."""
+    k = F.col("row_id") % 11
+    syn = (
+        F.when(k == 0, F.lit(float("nan"))).when(k == 3, F.lit(float("inf")))
+        .when(k != 7, F.col("SYN Flag Count").cast("double"))
+    )
+    totals = traffic.bucket_totals(flows(spark, sf).withColumn("SYN Flag Count", syn), HOUR)
+    flagged = traffic.spike_flags(totals, HOUR, MULTIPLIER)
+    return flagged.select("bucket", F.col("SYN_Flag_Count").alias("syn"), "l1_syn_spike")

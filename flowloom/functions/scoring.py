@@ -137,15 +137,12 @@ def rule_conditions(types: dict[str, str], duration_unit: str = "as_is") -> dict
     port_type = types.get("Destination Port", "int")
     if port_type in ("string", "double", "float"):
         raw = _measure(types, "Destination Port")
-        readable = F.abs(raw) < 1e18  # false for NaN
+        readable = name("Destination Port").isNotNull() & (F.abs(raw) < 1e18)  # false for NaN
         port = F.when(readable, raw).cast("long")
     else:
-        readable = None
-        port = (
-            F.coalesce(name("Destination Port"), F.lit(0)).cast("long")
-            if "Destination Port" in types
-            else F.lit(0)
-        )
+        known = "Destination Port" in types
+        readable = name("Destination Port").isNotNull() if known else None
+        port = name("Destination Port").cast("long") if known else F.lit(0)
     uri = name("http_request_uri") if "http_request_uri" in types else F.lit("")
     conditions = {
         "high_packet_rate": _above(types, "Flow Packets/s", pps, PACKET_RATE_LIMIT),

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from flowloom.operators.skew import exact_quantile
 from flowloom.session import materialize
 
-POOL_ROWS = 1_000_000
 NODES = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
 
 
@@ -129,18 +128,15 @@ class IsolationForest:
         )
 
 
-def feature_array(features: list[str]) -> Column:
-    """Bounded doubles: infinities are cut to ±1e12, gaps become 0."""
+def bounded(column: Column) -> Column:
+    """A double with infinities cut to ±1e12 and gaps as 0."""
     bound = F.lit(1e12)
-    return F.array(
-        *[
-            F.greatest(
-                -bound,
-                F.least(bound, F.coalesce(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(0.0)), F.lit(0.0))),
-            )
-            for c in features
-        ]
-    )
+    return F.greatest(-bound, F.least(bound, F.coalesce(F.nanvl(column.cast("double"), F.lit(0.0)), F.lit(0.0))))
+
+
+def feature_array(features: list[str]) -> Column:
+    """Bounded doubles of the feature columns."""
+    return F.array(*[bounded(F.col(f"`{c}`")) for c in features])
 
 
 def _collect_trees(nodes: DataFrame) -> list[dict]:
@@ -155,21 +151,26 @@ def tree_samples(
 ) -> DataFrame:
     """(tree, x): for every tree its own random rows, at most ``sample`` of them.
 
-    Large tables are first thinned to a pool by a hash of the row's key; each
-    pooled row then draws for every tree.
+    One pass over the whole table. Trees need about 1.5 * trees * sample drawn rows
+    together. A large table is filtered by a hash of the row's key to about that many,
+    each for one tree; in a small one every row draws for as many trees, one
+    from each of equal ranges of trees.
     """
     rows = df.select(F.col(key).alias("_key"), feature_array(features).alias("x"))
-    total = rows.count()
-    if total > POOL_ROWS:
-        share = int(2**31 * POOL_ROWS / total)
-        rows = rows.filter(F.pmod(F.xxhash64("_key", F.lit(seed - 1)), F.lit(2**31)) < share)
-        total = POOL_ROWS
-    chance = min(1.0, 1.5 * sample / max(total, 1))
-    draws = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_h", F.pmod(F.xxhash64("_key", "tree", F.lit(seed)), F.lit(2**31))
-    )
-    drawn = draws.filter(F.col("_h") < int(chance * 2**31))
-    order = Window.partitionBy("tree").orderBy("_h", "_key")
+    wanted = 1.5 * trees * sample / max(rows.count(), 1)
+    draws = max(1, min(trees, int(np.ceil(wanted))))
+    share = F.lit(float(1 << 31))
+
+    def chance(*parts) -> Column:
+        return F.pmod(F.xxhash64("_key", *parts), F.lit(1 << 31)) / share
+
+    if wanted < 1:
+        rows = rows.filter(chance(F.lit(seed - 1)) < wanted)
+    drawn = rows.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    place = (F.col("_d") + chance("_d", F.lit(seed))) * (trees / draws)
+    drawn = drawn.withColumn("tree", F.least(F.floor(place).cast("int"), F.lit(trees - 1)))
+    # a rank with a limit: each task keeps ``sample`` rows of a tree at most
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("_key", "tree", F.lit(seed + 1)), "_key")
     return (
         drawn.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= sample)

@@ -101,9 +101,9 @@ def retrain_guard(
     n = F.col("n")
     split = F.floor(n * (1 - cfg.validation_ratio)).cast("long")
     reason = (
-        F.when(F.lit(flag not in rows.columns), "need is_attack column for validation_gate")
-        .when(n < cfg.min_retrain_rows, f"need >= {cfg.min_retrain_rows} rows")
-        .when((split <= 0) | (split >= n), "invalid train/val split")
+        F.when(F.lit(flag not in rows.columns), "no attack flag to validate on")
+        .when(n < cfg.min_retrain_rows, f"fewer than {cfg.min_retrain_rows} new rows")
+        .when((split <= 0) | (split >= n), "nothing left to train or validate on")
     )
     return rows.agg(F.count(F.lit(1)).alias("n")).select(
         "n", split.alias("split"), reason.alias("skip_reason")
@@ -168,10 +168,10 @@ def model_health(measured: DataFrame, references: DataFrame) -> DataFrame:
         .otherwise("degraded")
     )
     note = (
-        F.when(F.col("direction").isNull(), "baseline config missing")
-        .when(v.isNull(), "metric is missing")
-        .when(ref.isNull(), "baseline initialized from current metric")
-        .otherwise("compared with baseline")
+        F.when(F.col("direction").isNull(), "no rule for this metric")
+        .when(v.isNull(), "not measured")
+        .when(ref.isNull(), "first value, kept as reference")
+        .otherwise("within or beyond its rule")
     )
     return measured.join(references, ["model", "metric"], "left").select(
         "model",

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowloom.functions import scoring
 from flowloom.functions.cleaning import attack_class, name
 from flowloom.functions.text import let
-from flowloom.operators.isolation import feature_array
+from flowloom.operators.isolation import bounded, feature_array
 from flowloom.operators.packets import scaled_header
 from flowloom.operators.skew import exact_quantile, trailing_frame
 from flowloom.session import materialize
@@ -103,10 +103,16 @@ def _fit(stages: list, data: DataFrame) -> PipelineModel:
 # --- random forest on the numeric block ---
 
 
+def _depth(depth: int) -> int:
+    if not 1 <= depth <= 30:
+        raise ValueError(f"trees can be 1 to 30 levels deep, not {depth}")
+    return depth
+
+
 def fit_forest(df: DataFrame, features: list[str], cfg: Settings) -> Channel:
     forest = RandomForestClassifier(
         numTrees=cfg.forest_trees,
-        maxDepth=min(cfg.forest_depth, 30),
+        maxDepth=_depth(cfg.forest_depth),
         seed=cfg.seed,
         maxMemoryInMB=1024,
         cacheNodeIds=False,
@@ -193,13 +199,13 @@ def _sequence_features(
     """Window mean, last value and change of every feature, by window aggregates."""
     outputs = {"_rows": lambda w: F.count(F.lit(1)).over(w)}
     for i, c in enumerate(features):
-        value = F.coalesce(name(c).cast("double"), F.lit(0.0))
+        value = bounded(name(c))
         outputs[f"_mean{i}"] = lambda w, v=value: F.avg(v).over(w)
         outputs[f"_first{i}"] = lambda w, v=value: F.first(v).over(w)
     framed = trailing_frame(df, keys, ["Timestamp", "row_id"], rows - 1, outputs, limit)
     parts = []
     for i, c in enumerate(features):
-        value = F.coalesce(name(c).cast("double"), F.lit(0.0))
+        value = bounded(name(c))
         parts += [F.col(f"_mean{i}"), value, value - F.col(f"_first{i}")]
     full = F.col("_rows") == rows
     return framed.withColumns(
@@ -213,7 +219,7 @@ def fit_sequence(
     keys = ["Source IP"] if keys is None else keys
     data = _sequence_features(with_class(df), features, cfg.window_rows, keys, limit).filter("_full")
     stages = [
-        LogisticRegression(featuresCol="features", labelCol="label", maxIter=30, standardization=True),
+        LogisticRegression(featuresCol="features", labelCol="label", maxIter=cfg.fit_iterations, standardization=True),
     ]
     model = _fit(stages, data.select("label", "features"))
     return Channel(
@@ -231,7 +237,7 @@ def _score_sequence(ch: Channel, df: DataFrame) -> DataFrame:
 # --- port and protocol categories with the numeric block ---
 
 
-def fit_categorical(df: DataFrame, features: list[str], cfg: Settings, hidden: int = 16) -> Channel:
+def fit_categorical(df: DataFrame, features: list[str], cfg: Settings) -> Channel:
     """Categories enter by one-hot vectors, values never seen as their own slot."""
     text = {"_port": name("Destination Port"), "_proto": name("Protocol")}
     prepared = with_class(df).withColumns({k: v.cast("string") for k, v in text.items()})
@@ -247,7 +253,7 @@ def fit_categorical(df: DataFrame, features: list[str], cfg: Settings, hidden: i
     encoded = encoder.transform(prepared).select("label", "features")
     width = len(encoded.select("features").first()[0])
     network = MultilayerPerceptronClassifier(
-        layers=[width, hidden, len(CLASSES)], maxIter=30, seed=cfg.seed
+        layers=[width, cfg.categorical_hidden, len(CLASSES)], maxIter=cfg.fit_iterations, seed=cfg.seed
     )
     tail = _fit([network], encoded)
     model = PipelineModel(stages=[*encoder.stages, *tail.stages])
@@ -289,7 +295,7 @@ def fit_header(df: DataFrame, cfg: Settings, trees: int | None = None) -> Channe
         return None
     data = _only_label(df, vector(header_features(F.col("header_bytes"))))
     forest = RandomForestClassifier(
-        numTrees=trees or cfg.forest_trees, maxDepth=min(cfg.forest_depth, 12), seed=cfg.seed
+        numTrees=trees or cfg.forest_trees, maxDepth=_depth(cfg.header_depth), seed=cfg.seed
     )
     model = _fit([forest], data)
     return Channel("header", CHANNELS["hdr"], ["header_bytes"], model)
@@ -304,14 +310,14 @@ def _score_header(ch: Channel, df: DataFrame) -> DataFrame:
 # --- packet tensors ---
 
 
-def fit_packets(df: DataFrame, cfg: Settings, hidden: int = 24) -> Channel | None:
+def fit_packets(df: DataFrame, cfg: Settings) -> Channel | None:
     """Trained on flows with packets only; None unless both classes occur there."""
     flat = F.flatten("sequence").cast("array<double>")
     data = _only_label(df.filter("found"), vector(flat))
     if data.select("label").distinct().count() < 2:
         return None
     network = MultilayerPerceptronClassifier(
-        layers=[PACKETS_PER_FLOW * PACKET_FEATURES, hidden, len(CLASSES)], maxIter=30, seed=cfg.seed
+        layers=[PACKETS_PER_FLOW * PACKET_FEATURES, cfg.packet_hidden, len(CLASSES)], maxIter=cfg.fit_iterations, seed=cfg.seed
     )
     model = _fit([network], data)
     return Channel("packets", CHANNELS["lstm_pkt"], ["sequence"], model)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowloom.functions.cleaning import bucket_micros, is_attack, name
 from flowloom.operators.skew import lookup
@@ -21,14 +21,14 @@ def bucket_totals(
     """Sums per non-empty bucket; rows without a time are left out.
 
     Packets per second are summed where the column exists, rows counted where
-    it does not.
+    it does not. Null, NaN and infinite values add nothing.
     """
     if "Flow Packets/s" in flows.columns:
-        aggs = [F.sum(name("Flow Packets/s")).cast("double").alias("Flow_Packets/s")]
+        aggs = [_total(flows, "Flow Packets/s").alias("Flow_Packets/s")]
     else:
         aggs = [F.count(F.lit(1)).cast("double").alias("_flow_count")]
     if syn in flows.columns:
-        aggs.append(F.sum(name(syn)).cast("double").alias("SYN_Flag_Count"))
+        aggs.append(_total(flows, syn).alias("SYN_Flag_Count"))
     return (
         flows.filter(name(ts).isNotNull())
         .groupBy(*(by or []), bucket_micros(name(ts), seconds).alias("bucket"))
@@ -36,6 +36,13 @@ def bucket_totals(
     )
 
 
+def _total(flows: DataFrame, column: str) -> Column:
+    value = name(column)
+    if dict(flows.dtypes)[column] in ("double", "float"):
+        value = F.when(F.abs(value) < float("inf"), value)  # NaN sorts above infinity
+    return F.coalesce(F.sum(value), F.lit(0)).cast("double")
+
+
 def dense_buckets(totals: DataFrame, seconds: int = 60) -> DataFrame:
     """Every bucket between the first and the last; empty ones hold zeros.
 

@@ -72,14 +72,14 @@ def retrain_once(
         )
         row.write.mode("append").parquet(f"{root}/history")
         if result in ("ok", "rejected"):
-            done = progress.prefix_digest(buffer, place["total"], generation)
+            done = progress.prefix_digest(buffer, place["last"], generation)
             done.withColumn("at", F.lit(now).cast("timestamp")).write.mode("append").parquet(
                 f"{root}/state"
             )
         return row
 
-    if place["total"] <= place["start"]:
-        return finish("skipped", "no new rows since checkpoint", 0)
+    if place["last"] is None or place["last"] < place["start"]:
+        return finish("skipped", "nothing new to train on", 0)
     fresh = progress.new_rows(buffer, place["start"])
     guard = metrics.retrain_guard(fresh, cfg).first()
     if guard["skip_reason"]:
@@ -101,7 +101,7 @@ def retrain_once(
     ).first()
     before = base.get("isolation_forest")
     if gate["decision"] == "rejected":
-        return finish("rejected", "validation F1 not improved vs baseline", guard["n"], f1, before)
+        return finish("rejected", "held-out F1 below the accepted one", guard["n"], f1, before)
     candidates = _other_candidates(train, held, features, cfg, deep)
     saved = {"isolation_forest": (forest, "f1", f1), **candidates}
     measured = spark.createDataFrame(

@@ -69,6 +69,17 @@ HEADER_FEATURES = tuple("hdr_" + c.replace(" ", "_") for c in HEADER_SOURCE_COLU
     "hdr_tcp_window_max",
 )
 
+# Columns of the flow fingerprint, and header features that come from packet tables.
+FINGERPRINT_COLUMNS = (
+    "Protocol",
+    "Destination Port",
+    "Source IP",
+    "SYN Flag Count",
+    "FIN Flag Count",
+    "RST Flag Count",
+)
+PACKET_HEADERS = {"hdr_ip_ttl_mean": "ip_ttl_mean", "hdr_tcp_window_max": "tcp_window_max"}
+
 CONTEXT_COLUMNS = ("Source IP", "Source Port", "http_request_uri", "dns_qname")
 CATEGORICAL_COLUMNS = ("Protocol", "Destination Port")
 
@@ -125,6 +136,10 @@ class Settings:
     sandbox_min_precision: float = 0.65
     forest_trees: int = 200
     forest_depth: int = 24
+    header_depth: int = 24
+    categorical_hidden: int = 16
+    packet_hidden: int = 24
+    fit_iterations: int = 30
     isolation_trees: int = 200
     isolation_sample: int = 256
     contamination: float = 0.02

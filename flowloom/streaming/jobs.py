@@ -13,14 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowloom.functions.cleaning import name
+from flowloom.functions.cleaning import bucket_micros, name
 from flowloom.operators.skew import row_positions
 from flowloom.plans.detect import detect
 from flowloom.plans.prepare import prepare
 from flowloom.settings import Settings
 from flowloom.sources import proxy
 
-WATERMARK = "10 minutes"
 BATCH_ROWS = 2**40  # room for the rows of one batch in a row id
 
 
@@ -151,27 +150,38 @@ def bucket_stream(
     schema: str,
     out: str,
     checkpoint: str,
-    width: str = "1 minute",
-    lateness: str = WATERMARK,
+    seconds: int = 60,
     max_files: int | None = None,
 ) -> StreamingQuery:
-    """Bucket sums in event time; a bucket is written once it can no longer change."""
-    flows = _source(spark, source, schema, max_files)
-    sums: list[Column] = [
-        F.sum(name("Flow Packets/s")).alias("packets_per_s"),
-        F.sum(name("SYN Flag Count")).alias("syn"),
-        F.count(F.lit(1)).alias("flows"),
-    ]
+    """Bucket sums of each micro-batch, added up by ``read_buckets``.
+
+    No row is too late: a bucket gets another part with every batch that has rows
+    for it. Parts lie in a folder of their batch, so a repeated batch counts once.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sums: list[Column] = [
+            F.sum(name("Flow Packets/s")).alias("packets_per_s"),
+            F.sum(name("SYN Flag Count")).alias("syn"),
+            F.count(F.lit(1)).alias("flows"),
+        ]
+        timed = batch.filter(name("Timestamp").isNotNull())
+        parts = timed.groupBy(bucket_micros(name("Timestamp"), seconds).alias("bucket")).agg(*sums)
+        parts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     return (
-        flows.withWatermark("Timestamp", lateness)
-        .groupBy(F.window("Timestamp", width).alias("w"))
-        .agg(*sums)
-        .select(F.unix_micros("w.start").alias("bucket"), "packets_per_s", "syn", "flows")
-        .writeStream.format("parquet")
-        .outputMode("append")
+        _source(spark, source, schema, max_files)
+        .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(out)
+        .start()
+    )
+
+
+def read_buckets(spark: SparkSession, out: str) -> DataFrame:
+    """Bucket sums over all batches so far."""
+    return spark.read.parquet(out).groupBy("bucket").agg(
+        F.sum("packets_per_s").alias("packets_per_s"), F.sum("syn").alias("syn"), F.sum("flows").alias("flows")
     )
 
 

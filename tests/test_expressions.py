@@ -116,8 +116,8 @@ def test_rules(spark):
     assert rules(spark, RULE_TYPES, (nan, nan, nan, nan, "443.0", None))[0] == []
     for port in ("n/a", "nan"):
         assert tuple(rules(spark, RULE_TYPES, (500.0, 0.0, 0.0, 0.0, port, "/admin"))) == ([], 0.0)
-    # no port at all reads as 0: the other rules stand
-    assert rules(spark, RULE_TYPES, (500.0, 0.0, 0.0, 0.0, None, ""))[0] == ["high_packet_rate"]
+    # a missing port is as unreadable as a text that is no number
+    assert rules(spark, RULE_TYPES, (500.0, 0.0, 0.0, 0.0, None, ""))[0] == []
 
 
 def test_rule_rates_fall_back(spark):

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import random
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,13 +194,39 @@ def test_metrics_with_empty_denominators(spark):
 
 def test_progress_interior(spark):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "row_id long, v string")
-    state = progress.prefix_digest(df, 8, 1).first()
+    state = progress.prefix_digest(df, 7, 1).first()
     import hashlib
 
     fp = lambda i: hashlib.sha256(f"{i}|v{i}".encode()).hexdigest()
     assert state.head == fp(0) and state.boundary == fp(7)
-    blob = "|".join(fp(i) for i in progress.interior_positions(8)).encode()
-    assert int(state.interior, 16) == zlib.crc32(blob)
+    watched = progress.watched_ids(df, 7)
+    assert len(watched) == 4 and 0 < watched[0] and watched[-1] < 7
+    blob = "|".join(fp(i) for i in watched).encode()
+    assert state.interior == hashlib.sha256(blob).hexdigest() and state.rows_done == 8
+
+
+def test_progress_over_ids_with_gaps(spark):
+    """Ids as the online buffer writes them: batch * 2**40 + place."""
+    ids = [b * 2**40 + n for b in (0, 1) for n in range(1, 101)]
+    df = spark.createDataFrame([(i, f"v{i}") for i in ids], "row_id long, v string")
+    later = spark.createDataFrame([(2 * 2**40 + 1, "new")], "row_id long, v string")
+    state = progress.prefix_digest(df, ids[-1], 0)
+    place = progress.start_position(df.unionByName(later), state, 0).first()
+    assert place.restart is None and progress.new_rows(df.unionByName(later), place.start).count() == 1
+    edited = df.withColumn("v", F.when(F.col("row_id") == ids[-1], "x").otherwise(F.col("v")))
+    assert progress.start_position(edited, state, 0).first().restart == "boundary row changed"
+
+
+def test_isolation_samples_without_rows_times_trees(spark):
+    from flowloom.operators import isolation
+
+    small = spark.range(100).withColumnRenamed("id", "row_id").withColumn("x", F.rand(1))
+    per_tree = isolation.tree_samples(small, ["x"], "row_id", 20, 64, 1).groupBy("tree").count().collect()
+    assert len(per_tree) == 20 and all(20 < r["count"] <= 64 for r in per_tree)
+    large = spark.range(60_000).withColumnRenamed("id", "row_id").withColumn("x", F.rand(1))
+    drawn = isolation.tree_samples(large, ["x"], "row_id", 20, 64, 1)
+    sizes = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    assert len(sizes) == 20 and min(sizes) > 40 and max(sizes) <= 64
 
 
 def test_detection_threshold_precedes_suppression(raw):
@@ -259,7 +284,7 @@ def test_retrain_accepts_then_waits_for_rows(spark, tmp_path):
     first = retrain_once(df, root, ["a"], cfg, deep=False, now=BASE).first()
     assert first.result == "ok" and "isolation_forest=accepted" in first.decisions
     second = retrain_once(df, root, ["a"], cfg, deep=False, now=BASE + dt.timedelta(minutes=1)).first()
-    assert (second.result, second.reason) == ("skipped", "no new rows since checkpoint")
+    assert (second.result, second.reason) == ("skipped", "nothing new to train on")
     third = retrain_once(df, root, ["a"], Settings(), generation=1, now=BASE + dt.timedelta(minutes=2)).first()
-    assert third.reason == "need >= 5000 rows"
+    assert third.reason == "fewer than 5000 new rows"
     assert spark.read.parquet(f"{root}/history").count() == 3
