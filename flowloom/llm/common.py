@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from flowloom.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,24 @@ def partitions(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again: cuts lineage, compressed."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_whole_rows(df: DataFrame, fn, fields: list[T.StructField]) -> DataFrame:
+    """mapInArrow over all columns whatever their names; batches have columns by place."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    places = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return plain.mapInArrow(fn, places).toDF(*[f.name for f in fields])
+
+
+def by_place(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+
 def chunks(texts: Iterable[str], most: int = 1 << 20) -> Iterable[tuple[int, list[str]]]:
     """Runs of whole texts of about ``most`` characters, each with the place of its first text."""
     start, held, size = 0, [], 0

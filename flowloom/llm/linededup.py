@@ -11,9 +11,10 @@ least ``least``. Lines without words never match and stay.
 * Records that share a prefix token meet in one group. Equal sets go at once, all but
   the first. Of the others, length, position and a parity map of the tokens (its
   differing bits never outnumber the differing tokens) leave few candidates.
-* The texts of candidates are fetched and their Jaccard similarity is verified. A
-  record keeps its best candidates; one whose candidates all fail although its groups
-  held more of them meets all of them in a second pass, so nothing is missed.
+* The texts of candidates are fetched and their Jaccard similarity is verified. In a
+  group a record keeps a few strong candidates and some more weak ones; one whose
+  candidates all fail although its groups held more of them meets all of them in a
+  second pass, so nothing is missed.
 
 Tokens frequent enough to fill a task are set aside, counted exactly, and their groups
 cut into blocks; pairs of blocks are compared in tasks of their own.
@@ -27,14 +28,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowloom.llm.common import chunks, col, fresh, partitions
+from flowloom.llm.common import by_place, chunks, col, fresh, map_whole_rows, partitions, written
 from flowloom.session import materialize
 
 BUCKETS = 1 << 18
 HASHED = 1 << 62  # numbers of documents without a doc_id of their own start here
-KEPT = 3  # candidates of a record that are verified first
+STRONG, WEAK = 4, 100  # candidates that a record keeps in a group at first
 
 
 @dataclass(frozen=True)
@@ -164,8 +166,11 @@ OUT = ROWS + ", to_rid long, to_line int, apart int, more boolean"
 COMPARE, SET_ASIDE, COPY, PAIR = range(4)
 
 
-def prefix_index(places: DataFrame, counts, rule: LineDedup) -> DataFrame:
-    """Prefix tokens of the lines, and the lines that an equal one of their batch precedes."""
+def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> DataFrame:
+    """Prefix tokens of the lines, and the lines that an equal one of their batch precedes.
+
+    With ``marks`` only the tokens of marked hash buckets, and no lines that are copies.
+    """
     least, large = rule.least, rule.large
 
     def rows(batches):
@@ -187,25 +192,31 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup) -> DataFrame:
                 prefix = r.size - np.ceil(least * r.size - 1e-9).astype(np.int64) + 1
                 place = np.arange(len(r.line)) - r.start[r.line]
                 pick = np.flatnonzero((place < prefix[r.line]) & (r.count > 1) & ~again[record[r.line]])
-                mine, copies = record[r.line[pick]], np.flatnonzero(again)
+                copies = np.flatnonzero(again)
+                if marks is not None:
+                    pick, copies = pick[marks.value[(r.hash[pick] & LOW32).astype(np.int64) % BUCKETS]], copies[:0]
+                mine = record[r.line[pick]]
                 none, zeros = np.zeros(len(copies), np.int64), np.zeros(len(copies), np.int32)
                 kind = np.where(r.count[pick] > large, SET_ASIDE, COMPARE)
                 yield _batch(
                     ROWS,
                     np.append(kind, zeros + COPY),
                     # rows that only pass through are dealt out by their line
-                    np.append(r.hash[pick].view(np.int64), sums[copies].view(np.int64) + line[copies]),
+                    np.append(r.hash[pick] & LOW32, sums[copies] & LOW32).view(np.int64),
                     np.append(rid[mine], rid[copies]),
                     np.append(line[mine], line[copies]),
                     np.append(r.size[r.line[pick]], none),
                     np.append(place[pick], none),
                     np.append(parity.view(np.int64)[mine], none),
-                    np.append(sums.view(np.int64)[mine], none),
+                    np.append((sums >> np.uint64(16)).view(np.int64)[mine], none),
                 )
 
     return places.mapInArrow(rows, ROWS)
 
 
+LOW32 = np.uint64((1 << 32) - 1)  # groups that two tokens share only have more candidates
+
+
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     names, types = zip(*(f.split() for f in schema.split(", ")))
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -218,8 +229,7 @@ def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup, kept: int | None
     """Groups of equal ``keys`` compared; rows of other kinds pass through."""
     # what passes through has no group and is dealt out by its line
     dealt_by = F.when(F.col("kind") == COMPARE, F.xxhash64(*keys)).otherwise(F.xxhash64("rid", "line", "token"))
-    dealt = rows.withColumn("_deal", dealt_by).repartition(partitions(rows), "_deal").drop("_deal")
-    dealt = dealt.sortWithinPartitions("kind", *keys)
+    dealt = rows.repartition(partitions(rows), dealt_by).sortWithinPartitions("kind", *keys)
 
     def compared(batches):
         held = None
@@ -252,7 +262,11 @@ def _borders(cols: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
-    """Copies and candidates of whole groups; of each line at most ``kept`` and a flag for more."""
+    """Copies and candidates of whole groups.
+
+    Of each line at most ``kept`` strong candidates (with at most a third of the differing
+    bits allowed) and some weak ones, and a flag for more; all when ``kept`` is null.
+    """
     if len(cols[0]) and (cols[0] != COMPARE).any():
         other = cols[0] != COMPARE
         yield _passed([c[other] for c in cols])
@@ -261,11 +275,14 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
         return
     group = np.cumsum(_borders(cols))
     # equal sets first, each in the order of its lines: all but the first are copies
-    order = np.lexsort((cols[3], cols[2], cols[7], group))
+    order = np.lexsort((cols[3], cols[2], cols[4], cols[6], cols[7], group))
     cols, group = [c[order] for c in cols], group[order]
-    sets = cols[7]
-    copy = np.concatenate([[False], (group[1:] == group[:-1]) & (sets[1:] == sets[:-1])])
-    gone = np.flatnonzero(copy & ((cols[2] != np.roll(cols[2], 1)) | (cols[3] != np.roll(cols[3], 1))))
+    same = group[1:] == group[:-1]
+    for c in (cols[4], cols[6], cols[7]):  # size, parity map and sum: 120 bits and the token
+        same = same & (c[1:] == c[:-1])
+    copy = np.concatenate([[False], same])
+    # equal sets have equal places: the group of the first token tells of them
+    gone = np.flatnonzero(copy & (cols[5] == 0) & ((cols[2] != np.roll(cols[2], 1)) | (cols[3] != np.roll(cols[3], 1))))
     if len(gone):
         zero = np.zeros(len(gone), np.int64)
         yield _batch(OUT, zero + COPY, *[c[gone] for c in cols[1:8]], zero, zero, zero, zero)
@@ -278,7 +295,7 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     n = len(token)
     parity = parity.view(np.uint64)
     since = np.arange(n) - np.searchsorted(group, group)  # earlier members of the group
-    found, more = np.zeros(n, np.int32), np.zeros(n, bool)
+    strong, weak, more = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
     later, earlier, apart = [], [], []
     active, lag = np.flatnonzero(since > 0), 0
     while len(active):
@@ -287,22 +304,24 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
         j = active - lag
         s, t = size[active], size[j]
         need = rule.overlap(s, t)
-        rest = np.minimum(s - place[active], t - place[j]) - 1
-        near = 1 + rest + np.minimum(place[active], place[j]) >= need
+        # the token is the first that they share, or else they have met in its group
+        near = np.minimum(s - place[active], t - place[j]) >= need
         near &= np.minimum(s, t) >= rule.least * np.maximum(s, t) - 1e-9
         if own is not None:
             near &= ~cross[active] | (own[active] != own[j])
         at = np.flatnonzero(near)
         i, k = active[at], j[at]
         d = np.bitwise_count(parity[i] ^ parity[k])
-        good = d <= s[at] + t[at] - 2 * need[at]
-        i, k, d = i[good], k[good], d[good]
+        most = s[at] + t[at] - 2 * need[at]
+        good = d <= most
+        i, k, d, most = i[good], k[good], d[good], most[good]
         if kept is not None:
-            full = found[i] >= kept
+            full = (strong[i] >= kept) | (weak[i] >= WEAK)
             more[i[full]] = True
-            i, k, d = i[~full], k[~full], d[~full]
+            i, k, d, most = i[~full], k[~full], d[~full], most[~full]
         if len(i):
-            found[i] += 1
+            strong[i] += 3 * d <= most
+            weak[i] += 3 * d > most
             later.append(i)
             earlier.append(k)
             apart.append(d)
@@ -331,19 +350,43 @@ def _in_blocks(rows: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
     return _grouped(split.select(*names, "x", "y", "own"), ["token", "x", "y"], rule, kept)
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the text as compressed bytes, for rows that are dealt out whole."""
+    at = docs.columns.index(text)
+
+    def rows(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            small = [None if t is None else squeeze(t.encode("utf-8", "replace")) for t in b.column(at).to_pylist()]
+            columns = list(b.columns)
+            columns[at] = pa.array(small, pa.binary())
+            yield by_place(columns)
+
+    kinds = [T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in docs.schema]
+    return map_whole_rows(docs, rows, kinds)
+
+
+def _unpack(data: bytes) -> str:
+    return zstandard.decompress(data).decode()
+
+
 def _verified(places: DataFrame, pairs: DataFrame, rule: LineDedup) -> DataFrame:
-    """(rid, line) of the lines of ``pairs`` that match their earlier line."""
+    """(rid, line) of the lines of ``pairs`` that match one of their earlier lines."""
     other = pairs.select(F.col("to_rid").alias("rid"), F.col("to_line").alias("line"))
     wanted = (
         pairs.select("rid", "line").unionByName(other).distinct()
         .groupBy("rid").agg(F.collect_list("line").alias("lines"))  # no more than the document has
     )
+    few = pairs.limit(FEW + 1).count() <= FEW
+    texts = places.select("rid", "text")
+    if few:  # so little that it goes to the texts, and not they to it
+        texts = texts.join(F.broadcast(wanted.select("rid")), "rid", "left_semi")
 
     def fetched(batches):
         for b in batches:
             rids, numbers, sets = [], [], []
-            for rid, text, lines in zip(*(c.to_pylist() for c in b.columns)):
-                split = text.lower().split("\n")
+            for rid, data, lines in zip(*(c.to_pylist() for c in b.columns)):
+                split = _unpack(data).lower().split("\n")
                 for k in lines:
                     rids.append(rid)
                     numbers.append(k)
@@ -355,7 +398,7 @@ def _verified(places: DataFrame, pairs: DataFrame, rule: LineDedup) -> DataFrame
             )
 
     lines = (
-        places.join(wanted, "rid")
+        packed(texts).join(F.broadcast(wanted) if few else wanted, "rid")
         .select("rid", "text", "lines")
         .mapInArrow(fetched, "rid long, line int, tokens array<long>")
         .dropDuplicates(["rid", "line"])
@@ -368,6 +411,7 @@ def _verified(places: DataFrame, pairs: DataFrame, rule: LineDedup) -> DataFrame
 
 
 HALF = 1 << 63
+FEW = 20_000  # pairs, of 24 bytes each, that are broadcast
 
 
 def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame:
@@ -375,33 +419,32 @@ def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame
     spark = places.sparkSession
     counts = spark.sparkContext.broadcast(rarity(places.select("text")))  # fixed size
     index = prefix_index(places, counts, rule)
-    first = materialize(_grouped(index, ["token"], rule, KEPT))
+    first = written(_grouped(index, ["token"], rule, STRONG), "line-candidates")
     aside = first.filter(F.col("kind") == SET_ASIDE)
     found = first
     if not aside.isEmpty():
-        found = first.unionByName(materialize(_in_blocks(aside.select(*_names(ROWS)), rule, KEPT)))
+        blocks = _in_blocks(aside.select(*_names(ROWS)), rule, STRONG)
+        found = first.unionByName(written(blocks, "line-candidates"))
     copies = found.filter(F.col("kind") == COPY).select("rid", "line").distinct()
-    best = Window.partitionBy("rid", "line").orderBy("apart", "to_rid", "to_line")
-    pairs = (
-        found.filter(F.col("kind") == PAIR)
-        .groupBy("rid", "line", "to_rid", "to_line")
-        .agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
-        .withColumn("more", F.max("more").over(Window.partitionBy("rid", "line")))
-        .withColumn("rank", F.row_number().over(best))
-        .join(copies, ["rid", "line"], "left_anti")
-    )
+    candidates = found.filter(F.col("kind") == PAIR)
+    pairs = candidates.select("rid", "line", "to_rid", "to_line").distinct().join(copies, ["rid", "line"], "left_anti")
     pairs = materialize(pairs)
-    matched = materialize(_verified(places, pairs.filter(F.col("rank") <= KEPT), rule))
-    undecided = pairs.filter((F.col("rank") > KEPT) | F.col("more")).select("rid", "line").distinct()
-    undecided = materialize(undecided.join(matched, ["rid", "line"], "left_anti"))
+    matched = materialize(_verified(places, pairs, rule))
+    open_ends = candidates.filter("more").select("rid", "line", "token").distinct()
+    decided = copies.unionByName(matched)
+    undecided = materialize(open_ends.join(decided, ["rid", "line"], "left_anti"))
     if not undecided.isEmpty():
-        # every candidate of these lines, from all groups they are in
-        rows = index.filter(F.col("kind").isin(COMPARE, SET_ASIDE))
-        tokens = rows.join(undecided, ["rid", "line"], "left_semi").select("token").distinct()
-        rows = rows.join(tokens, "token", "left_semi")
+        # every candidate of these lines, from all groups that held more of them
+        buckets = undecided.select((F.col("token") % BUCKETS).cast("int").alias("b")).distinct().toArrow()
+        wanted = np.zeros(BUCKETS, bool)
+        wanted[buckets.column("b").to_numpy()] = True  # fixed size
+        marks = spark.sparkContext.broadcast(wanted)
+        rows = prefix_index(places, counts, rule, marks).join(undecided.select("token").distinct(), "token", "left_semi")
         every = _in_blocks(rows, rule, None).filter(F.col("kind") == PAIR)
-        rest = every.join(undecided, ["rid", "line"], "left_semi").select("rid", "line", "to_rid", "to_line").distinct()
-        matched = matched.unionByName(materialize(_verified(places, materialize(rest), rule)))
+        lines = undecided.select("rid", "line").distinct()
+        rest = every.join(lines, ["rid", "line"], "left_semi").select("rid", "line", "to_rid", "to_line").distinct()
+        rest = materialize(rest.join(pairs, ["rid", "line", "to_rid", "to_line"], "left_anti"))
+        matched = matched.unionByName(materialize(_verified(places, rest, rule)))
     gone = copies.unionByName(matched).distinct()
     return gone.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
@@ -426,13 +469,26 @@ def dedup_lines(
     text = F.coalesce(col("text").cast("string"), F.lit(""))
     gone = materialize(later_matches(numbered.select(col(rid).alias("rid"), text.alias("text")), rule))
     # one row for each document: the join cannot be skewed
-    out = numbered.join(gone.toDF(rid, gone_lines), rid, "left")
-    lines = F.split(col("text").cast("string"), "\n", -1)
-    went = F.coalesce(col(gone_lines), F.array().cast("array<int>"))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(went, i)), "\n")
-    if n_lines:
-        out = out.withColumn(n_lines, F.when(col("text").isNull(), 0).otherwise(F.size(lines)))
-    if removed:
-        out = out.withColumn(removed, went)
-    out = out.withColumn("text", F.when(F.size(went) > 0, left).otherwise(col("text")))
-    return out.select(*[col(c) for c in docs.columns], *[col(c) for c in (n_lines, removed) if c])
+    joined = packed(numbered.withColumn("text", col("text").cast("string"))).join(gone.toDF(rid, gone_lines), rid, "left")
+    joined = joined.select(*[col(c) for c in docs.columns], col(gone_lines))
+    at, last = docs.columns.index("text"), len(docs.columns)
+    counted, named = n_lines is not None, removed is not None
+    kinds = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]
+    kinds += [T.StructField(n_lines, T.IntegerType())] if counted else []
+    kinds += [T.StructField(removed, T.ArrayType(T.IntegerType()))] if named else []
+
+    def cleaned(batches):
+        for b in batches:
+            texts, sizes, went = [], [], []
+            for data, lines in zip(b.column(at).to_pylist(), b.column(last).to_pylist()):
+                split = [] if data is None else _unpack(data).split("\n")
+                drop = set(lines or ())
+                texts.append(None if data is None else "\n".join(x for i, x in enumerate(split) if i not in drop))
+                sizes.append(len(split))
+                went.append(sorted(drop))
+            columns = list(b.columns[:last])
+            columns[at] = pa.array(texts, pa.string())
+            columns += [pa.array(sizes, pa.int32())] * counted + [pa.array(went, pa.list_(pa.int32()))] * named
+            yield by_place(columns)
+
+    return map_whole_rows(joined, cleaned, kinds)
