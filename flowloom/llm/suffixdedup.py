@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.common import col, partitions
+from flowloom.llm.common import chunks, col, partitions
 from flowloom.llm.linededup import with_rid
 
 SHALLOW = 16  # bytes that multikey quicksort looks at
@@ -162,13 +162,13 @@ def _segments(texts: DataFrame, length: int, most: int = 1_000_000) -> DataFrame
         held, size = [], 0
         for b in batches:
             rids = b.column(0).to_numpy()
-            texts_ = [t.encode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            text, at, first, n, anchor, segment = anchors(texts_, length)
-            held.append((rids[text], at, first, n, anchor, segment))
-            size += len(text)
-            if size >= most:
-                yield from merged(held)
-                held, size = [], 0
+            for start, part in chunks(b.column(1).to_pylist()):
+                text, at, first, n, anchor, segment = anchors([t.encode("utf-8", "replace") for t in part], length)
+                held.append((rids[start + text], at, first, n, anchor, segment))
+                size += len(text)
+                if size >= most:
+                    yield from merged(held)
+                    held, size = [], 0
         if size:
             yield from merged(held)
 
@@ -189,7 +189,7 @@ def _runs(rid: np.ndarray, first: np.ndarray, n: np.ndarray):
 def _met(segments: DataFrame, large: int) -> DataFrame:
     """Segments by anchor: repeated ones, and open ones of anchors with different segments."""
     deal = F.when(F.col("kind") == OPEN, F.xxhash64("anchor")).otherwise(F.xxhash64("rid", "first"))
-    dealt = segments.withColumn("_deal", deal).repartition(partitions(segments), "_deal").drop("_deal")
+    dealt = segments.repartition(partitions(segments), deal)
 
     def decided(c):
         _, anchor, segment, rid, first, n, off, multi = c
@@ -404,7 +404,7 @@ def _with_text(dealt: DataFrame, open_rows: DataFrame, length: int) -> DataFrame
     return joined.mapInArrow(cut, TEXTS)
 
 
-def _sorted_out(rows: DataFrame, length: int, most: int = 16_000) -> DataFrame:
+def _sorted_out(rows: DataFrame, length: int, most: int = 6_000) -> DataFrame:
     """Repeated windows of open segments, by deep-shallow sorting of whole anchors."""
 
     def decided(held):
