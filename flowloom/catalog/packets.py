@@ -366,7 +366,12 @@ def positional_split(spark, sf):
     )
 
 
-@query("stratified_split")
+@query(
+    "stratified_split",
+    f"""WITH {FLOWS}
+SELECT "Label", ('0x' || substr(md5(concat(row_id, ':42:', "Label")), 1, 8))::BIGINT % 10000 < 2000 AS validation,
+  count(*) AS n FROM flows GROUP BY ALL""",
+)
 def stratified_split(spark, sf):
     """Class shares on both sides of the hash split."""
     train, held = sampling.stratified_split(flows(spark, sf), "Label")

@@ -40,7 +40,8 @@ def write_raw_csv(spark, sf, path):
         for b in batches:
             yield b[["value"]]
 
-    spread = rows.repartitionByRange(4, "row_id").sortWithinPartitions("row_id")
+    files = max(4, rows.rdd.getNumPartitions())
+    spread = rows.repartitionByRange(files, "row_id").sortWithinPartitions("row_id")
     spread.mapInPandas(with_header, "value string").write.text(path)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from flowloom.functions.cleaning import name
-from flowloom.operators.skew import row_positions
+from flowloom.operators.skew import order_statistics, row_positions
+
+EXACT = 1 << 53  # whole numbers below it are exact as doubles
 
 
 def keyed_hash(column: str, seed: int) -> Column:
@@ -23,13 +25,12 @@ def chunk_keys(df: DataFrame, rows: int, order: str = "row_id") -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col(order) / rows).cast("long"))
 
 
-def capped_sample(
-    df: DataFrame, group: str, cap: int, seed: int = 42, limit: int | None = None
-) -> DataFrame:
+def capped_sample(df: DataFrame, group: str, cap: int, seed: int = 42) -> DataFrame:
     """Up to ``cap`` rows per group, the same ones on every run."""
-    hashed = df.withColumn("_h", keyed_hash("row_id", seed))
-    ranked = row_positions(hashed, [group], ["_h", "row_id"], "_p", limit)
-    return ranked.filter(F.col("_p") <= cap).drop("_h", "_p")
+    # a rank with a limit: each task sends on ``cap`` rows of a group at most
+    order = Window.partitionBy(F.col(f"`{group}`")).orderBy(keyed_hash("row_id", seed), "row_id")
+    ranked = df.withColumn("_p", F.row_number().over(order))
+    return ranked.filter(F.col("_p") <= cap).drop("_p")
 
 
 def training_slice(
@@ -38,18 +39,14 @@ def training_slice(
     benign_rows: int = 35_000,
     attack_rows: int = 6_000,
     seed: int = 42,
-    limit: int | None = None,
 ) -> DataFrame:
     """First rows of the benign file and capped attack rows of each other file.
 
     ``attacks`` carries its file in ``source_file``.
     """
     label = F.upper(F.trim(name("Label")))
-    head = row_positions(benign, [], ["row_id"], "_p", limit)
-    head = head.filter(F.col("_p") <= benign_rows).drop("_p")
-    picked = capped_sample(
-        attacks.filter(label != "BENIGN"), "source_file", attack_rows, seed, limit
-    )
+    head = benign.orderBy("row_id").limit(benign_rows)
+    picked = capped_sample(attacks.filter(label != "BENIGN"), "source_file", attack_rows, seed)
     return head.unionByName(picked, allowMissingColumns=True)
 
 
@@ -61,7 +58,8 @@ def stratified_split(
     Each row draws its side from a hash of its id, so classes need no shuffle
     and a class of one row simply lands on one side.
     """
-    draw = F.pmod(F.xxhash64("row_id", F.lit(seed), F.col(f"`{label}`")), F.lit(10_000))
+    salted = F.concat_ws(":", F.col("row_id").cast("string"), F.lit(str(seed)), F.col(f"`{label}`").cast("string"))
+    draw = F.conv(F.substring(F.md5(salted), 1, 8), 16, 10).cast("long") % 10_000
     held = draw < int(ratio * 10_000)
     return df.filter(~held), df.filter(held)
 
@@ -75,6 +73,11 @@ def positional_split(
     """First rows for training, the last ``ratio`` for validation."""
     total = df.count()
     cut = int(total * (1 - ratio))
+    if len(order) == 1 and 0 < cut < total and df.schema[order[0]].dataType == T.LongType():
+        low, high = df.agg(F.min(order[0]), F.max(order[0])).first()
+        if -EXACT < low and high < EXACT:  # one exact order statistic, and the rows stay where they are
+            last = order_statistics(df, order[0], [cut - 1], limit)[0]
+            return df.filter(F.col(order[0]) <= int(last)), df.filter(F.col(order[0]) > int(last))
     placed = row_positions(df, [], list(order), "_p", limit)
     return (
         placed.filter(F.col("_p") <= cut).drop("_p"),

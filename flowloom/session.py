@@ -31,14 +31,15 @@ def local_session(cpus: int = 8, app: str = "flowloom") -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none is a folder of our own made, which is
-    right for a single machine and for tests.
+    Only on a single machine that names none is a folder of our own made.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = context.getCheckpointDir()
     if not configured:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="flowloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.functions.cleaning import bucket_micros, name
+from flowloom.operators.models import Channel, score_channels
 from flowloom.operators.skew import row_positions
+from flowloom.operators.traffic import level1_flags
 from flowloom.plans.detect import detect
 from flowloom.plans.prepare import prepare
 from flowloom.settings import Settings
@@ -113,33 +115,49 @@ def detect_stream(
     cfg: Settings | None = None,
     siem: DataFrame | None = None,
     max_files: int | None = None,
-    refresh: Callable[[int], None] | None = None,
+    channels: list[Channel] | None = None,
+    refresh: Callable[[int], list[Channel] | None] | None = None,
     refresh_every: int = 1,
+    trigger: dict | None = None,
+    keep_last: int | None = None,
 ) -> StreamingQuery:
     """Alerts of each micro-batch, level 1 measured on the batch itself.
 
-    ``refresh`` is called every ``refresh_every`` batches (a model refresh);
-    its failure is reported and detection goes on.
+    ``channels`` score the flows of each batch; without them the score columns of the
+    source count. ``refresh`` is called every ``refresh_every`` batches and may return
+    the channels for the batches to come; its failure is reported and detection goes
+    on. ``trigger`` holds the options of the trigger (all that is there, by default).
+    With ``keep_last`` the newest alerts also replace the folder ``<out>-last``.
     """
     cfg = cfg or Settings()
+    active = list(channels or [])
 
     def run(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()  # read once for the buckets and once for the flows
         try:
-            detect(kept, cfg, siem=siem).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            flows = kept
+            if active:
+                flagged = level1_flags(kept, cfg.bucket_seconds, cfg.syn_multiplier)
+                flows = score_channels(flagged, active, cfg.gate_on_level1)
+            detect(flows, cfg, siem=siem).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
             kept.unpersist()
+        if keep_last:
+            newest = spark.read.parquet(out).orderBy(F.desc("batch"), F.desc("alert_seq")).limit(keep_last)
+            newest.write.mode("overwrite").parquet(f"{out}-last")
         if refresh is not None and (batch_id + 1) % max(refresh_every, 1) == 0:
             try:
-                refresh(batch_id)
+                fresh = refresh(batch_id)
             except Exception as e:
                 print(f"refresh failed, detection goes on: {e}")
+            else:
+                active[:] = active if fresh is None else fresh
 
     return (
         _source(spark, source, schema, max_files)
         .writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -174,7 +174,7 @@ def test_retention_equals_a_loop(spark, keep_rows, keep_bytes):
 def test_slices_do_not_depend_on_partitions(spark, raw):
     attacks = raw.withColumn("source_file", F.when(F.col("row_id") % 2 == 0, "a").otherwise("b"))
     one = sampling.training_slice(raw, attacks, 20, 7)
-    two = sampling.training_slice(raw.repartition(9), attacks.repartition(2), 20, 7, limit=10)
+    two = sampling.training_slice(raw.repartition(9), attacks.repartition(2), 20, 7)
     pick = lambda d: sorted((r.row_id, r.source_file) for r in d.select("row_id", F.coalesce("source_file", F.lit("-")).alias("source_file")).collect())
     assert pick(one) == pick(two) and len(pick(one)) == 34
 
