@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from flowloom.llm.common import by_place, chunks, col, fresh, map_whole_rows, partitions, written
 from flowloom.session import materialize
 
-BUCKETS = 1 << 18
+BUCKETS, BLOCK = 1 << 22, 1 << 16  # places of the table of counts, and of the parts it is sent in
 HASHED = 1 << 62  # numbers of documents without a doc_id of their own start here
 STRONG, WEAK = 4, 100  # candidates that a record keeps in a group at first
 
@@ -105,22 +105,47 @@ def with_rid(docs: DataFrame, name: str) -> DataFrame:
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """Occurrences of the tokens of each hash bucket over all lines; fixed size."""
+    """Occurrences of the tokens of each hash bucket over all lines; fixed size.
+
+    A task sends its counts as compressed blocks of the table; blocks are added up
+    one after another.
+    """
+    blocks = BUCKETS // BLOCK
 
     def counted(batches):
-        tokens, total = _Tokens(), np.zeros(BUCKETS, np.int64)
+        tokens, total = _Tokens(), np.zeros(BUCKETS, np.int32)
         for b in batches:
-            for _, held in chunks(b.column(0).to_pylist()):
+            for _, held in chunks(b.column(0).to_pylist(), 8 << 20):
                 numbers, *_ = tokens.lines(held)
-                total += np.bincount((tokens.hashes[numbers] % BUCKETS).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    sums = texts.mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # at most BUCKETS rows, whatever the input
-    out = np.zeros(BUCKETS, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+                met, n = np.unique(numbers, return_counts=True)
+                np.add.at(total, (tokens.hashes[met] % BUCKETS).astype(np.int64), n.astype(np.int32))
+        yield from told(total)
+
+    def told(total):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        parts = [(k, total[k * BLOCK : (k + 1) * BLOCK]) for k in range(blocks)]
+        parts = [(k, squeeze(x.tobytes())) for k, x in parts if x.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["block", "n"]
+        )
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = np.frombuffer(zstandard.decompress(data), np.int32).astype(np.int64)
+                sums[k] = np.minimum(sums.get(k, 0) + part, (1 << 31) - 1)
+        total = [(k, x.astype(np.int32).tobytes()) for k, x in sums.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in total], pa.int32()), pa.array([x for _, x in total], pa.binary())], names=["block", "n"]
+        )
+
+    schema = "block int, n binary"
+    got = texts.mapInArrow(counted, schema).repartition(blocks, "block").mapInArrow(added, schema).toArrow()
+    out = np.zeros(BUCKETS, np.int32)  # all that comes to the driver, whatever the input
+    for k, data in zip(got.column("block").to_pylist(), got.column("n").to_pylist()):
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(data, np.int32)
+    return out
 
 
 class _Records:

@@ -78,18 +78,17 @@ def mix(
     counts as a value of its own. Weights of 0 leave a source out.
     """
     copy_name, key_name = copy or fresh(docs, "copy"), key or fresh(docs, "shuffle_key")
-    rates = source_rates(docs, weights, by)
-    src = fresh(docs, "_source")
-    rates = rates.withColumnRenamed("_source", src)
+    src, draws, steps, copies_name = (fresh(docs, n) for n in ("_source", "_draws", "_steps", "_copies"))
+    rates = source_rates(docs, weights, by).toDF(src, draws, steps)
     rated = lookup(docs.withColumn(src, col(by)), rates, [src], row_bytes=8 * PLACES + 64)
-    draw = lambda j: _place(uniform(F.lit(seed), col("doc_id"), j))
-    copies = F.when(F.col("_draws") == 1, draw(F.lit(1))).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda acc, j: acc + draw(j))
+    draw = lambda j: _place(uniform(F.lit(seed), col("doc_id"), j), col(steps))
+    copies = F.when(col(draws) == 1, draw(F.lit(1))).otherwise(
+        F.aggregate(F.sequence(F.lit(1), col(draws)), F.lit(0), lambda acc, j: acc + draw(j))
     )
     repeated = (
-        rated.withColumn("_copies", copies)
-        .filter(F.col("_copies") > 0)
-        .withColumn(copy_name, F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        rated.withColumn(copies_name, copies)
+        .filter(col(copies_name) > 0)
+        .withColumn(copy_name, F.explode(F.sequence(F.lit(1), col(copies_name))))
     )
     text = F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(col("doc_id").cast("string"), F.lit("null")), col(copy_name))
     keyed = repeated.withColumn(key_name, F.substring(F.md5(text.cast("binary")), 1, 16))
@@ -98,6 +97,6 @@ def mix(
     return mixed.select(*[col(c) for c in kept])
 
 
-def _place(u: Column) -> Column:
+def _place(u: Column, steps: Column) -> Column:
     """Number of thresholds at or below u, which is computed once."""
-    return F.size(F.transform(F.array(u), lambda x: F.filter(F.col("_steps"), lambda c: c <= x))[0])
+    return F.size(F.transform(F.array(u), lambda x: F.filter(steps, lambda c: c <= x))[0])
