@@ -55,10 +55,21 @@ def by_place(columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
 
-def chunks(texts: Iterable[str], most: int = 1 << 20) -> Iterable[tuple[int, list[str]]]:
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterable[pa.RecordBatch]:
+    """Parts of a batch, so that few rows are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _values(column: pa.Array, rows: int = 256) -> Iterable:
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def chunks(texts: pa.Array | list[str], most: int = 1 << 20) -> Iterable[tuple[int, list[str]]]:
     """Runs of whole texts of about ``most`` characters, each with the place of its first text."""
     start, held, size = 0, [], 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(_values(texts) if isinstance(texts, pa.Array) else texts):
         held.append(t or "")
         size += len(held[-1])
         if size >= most:

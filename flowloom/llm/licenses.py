@@ -85,10 +85,10 @@ PLAIN = [
 class LicenseRule:
     """``plain_rows`` bounds the corpus lines of the fit, ``kept_back`` is one statement in so many."""
 
-    features: int = 1 << 15
+    features: int = 1 << 14
     plain_rows: int = 3000
     kept_back: int = 4
-    iterations: int = 30
+    iterations: int = 25
     penalty: float = 1e-5
     precision: float = 0.98
     confirm: float = 0.6

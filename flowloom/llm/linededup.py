@@ -31,7 +31,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowloom.llm.common import by_place, chunks, col, fresh, map_whole_rows, partitions, written
+from flowloom.llm.common import by_place, chunks, col, fresh, map_whole_rows, partitions, slices, written
 from flowloom.session import materialize
 
 BUCKETS, BLOCK = 1 << 22, 1 << 16  # places of the table of counts, and of the parts it is sent in
@@ -58,7 +58,7 @@ class _Numbers(dict):
 class _Tokens:
     """Numbers and hashes of the words a task has met; starts anew when large."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.known = _Numbers()
         self.hashes = np.empty(0, np.uint64)
@@ -115,7 +115,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
     def counted(batches):
         tokens, total = _Tokens(), np.zeros(BUCKETS, np.int32)
         for b in batches:
-            for _, held in chunks(b.column(0).to_pylist(), 8 << 20):
+            for _, held in chunks(b.column(0), 8 << 20):
                 numbers, *_ = tokens.lines(held)
                 met, n = np.unique(numbers, return_counts=True)
                 np.add.at(total, (tokens.hashes[met] % BUCKETS).astype(np.int64), n.astype(np.int32))
@@ -202,7 +202,7 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> Data
         tokens = _Tokens()
         for b in batches:
             rids = b.column(0).to_numpy()
-            for at, held in chunks(b.column(1).to_pylist()):
+            for at, held in chunks(b.column(1)):
                 r = _Records(tokens, held, counts.value)
                 if not len(r.full):
                     continue
@@ -381,7 +381,7 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def rows(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             small = [None if t is None else squeeze(t.encode("utf-8", "replace")) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array(small, pa.binary())
@@ -408,7 +408,7 @@ def _verified(places: DataFrame, pairs: DataFrame, rule: LineDedup) -> DataFrame
         texts = texts.join(F.broadcast(wanted.select("rid")), "rid", "left_semi")
 
     def fetched(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rids, numbers, sets = [], [], []
             for rid, data, lines in zip(*(c.to_pylist() for c in b.columns)):
                 split = _unpack(data).lower().split("\n")
@@ -464,7 +464,8 @@ def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame
         wanted = np.zeros(BUCKETS, bool)
         wanted[buckets.column("b").to_numpy()] = True  # fixed size
         marks = spark.sparkContext.broadcast(wanted)
-        rows = prefix_index(places, counts, rule, marks).join(undecided.select("token").distinct(), "token", "left_semi")
+        rows = prefix_index(places, counts, rule, marks)
+        rows = written(rows.join(undecided.select("token").distinct(), "token", "left_semi"), "line-candidates")
         every = _in_blocks(rows, rule, None).filter(F.col("kind") == PAIR)
         lines = undecided.select("rid", "line").distinct()
         rest = every.join(lines, ["rid", "line"], "left_semi").select("rid", "line", "to_rid", "to_line").distinct()
@@ -503,7 +504,7 @@ def dedup_lines(
     kinds += [T.StructField(removed, T.ArrayType(T.IntegerType()))] if named else []
 
     def cleaned(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts, sizes, went = [], [], []
             for data, lines in zip(b.column(at).to_pylist(), b.column(last).to_pylist()):
                 split = [] if data is None else _unpack(data).split("\n")

@@ -281,7 +281,7 @@ def encode_documents(docs: DataFrame, transducer: PieceTransducer) -> DataFrame:
         is_byte[model.byte_ids] = True
         for b in batches:
             ids = b.column(0)
-            for start, held in chunks(b.column(1).to_pylist()):
+            for start, held in chunks(b.column(1)):
                 pieces = [model.encode(t) for t in held]
                 ends = np.cumsum([0] + [len(p) for p in pieces])
                 flat = np.concatenate(pieces) if pieces else np.empty(0, np.int32)

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     def hashed(batches):
         for b in batches:
             ids = b.column(0)
-            for start, held in chunks(b.column(1).to_pylist()):
+            for start, held in chunks(b.column(1)):
                 fp = simhash_texts(held, width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(held)), pa.array(fp)], names=["doc_id", "fp"])
 

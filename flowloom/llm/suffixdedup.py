@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.common import chunks, col, partitions
+from flowloom.llm.common import chunks, col, partitions, slices
 from flowloom.llm.linededup import with_rid
 
 SHALLOW = 16  # bytes that multikey quicksort looks at
@@ -162,7 +162,7 @@ def _segments(texts: DataFrame, length: int, most: int = 1_000_000) -> DataFrame
         held, size = [], 0
         for b in batches:
             rids = b.column(0).to_numpy()
-            for start, part in chunks(b.column(1).to_pylist()):
+            for start, part in chunks(b.column(1)):
                 text, at, first, n, anchor, segment = anchors([t.encode("utf-8", "replace") for t in part], length)
                 held.append((rids[start + text], at, first, n, anchor, segment))
                 size += len(text)
@@ -389,7 +389,7 @@ def _with_text(dealt: DataFrame, open_rows: DataFrame, length: int) -> DataFrame
     wanted = open_rows.groupBy("rid").agg(F.collect_list(fields).alias("open"))  # no more than a document has
 
     def cut(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             out = []
             for rid, text, rows in zip(*(c.to_pylist() for c in b.columns)):
                 if rows:
@@ -525,7 +525,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, large: int = 1000) -> Dat
     runs = repeated.groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("runs"))  # of one document
 
     def removed(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             doc_ids, data = b.column(0), [t.encode("utf-8", "replace") for t in b.column(1).to_pylist()]
             counts, spans, kept = [], [], []
             for d, r in zip(data, b.column(2)):
