@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowloom.functions.network import ipv4_number, is_routable
-from flowloom.operators.skew import lookup, within_bytes
+from flowloom.operators.skew import lookup
 from flowloom.session import materialize
 from flowloom.settings import SIEM_TYPES
 
@@ -28,8 +28,9 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ip, latitude, longitude) of distinct routable addresses.
 
     ``ranges`` holds disjoint (low, high, latitude, longitude). Both sides meet
-    on the upper 16 bits, so the range test becomes an equality join; as the
-    addresses are distinct, a prefix holds at most 65,536 of them.
+    on the upper 16 bits, in order of their numbers; each address looks at the last
+    range that began before it. A prefix holds at most 65,536 distinct addresses and
+    as many ranges, so this is one bounded merge.
     """
     shifted = lambda c: F.shiftright(F.col(c), PREFIX_SHIFT)
     points = (
@@ -39,15 +40,23 @@ def locate(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
         .withColumn("_n", ipv4_number(F.col("ip")))
         .withColumn("_prefix", shifted("_n"))
     )
-    spread = ranges.withColumn(
-        "_prefix", F.explode(F.sequence(shifted("low"), shifted("high")))
+    spread = ranges.withColumn("_prefix", F.explode(F.sequence(shifted("low"), shifted("high"))))
+    begin = F.greatest(F.col("low"), F.shiftleft(F.col("_prefix"), PREFIX_SHIFT))
+    starts = spread.select(
+        F.lit(None).cast("string").alias("ip"), begin.cast("long").alias("_n"), "_prefix",
+        F.struct("high", "latitude", "longitude").alias("_range"),
     )
-    side = F.broadcast(spread) if within_bytes(spread, 64) else spread
+    marks = points.select("ip", F.col("_n").cast("long").alias("_n"), "_prefix").withColumn(
+        "_range", F.lit(None).cast(starts.schema["_range"].dataType)
+    )
+    upto = Window.partitionBy("_prefix").orderBy("_n", F.col("ip").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    met = starts.unionByName(marks).withColumn("_met", F.last("_range", ignorenulls=True).over(upto))
     return (
-        points.join(side, "_prefix")
-        .filter(F.col("_n").between(F.col("low"), F.col("high")))
-        .filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select("ip", "latitude", "longitude")
+        met.filter(F.col("ip").isNotNull() & (F.col("_n") <= F.col("_met.high")))
+        .filter(F.col("_met.latitude").isNotNull() & F.col("_met.longitude").isNotNull())
+        .select("ip", "_met.latitude", "_met.longitude")
     )
 
 

@@ -15,6 +15,7 @@ from flowloom.functions import text
 from flowloom.functions.network import flow_key, protocol_token, reverse_flow_key
 from flowloom.functions.scoring import packet_vector, scaled_bytes
 from flowloom.operators.skew import lookup
+from flowloom.session import materialize
 from flowloom.settings import (
     HEADER_BYTES,
     HEADER_PACKETS,
@@ -218,14 +219,14 @@ def scaled_header(data: Column) -> Column:
 
 
 def join_plaintext(flows: DataFrame, stats: DataFrame) -> DataFrame:
-    joined = lookup(flows, stats, ["flow_key"], row_bytes=160)
+    joined = lookup(flows, materialize(stats), ["flow_key"], row_bytes=160)
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0.0)) for c in PLAINTEXT_FEATURES}
     )
 
 
 def join_header_bytes(flows: DataFrame, blocks: DataFrame) -> DataFrame:
-    return lookup(flows, blocks, ["flow_key"], row_bytes=HEADER_WIDTH + 128)
+    return lookup(flows, materialize(blocks), ["flow_key"], row_bytes=HEADER_WIDTH + 128)
 
 
 def join_sequences(flows: DataFrame, sequences: DataFrame, k: int = PACKETS_PER_FLOW) -> DataFrame:
@@ -233,7 +234,7 @@ def join_sequences(flows: DataFrame, sequences: DataFrame, k: int = PACKETS_PER_
     empty = F.array_repeat(
         F.array_repeat(F.lit(0.0).cast("float"), PACKET_FEATURES), k
     )
-    joined = lookup(flows, sequences, ["flow_key"], row_bytes=k * PACKET_FEATURES * 4 + 256)
+    joined = lookup(flows, materialize(sequences), ["flow_key"], row_bytes=k * PACKET_FEATURES * 4 + 256)
     return joined.withColumns(
         {
             "found": F.col("sequence").isNotNull(),

@@ -258,9 +258,16 @@ def group_counts(
 
 
 def within_bytes(df: DataFrame, row_bytes: int, budget: int | None = None) -> bool:
-    """Whether a table counted now fits the broadcast budget."""
-    most = (budget or BROADCAST_BYTES) // row_bytes
-    return df.limit(most + 1).count() <= most
+    """Whether a table measured now fits the broadcast budget.
+
+    ``row_bytes`` stands for a row without its texts, whose bytes are summed.
+    """
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    size = F.lit(row_bytes).cast("long")
+    for t in texts:
+        size = size + t
+    total = df.agg(F.sum(size)).first()[0]
+    return (total or 0) <= (budget or BROADCAST_BYTES)
 
 
 def lookup(

@@ -40,7 +40,7 @@ def gate_scores(flows: DataFrame, gate: bool) -> DataFrame:
 def join_scores(flows: DataFrame, scores: DataFrame, column: str, order: str = "seq") -> DataFrame:
     """Scores kept per flow key in a table of their own; the last one of a key wins."""
     last = scores.groupBy("flow_key").agg(F.max_by("score", order).alias("_score"))
-    joined = lookup(flows, last, ["flow_key"], row_bytes=128)
+    joined = lookup(flows, materialize(last), ["flow_key"], row_bytes=128)
     return joined.withColumn(column, F.coalesce(F.col("_score"), F.lit(0.0))).drop("_score")
 
 
