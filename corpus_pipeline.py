@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm import linededup, mixing, sentencepiece, simhash, toxicity
-from flowloom.llm.common import col, table
+from flowloom.llm.common import col, small_batches, table
 from flowloom.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,12 +20,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold of their language go; null texts stay."""
+    small_batches(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go; documents stay, with n_chars of what is left."""
+    small_batches(spark)
     cleaned = linededup.dedup_lines(docs)
     if "n_chars" not in docs.columns:
         return cleaned
@@ -35,6 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.keep_one_of_each_group(docs)
 
 
@@ -45,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every text, with a check that they decode to it."""
+    small_batches(spark)
     return sentencepiece.encode_documents(docs, sentencepiece.compile_model())
 
 

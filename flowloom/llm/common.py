@@ -10,10 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from flowloom.session import scratch_path
 
 
+BATCH_ROWS = 1000  # whole texts that travel to a Python worker together
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows: texts are long, and both sides hold a batch in memory."""
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

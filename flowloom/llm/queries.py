@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowloom.llm import licenses, linededup, mixing, sentencepiece, simhash, sketch, suffixdedup, topk, toxicity, urlfilter
-from flowloom.llm.common import table
+from flowloom.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.toxicity_scores(docs, model)
@@ -32,6 +33,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"), n_lines="n_lines", removed="removed_lines")
     return cleaned.select(
         "doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines",
@@ -75,12 +77,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = sentencepiece.compile_model()
     return sentencepiece.encode_documents(table(spark, sf_dir, "documents"), model)
 
 
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     cleaned = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cleaned.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 

@@ -75,8 +75,8 @@ class PieceTransducer:
     trie: dict = field(default_factory=dict)
     allowed: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
-    memo_words: int = 250_000
-    memo_pairs: int = 2_000_000
+    memo_words: int = 150_000
+    memo_pairs: int = 500_000
 
     def __post_init__(self):
         # arcs run backwards: from the end of a piece to its start
