@@ -115,7 +115,7 @@ def fit_forest(df: DataFrame, features: list[str], cfg: Settings) -> Channel:
         maxDepth=_depth(cfg.forest_depth),
         seed=cfg.seed,
         maxMemoryInMB=1024,
-        cacheNodeIds=False,
+        cacheNodeIds=True,  # deep trees: rows are not walked down from the root at each level
     )
     data = _only_label(df, vector(feature_array(features)))
     return Channel("forest", CHANNELS["rf"], features, _fit([forest], data))
@@ -295,7 +295,8 @@ def fit_header(df: DataFrame, cfg: Settings, trees: int | None = None) -> Channe
         return None
     data = _only_label(df, vector(header_features(F.col("header_bytes"))))
     forest = RandomForestClassifier(
-        numTrees=trees or cfg.forest_trees, maxDepth=_depth(cfg.header_depth), seed=cfg.seed
+        numTrees=trees or cfg.forest_trees, maxDepth=_depth(cfg.header_depth), seed=cfg.seed,
+        maxMemoryInMB=1024, cacheNodeIds=True,
     )
     model = _fit([forest], data)
     return Channel("header", CHANNELS["hdr"], ["header_bytes"], model)
