@@ -16,8 +16,11 @@ least ``least``. Lines without words never match and stay.
   candidates all fail although its groups held more of them meets all of them in a
   second pass, so nothing is missed.
 
-Tokens frequent enough to fill a task are set aside, counted exactly, and their groups
-cut into blocks; pairs of blocks are compared in tasks of their own.
+A token too frequent for one group is joined by the next common one: two lines whose
+first common token it is share a second within one more place, so both are found under
+that pair of tokens. Long lines would have too many pairs; they, and the groups that are
+still too large, are set aside, counted exactly and cut into blocks; pairs of blocks are
+compared in tasks of their own.
 """
 
 from __future__ import annotations
@@ -41,8 +44,11 @@ STRONG, WEAK = 4, 100  # candidates that a record keeps in a group at first
 
 @dataclass(frozen=True)
 class LineDedup:
+    """``large`` rows make a group too large, ``short`` tokens are the most that pairs are made of."""
+
     least: float = 0.8
     large: int = 20_000
+    short: int = 96
 
     def overlap(self, a, b):
         """Common tokens that sets of these sizes need."""
@@ -187,8 +193,9 @@ class _Records:
 
 
 ROWS = "kind int, token long, rid long, line int, size int, place int, map long, set long"
-OUT = ROWS + ", to_rid long, to_line int, apart int, more boolean"
-COMPARE, SET_ASIDE, COPY, PAIR = range(4)
+OUT = ROWS + ", to_rid long, to_line int"
+COMPARE, SET_ASIDE, COPY, PAIR, OPEN = range(5)
+SENT = 100_000  # candidates that are sent on together
 
 
 def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> DataFrame:
@@ -196,7 +203,7 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> Data
 
     With ``marks`` only the tokens of marked hash buckets, and no lines that are copies.
     """
-    least, large = rule.least, rule.large
+    least = rule.least
 
     def rows(batches):
         tokens = _Tokens()
@@ -218,20 +225,22 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> Data
                 place = np.arange(len(r.line)) - r.start[r.line]
                 pick = np.flatnonzero((place < prefix[r.line]) & (r.count > 1) & ~again[record[r.line]])
                 copies = np.flatnonzero(again)
+                kind, key, pick, earlier = _keys(r, pick, prefix, counts.value, rule)
                 if marks is not None:
-                    pick, copies = pick[marks.value[(r.hash[pick] & LOW32).astype(np.int64) % BUCKETS]], copies[:0]
+                    kept = marks.value[((key & LOW32) % np.uint64(BUCKETS)).astype(np.int64)]
+                    kind, key, pick, earlier, copies = kind[kept], key[kept], pick[kept], earlier[kept], copies[:0]
                 mine = record[r.line[pick]]
                 none, zeros = np.zeros(len(copies), np.int64), np.zeros(len(copies), np.int32)
-                kind = np.where(r.count[pick] > large, SET_ASIDE, COMPARE)
                 yield _batch(
                     ROWS,
                     np.append(kind, zeros + COPY),
                     # rows that only pass through are dealt out by their line
-                    np.append(r.hash[pick] & LOW32, sums[copies] & LOW32).view(np.int64),
+                    np.append(key & LOW32, sums[copies] & LOW32).view(np.int64),
                     np.append(rid[mine], rid[copies]),
                     np.append(line[mine], line[copies]),
                     np.append(r.size[r.line[pick]], none),
-                    np.append(place[pick], none),
+                    # tokens before the last of the key that are not of the key
+                    np.append(place[pick] - earlier, none),
                     np.append(parity.view(np.int64)[mine], none),
                     np.append((sums >> np.uint64(16)).view(np.int64)[mine], none),
                 )
@@ -242,6 +251,36 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> Data
 LOW32 = np.uint64((1 << 32) - 1)  # groups that two tokens share only have more candidates
 
 
+def _keys(r: _Records, pick: np.ndarray, prefix: np.ndarray, counts: np.ndarray, rule: LineDedup):
+    """Kind, key, place in the records and earlier tokens of the key, of the prefix tokens ``pick``.
+
+    A rare token is a key. A frequent one makes pairs with the tokens up to one place
+    beyond the prefix. Lines of more than ``least * short`` tokens (also) have it alone,
+    set aside, and lines that match with a single common token have it alone.
+    """
+    size, hashes, line = r.size[r.line[pick]], r.hash, r.line[pick]
+    often = r.count[pick] > rule.large
+    single = often & (np.ceil(rule.least * size - 1e-9) <= 1)
+    long = often & (size > rule.least * rule.short) & ~single
+    paired = pick[often & (size <= rule.short)]
+    first = paired + 1
+    end = r.start[r.line[paired]] + np.minimum(prefix[r.line[paired]] + 1, r.size[r.line[paired]])
+    n = np.maximum(end - first, 0)
+    one = np.repeat(paired, n)
+    two = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    pair = (hashes[one] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[two] * np.uint64(0xC2B2AE3D27D4EB4F))
+    pair ^= pair >> np.uint64(31)
+    # rows that such a pair would have if its tokens were independent, and no fewer
+    rows = r.count[one].astype(float) * r.count[two] / max(1, int(counts.max()))
+    alone = np.concatenate([pick[~often], pick[single], pick[long]])
+    kind = np.full(len(alone) + len(pair), COMPARE)
+    kind[len(alone) - int(long.sum()) : len(alone)] = SET_ASIDE
+    kind[len(alone) :][rows > rule.large] = SET_ASIDE
+    key = np.concatenate([hashes[alone], pair])
+    earlier = np.append(np.zeros(len(alone), np.int64), np.ones(len(pair), np.int64))
+    return kind, key, np.append(alone, two), earlier
+
+
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     names, types = zip(*(f.split() for f in schema.split(", ")))
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -251,22 +290,40 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup, kept: int | None) -> DataFrame:
-    """Groups of equal ``keys`` compared; rows of other kinds pass through."""
+    """Groups of equal ``keys`` compared; rows of other kinds pass through.
+
+    A group that turns out too large for a task passes through as well, set aside.
+    """
     # what passes through has no group and is dealt out by its line
     dealt_by = F.when(F.col("kind") == COMPARE, F.xxhash64(*keys)).otherwise(F.xxhash64("rid", "line", "token"))
     dealt = rows.repartition(partitions(rows), dealt_by).sortWithinPartitions("kind", *keys)
 
+    most = rule.large if len(keys) == 1 else None  # groups in blocks are no larger than two of them
+
     def compared(batches):
-        held = None
+        held, aside = None, None
         for b in batches:
             part = [np.asarray(c) for c in b.columns]
             if part[0][0] != COMPARE and held is None:
                 yield _passed(part)
                 continue
+            if aside is not None:
+                same = (part[0] == COMPARE) & (part[1] == aside)
+                if same.any():
+                    yield _set_aside([c[same] for c in part])
+                    part = [c[~same] for c in part]
+                if not len(part[0]):
+                    continue
+                aside = None
             held = part if held is None else [np.concatenate([p, q]) for p, q in zip(held, part)]
             last = int(np.flatnonzero(_borders(held))[-1])
-            yield from _compare([h[:last] for h in held], rule, kept)
-            held = [h[last:] for h in held]
+            if last:
+                yield from _compare([h[:last] for h in held], rule, kept)
+                held = [h[last:] for h in held]
+            if most is not None and held[0][0] == COMPARE and len(held[0]) > most:
+                aside = held[1][0]
+                yield _set_aside(held)
+                held = None
         if held is not None:
             yield from _compare(held, rule, kept)
 
@@ -275,7 +332,11 @@ def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup, kept: int | None
 
 def _passed(cols: list[np.ndarray]) -> pa.RecordBatch:
     zero = np.zeros(len(cols[0]), np.int64)
-    return _batch(OUT, *cols[:8], zero, zero, zero, zero)
+    return _batch(OUT, *cols[:8], zero, zero)
+
+
+def _set_aside(cols: list[np.ndarray]) -> pa.RecordBatch:
+    return _passed([np.full(len(cols[0]), SET_ASIDE), *cols[1:]])
 
 
 def _borders(cols: list[np.ndarray]) -> np.ndarray:
@@ -290,7 +351,8 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     """Copies and candidates of whole groups.
 
     Of each line at most ``kept`` strong candidates (with at most a third of the differing
-    bits allowed) and some weak ones, and a flag for more; all when ``kept`` is null.
+    bits allowed) and some weak ones, and an open row if there are more; all when ``kept``
+    is null.
     """
     if len(cols[0]) and (cols[0] != COMPARE).any():
         other = cols[0] != COMPARE
@@ -310,7 +372,7 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     gone = np.flatnonzero(copy & (cols[5] == 0) & ((cols[2] != np.roll(cols[2], 1)) | (cols[3] != np.roll(cols[3], 1))))
     if len(gone):
         zero = np.zeros(len(gone), np.int64)
-        yield _batch(OUT, zero + COPY, *[c[gone] for c in cols[1:8]], zero, zero, zero, zero)
+        yield _batch(OUT, zero + COPY, *[c[gone] for c in cols[1:8]], zero, zero)
     cols, group = [c[~copy] for c in cols], group[~copy]
     order = np.lexsort((cols[3], cols[2], group))
     cols, group = [c[order] for c in cols], group[order]
@@ -321,7 +383,7 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     parity = parity.view(np.uint64)
     since = np.arange(n) - np.searchsorted(group, group)  # earlier members of the group
     strong, weak, more = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
-    later, earlier, apart = [], [], []
+    later, earlier, met = [], [], 0
     active, lag = np.flatnonzero(since > 0), 0
     while len(active):
         lag += 1
@@ -349,13 +411,19 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
             weak[i] += 3 * d > most
             later.append(i)
             earlier.append(k)
-            apart.append(d)
+            met += len(i)
+        if met >= SENT:
+            yield _pairs(cols, np.concatenate(later), np.concatenate(earlier))
+            later, earlier, met = [], [], 0
     if later:
-        i, k, d = np.concatenate(later), np.concatenate(earlier), np.concatenate(apart)
-        yield _batch(
-            OUT, np.full(len(i), PAIR), *[c[i] for c in (token, rid, line, size, place, parity.view(np.int64), sets)],
-            rid[k], line[k], d, more[i],
-        )
+        yield _pairs(cols, np.concatenate(later), np.concatenate(earlier))
+    if more.any():
+        yield _passed([np.full(int(more.sum()), OPEN), *[c[more] for c in cols[1:8]]])
+
+
+def _pairs(cols: list[np.ndarray], later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
+    rid, line = cols[2:4]
+    return _batch(OUT, np.full(len(later), PAIR), *[c[later] for c in cols[1:8]], rid[earlier], line[earlier])
 
 
 def _in_blocks(rows: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
@@ -455,7 +523,7 @@ def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame
     pairs = candidates.select("rid", "line", "to_rid", "to_line").distinct().join(copies, ["rid", "line"], "left_anti")
     pairs = materialize(pairs)
     matched = materialize(_verified(places, pairs, rule))
-    open_ends = candidates.filter("more").select("rid", "line", "token").distinct()
+    open_ends = found.filter(F.col("kind") == OPEN).select("rid", "line", "token").distinct()
     decided = copies.unionByName(matched)
     undecided = materialize(open_ends.join(decided, ["rid", "line"], "left_anti"))
     if not undecided.isEmpty():

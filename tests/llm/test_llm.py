@@ -92,16 +92,17 @@ def brute_lines(docs, least=0.8):
     return gone
 
 
-@pytest.mark.parametrize("large, kept", [(20_000, 3), (3, 1)])
-def test_line_dedup(spark, texts, monkeypatch, large, kept):
-    """Also with tiny groups, so that blocks and the second pass have work."""
+@pytest.mark.parametrize("large, kept, short", [(20_000, 3, 96), (3, 1, 96), (3, 2, 5), (40, 1, 7)])
+def test_line_dedup(spark, texts, monkeypatch, large, kept, short):
+    """Also with tiny groups, so that pairs of tokens, blocks and the second pass have work."""
     monkeypatch.setattr(linededup, "STRONG", kept)
+    monkeypatch.setattr(linededup, "SENT", 10)
     random.seed(5)
     vocabulary = [f"t{i}" for i in range(40)]
     extra = [(10_000 + i, "\n".join(" ".join(random.sample(vocabulary, random.randint(1, 9))) for _ in range(6))) for i in range(60)]
     docs = texts[:80] + extra
     frame = spark.createDataFrame(random.sample(docs, len(docs)), "doc_id long, text string").repartition(4)
-    got = linededup.dedup_lines(frame, linededup.LineDedup(large=large), removed="gone").collect()
+    got = linededup.dedup_lines(frame, linededup.LineDedup(large=large, short=short), removed="gone").collect()
     expected = brute_lines(docs)
     assert {r.doc_id: list(r.gone) for r in got} == expected
     by_id = dict(docs)
