@@ -384,7 +384,10 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     since = np.arange(n) - np.searchsorted(group, group)  # earlier members of the group
     strong, weak, more = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
     later, earlier, met = [], [], 0
-    active, lag = np.flatnonzero(since > 0), 0
+    wanted = since > 0
+    if len(cols) > 11:
+        wanted &= cols[11].astype(bool)  # only of lines whose candidates are asked for
+    active, lag = np.flatnonzero(wanted), 0
     while len(active):
         lag += 1
         active = active[(since[active] >= lag) & ~more[active]]
@@ -440,7 +443,8 @@ def _in_blocks(rows: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
         .withColumn("y", F.greatest("own", "other"))
     )
     names = [f.split()[0] for f in ROWS.split(", ")]
-    return _grouped(split.select(*names, "x", "y", "own"), ["token", "x", "y"], rule, kept)
+    asked = ["asked"] if "asked" in rows.columns else []
+    return _grouped(split.select(*names, "x", "y", "own", *asked), ["token", "x", "y"], rule, kept)
 
 
 def packed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -533,7 +537,10 @@ def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame
         wanted[buckets.column("b").to_numpy()] = True  # fixed size
         marks = spark.sparkContext.broadcast(wanted)
         rows = prefix_index(places, counts, rule, marks)
-        rows = written(rows.join(undecided.select("token").distinct(), "token", "left_semi"), "line-candidates")
+        rows = rows.join(undecided.select("token").distinct(), "token", "left_semi")
+        asked = undecided.withColumn("asked", F.lit(True))
+        rows = rows.join(asked, ["rid", "line", "token"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        rows = written(rows.select(*_names(ROWS), "asked"), "line-candidates")
         every = _in_blocks(rows, rule, None).filter(F.col("kind") == PAIR)
         lines = undecided.select("rid", "line").distinct()
         rest = every.join(lines, ["rid", "line"], "left_semi").select("rid", "line", "to_rid", "to_line").distinct()
