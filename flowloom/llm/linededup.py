@@ -216,8 +216,11 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> Data
                 rid = rids[at : at + len(held)][r.text_of[r.full]]
                 line, sums, parity = r.line_no[r.full], r.sums(), r.parity()
                 order = np.lexsort((line, rid, sums))
+                # a copy of the first equal record, if that is another line: repeated rows are one document
+                new = np.concatenate([[True], sums[order[1:]] != sums[order[:-1]]])
+                head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
                 again = np.zeros(len(order), bool)
-                again[order[1:]] = sums[order[1:]] == sums[order[:-1]]
+                again[order] = (rid[order] != rid[head]) | (line[order] != line[head])
                 record = np.full(len(r.size), -1)
                 record[r.full] = np.arange(len(r.full))
                 # a set of n tokens has ceil(least * n) in common with any match

@@ -123,6 +123,16 @@ def test_line_dedup_odd_rows(odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_line_dedup_repeated_rows_keep_their_lines(spark, parts):
+    """Rows of one document are no copies of each other, in one batch or in several."""
+    a, b, c = "one two three\nfour five six", "seven eight nine\nfour five six\nseven eight nine", "ten eleven twelve"
+    data = [(1, a), (1, a), (2, b), (2, b), (2, b), (None, c), (None, c), (3, "one two three")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(parts)
+    got = sorted((r.doc_id or 0, r.text, list(r.gone)) for r in linededup.dedup_lines(frame, removed="gone").collect())
+    assert got == [(0, c, [])] * 2 + [(1, a, [])] * 2 + [(2, "seven eight nine", [1, 2])] * 3 + [(3, "", [0])]
+
+
 # --- SimHash ---
 
 
