@@ -6,12 +6,17 @@ into a sparse vector, and a multinomial logistic regression tells the licence fa
 statements made from patterns and licence names and on a bounded, documented sample
 of lines of the corpus. On statements kept back, the probability that a family needs
 is calibrated; below it the paragraph is ``unknown``. A prediction counts as confirmed
-when enough of the words of one of the family's templates stand in the paragraph.
+when enough of the words of one of the family's templates stand in the paragraph. An
+identifier such as Apache-2.0 or GPLv2 is a template by itself, a plain word such as MIT
+is one only where the words around it state a licence.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -163,9 +168,7 @@ def fit(docs: DataFrame, rule: LicenseRule = LicenseRule()) -> LicenseModel:
     )
     ready = rows.withColumn("label", F.col("label").cast("double"))
     fitted = Pipeline(stages=[*_features(rule), logistic]).fit(ready.filter(~F.col("back")))
-    templates = {  # a single word confirms nothing
-        f: [w for w in map(words_of, names + CLAUSES.get(f, [])) if len(set(w)) > 1] for f, names in NAMES.items()
-    }
+    templates = {f: [words_of(t) for t in names + CLAUSES.get(f, [])] for f, names in NAMES.items()}
     model = LicenseModel(rule, fitted, labels, templates=templates)
     kept = (
         fitted.transform(ready.filter("back"))
@@ -188,12 +191,27 @@ def _literal(spark: SparkSession, rows: list[tuple[int, str, bool]]) -> DataFram
     return spark.range(1).select(F.inline(made))
 
 
+def _stated(words: Column, word: str) -> Column:
+    """Whether ``word`` stands where the name of a licence does; anywhere else it confirms nothing."""
+    before = r"(under|licen[sc]ed?|spdx-license-identifier|terms of)( the| an?)? "
+    word = re.escape(word)
+    return F.array_join(words, " ").rlike(rf"(^| )({before}{word}|{word} licen[sc]e)( |$)")
+
+
+def _identified(words: Column, templates: list[list[str]]) -> Column:
+    """Whether a template of one word is stated as a licence."""
+    return reduce(or_, [_stated(words, t[0]) for t in templates if len(t) == 1], F.lit(False))
+
+
 def _likeness(words: Column, templates: list[list[str]]) -> Column:
     """Largest share of a template's words that stand in the paragraph."""
-    shares = [
-        F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(t))]))) / F.lit(float(len(set(t))))
-        for t in templates
-    ]
+    shares = []
+    for t in templates:
+        if len(t) == 1 and t[0].isalpha():
+            shares.append(_stated(words, t[0]).cast("double"))
+            continue
+        common = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(t))])))
+        shares.append(common / F.lit(float(len(set(t)))))
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
@@ -203,19 +221,22 @@ def license_statements(docs: DataFrame, model: LicenseModel) -> DataFrame:
     A row without text has none. Rows that repeat a doc_id give rows of their own.
     A family whose probability is below the calibrated one, or that no template
     confirms, is reported as unknown; a guess that is less likely than none is not.
+    Where an identifier of the family is stated, the probability need not be that high.
     """
     p = vector_to_array("p")
     scored = model.pipeline.transform(paragraphs(docs)).filter((F.col("guess") > 0) & (p[0] < 1 - model.least))
     names = F.array(*[F.lit(x) for x in model.labels])
     guess = F.element_at(names, F.col("guess").cast("int") + 1)
-    likeness = F.lit(0.0)
+    likeness, identified = F.lit(0.0), F.lit(False)
     for f, templates in model.templates.items():
         likeness = F.when(F.col("guess_name") == f, _likeness(F.col("w1"), templates)).otherwise(likeness)
+        identified = F.when(F.col("guess_name") == f, _identified(F.col("w1"), templates)).otherwise(identified)
     named = scored.select(
         "doc_id", "place", "w1", guess.alias("guess_name"), F.array_max(vector_to_array("p")).alias("probability")
-    ).withColumn("likeness", likeness)
+    ).withColumns({"likeness": likeness, "identified": identified})
     confirmed = F.col("likeness") >= model.rule.confirm
-    family = F.when(confirmed & (F.col("probability") >= model.least), F.col("guess_name")).otherwise(UNKNOWN)
+    sure = F.col("identified") | (F.col("probability") >= model.least)
+    family = F.when(confirmed & sure, F.col("guess_name")).otherwise(UNKNOWN)
     return named.select("doc_id", "place", family.alias("family"), "probability", "likeness", confirmed.alias("confirmed"))
 
 

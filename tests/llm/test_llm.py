@@ -453,6 +453,19 @@ def test_licenses(spark, con):
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
+def test_licenses_by_every_name(spark):
+    """Every stated name has its family, short identifiers too; a word that states no licence confirms none."""
+    model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    lines = [(f, s.format(n)) for f, names in licenses.NAMES.items() for n in names for s in licenses.STATEMENTS]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_statements(docs, model).collect()}
+    wrong = [(f, t, got.get(k)) for k, (f, t) in enumerate(lines) if k not in got or got[k].family != f]
+    assert not wrong, wrong
+    plain = ["She studied at MIT and lives there.", "MIT released the new report.", "The paper of the MIT was printed."]
+    other = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert {r.family for r in licenses.license_statements(other, model).collect()} <= {"unknown"}
+
+
 # --- toxicity ---
 
 
