@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -87,3 +88,32 @@ def chunks(texts: pa.Array | list[str], most: int = 1 << 20) -> Iterable[tuple[i
             start, held, size = i + 1, [], 0
     if held:
         yield start, held
+
+
+class Bits:
+    """A set of hashes as 2 ** ``bits`` places, so of fixed size whatever it holds; members are never missed."""
+
+    def __init__(self, bits: int, words: np.ndarray | None = None):
+        self.bits, self.shift = bits, np.uint64(64 - bits)
+        self.words = np.zeros(1 << (bits - 6), np.uint64) if words is None else words
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = hashes >> self.shift
+        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        word, bit = self.places(hashes)
+        return (self.words[word] & bit) != 0
+
+    def joined(self, df: DataFrame, hashes) -> Bits:
+        """With the hashes of all rows of ``df`` (a function of a batch); one row a word of 64 bits comes back."""
+
+        def rows(batches):
+            for b in batches:
+                word, bit = self.places(hashes(b))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["at", "bit"])
+
+        found = df.mapInArrow(rows, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        words = self.words.copy()
+        words[found.column("at").to_numpy()] |= found.column("bit").to_numpy().view(np.uint64)
+        return Bits(self.bits, words)
