@@ -215,7 +215,7 @@ def _earliest() -> list:
 REFERENCES = "rid long, first int, n int, owner long, ofirst int, block int"
 
 
-def _references(texts: DataFrame, width: int) -> DataFrame:
+def _references(texts: DataFrame, width: int, size: int) -> DataFrame:
     """rid, first, n, owner, ofirst, block: runs of windows, and where an earlier document should hold them."""
     segments = written(_segments(texts, width), "segments")
     anchors = segments.groupBy("anchor").agg(
@@ -237,10 +237,12 @@ def _references(texts: DataFrame, width: int) -> DataFrame:
         .select("rid", "first", F.lit(1).alias("n"), "owner", "ofirst")
     )
     of_one = F.collect_list(F.struct("first", "n", "owner", "ofirst")).alias("runs")  # no more than a document has
-    return single.unionByName(opened).groupBy("rid").agg(of_one).mapInArrow(_joined_runs, REFERENCES)
+    return single.unionByName(opened).groupBy("rid").agg(of_one).mapInArrow(
+        lambda batches: _joined_runs(batches, size), REFERENCES
+    )
 
 
-def _joined_runs(batches):
+def _joined_runs(batches, size: int):
     """Runs that go on with each other in the reference as in the document, cut at its blocks."""
     for b in (part for whole in batches for part in slices(whole, 64)):
         lists = b.column(1)
@@ -252,7 +254,7 @@ def _joined_runs(batches):
         first, ofirst = np.repeat(first, n) + inside, np.repeat(ofirst, n) + inside
         if not len(rid):
             continue
-        block = ofirst // BLOCK
+        block = ofirst // size
         order = np.lexsort((first, first - ofirst, block, owner, rid))
         rid, owner, first, ofirst, block = (x[order] for x in (rid, owner, first, ofirst, block))
         new = (rid[1:] != rid[:-1]) | (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
@@ -334,9 +336,9 @@ CUT = "owner long, block int, salt int, kind int, rid long, first int, part bina
 REFERENCE, RUN = 0, 1
 
 
-def _parts(dealt: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+def _parts(dealt: DataFrame, runs: DataFrame, width: int, size: int, shared: int) -> DataFrame:
     """The words of reference blocks and of the runs that refer to them, cut from the documents dealt by rid."""
-    blocks = runs.groupBy("owner", "block").agg(F.ceil(F.count(F.lit(1)) / SHARED).cast("int").alias("salts"))
+    blocks = runs.groupBy("owner", "block").agg(F.ceil(F.count(F.lit(1)) / shared).cast("int").alias("salts"))
     hot = blocks.filter("salts > 1")
     salted = skew.lookup(runs, hot, ["owner", "block"]).withColumn(
         "salt", F.pmod(F.xxhash64("rid"), F.coalesce("salts", F.lit(1))).cast("int")
@@ -355,8 +357,8 @@ def _parts(dealt: DataFrame, runs: DataFrame, width: int) -> DataFrame:
                     part = b" ".join(words[r["first"] : r["first"] + r["n"] + width - 1])
                     out.append((r["owner"], r["block"], r["salt"], RUN, rid, r["first"], part))
                 for r in refs or ():
-                    at = r["block"] * BLOCK
-                    part = b" ".join(words[at : at + BLOCK + width - 1])
+                    at = r["block"] * size
+                    part = b" ".join(words[at : at + size + width - 1])
                     out += [(rid, r["block"], salt, REFERENCE, rid, at, part) for salt in range(r["salts"])]
             if out:
                 yield _batch(CUT, list(zip(*out)))
@@ -389,9 +391,11 @@ def _matched(parts: DataFrame, width: int) -> DataFrame:
 KEPT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,n:long>>, kept string"
 
 
-def remove_earlier_strings(docs: DataFrame, width: int = 50) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, width: int = 50, block: int = BLOCK, shared: int = SHARED) -> DataFrame:
     """doc_id, n_words, n_removed, spans, kept for every row; ``kept`` are the words that stay, joined by a blank.
 
+    A reference shard has ``block`` window starts; ``shared`` runs go through one copy of its automaton.
+
     Null and empty texts have no words. Rows that repeat doc_id and text are one document
     and are treated alike; rows that share doc_id but not text neither precede nor follow
     each other. Rows without doc_id come after all others and not before one another.
@@ -400,9 +404,9 @@ def remove_earlier_strings(docs: DataFrame, width: int = 50) -> DataFrame:
     text = F.coalesce(col("text").cast("string"), F.lit(""))
     plain = docs.select(col("doc_id").alias("doc_id"), text.alias("text"))
     numbered = with_rid(plain, "rid").withColumn("oid", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    runs = written(_references(numbered.select("oid", "rid", "text"), width), "references")
+    runs = written(_references(numbered.select("oid", "rid", "text"), width, block), "references")
     dealt = numbered.select("doc_id", "rid", "text").repartition(partitions(docs), "rid")
-    matched = _matched(_parts(dealt, runs, width), width)
+    matched = _matched(_parts(dealt, runs, width, block, shared), width)
     spans = matched.groupBy("rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))  # of one document
 
     def removed(batches):
