@@ -19,13 +19,14 @@ from flowloom.operators import retention
 from flowloom.plans.detect import detect
 from flowloom.session import scratch_path
 from flowloom.settings import Settings
-from flowloom.sources import sinks
+from flowloom.sources import sinks, tail
 from flowloom.streaming import jobs, progress
 from flowloom.streaming.suppression import suppress_stream
 
 CUTS = ("2024-01-11", "2024-01-21")
 CFG = Settings(bucket_seconds=HOUR, syn_multiplier=MULTIPLIER, alert_threshold=30.0)
 DAY = 86_400
+CSV = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "emptyValue": "\u2205", "nullValue": ""}
 
 
 def by_time(df, column="Timestamp"):
@@ -131,6 +132,85 @@ def detection_stream(spark, sf):
     return spark.read.parquet(out).select("alert_seq", "ip", "threat_score")
 
 
+def _csv_lines(df, order: str):
+    """CSV lines of a table in order, as a producer would append them, and the header before them."""
+    header = ",".join(f'"{c}"' for c in df.columns)
+    lines = df.orderBy(order).select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), CSV).alias("value"))
+    return header, lines
+
+
+def _produce(path: str, header: str, lines, cut: int = 0) -> None:
+    """Write lines to the one file that a tail follows; ``cut`` bytes of the last line are still to come."""
+    files, place = tail.located(path)
+    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with files.open_output_stream(place) as out:
+        held = header.encode() + b"\n"
+        for row in lines.toLocalIterator(prefetchPartitions=True):
+            out.write(held)
+            held = row["value"].encode() + b"\n"
+        out.write(held[: len(held) - cut] if cut else held)
+
+
+@query(
+    "row_bounded_stream",
+    """WITH e AS (SELECT event_id AS row_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events)
+SELECT (CASE WHEN k = n THEN (n - 2) // 512 + 1 ELSE (k - 1) // 512 END)::INTEGER AS batch, row_id, 0::BIGINT AS generation
+FROM e""",
+)
+def row_bounded_stream(spark, sf):
+    """One growing file, 512 rows a micro-batch, over two runs of the stream; half a line waits for its end."""
+    source, out, place = folders(spark, "row-bounded")
+    source = f"{source}/flows.csv"
+    f = flows(spark, sf).select("row_id", "Timestamp", "`Source IP`")
+    header, lines = _csv_lines(f, "row_id")
+    run = lambda: jobs.follow(jobs.tail_stream(spark, source, ddl(f), out, place, 512, CSV))
+    _produce(source, header, lines, cut=3)
+    run()
+    _produce(source, header, lines)
+    run()
+    return spark.read.parquet(out).select("batch", "row_id", "generation")
+
+
+@query(
+    "truncated_tail_stream",
+    """SELECT event_id AS row_id, generation FROM events, (SELECT unnest([0, 1, 2])::BIGINT AS generation)
+WHERE generation = 0 OR (generation = 1 AND event_id % 3 = 0) OR (generation = 2 AND event_id % 2 = 1)""",
+)
+def truncated_tail_stream(spark, sf):
+    """A followed file that becomes shorter, then gets another first line, is read again from its start."""
+    source, out, place = folders(spark, "truncated-tail")
+    source = f"{source}/flows.csv"
+    f = flows(spark, sf).select("row_id", "`Source IP`")
+    run = lambda: jobs.follow(jobs.tail_stream(spark, source, ddl(f), out, place, 4096, CSV))
+    header, lines = _csv_lines(f, "row_id")
+    _produce(source, header, lines)
+    run()
+    _produce(source, *_csv_lines(f.filter("row_id % 3 = 0"), "row_id"))
+    run()
+    _produce(source, header + " ", _csv_lines(f.filter("row_id % 2 = 1"), "row_id")[1])
+    run()
+    return spark.read.parquet(out).select("row_id", "generation")
+
+
+TAIL_ROWS = 2000
+TAILED = BATCHED.replace(PART, f"((row_number() OVER (ORDER BY row_id) - 1) // {TAIL_ROWS})")
+
+
+@query(
+    "realtime_tail_alerts",
+    f"WITH {TAILED} SELECT alert_seq, ip, threat_score FROM alerts WHERE threat_score >= 30 ORDER BY alert_seq DESC LIMIT 200",
+)
+def realtime_tail_alerts(spark, sf):
+    """The last 200 alerts of detection over a growing file, kept batch by batch."""
+    source, out, place = folders(spark, "tail-alerts")
+    source = f"{source}/flows.csv"
+    f = flows(spark, sf, uri=True)
+    _produce(source, *_csv_lines(f, "row_id"))
+    jobs.follow(jobs.detect_stream(
+        spark, source, ddl(f), out, place, CFG, keep_last=200, rows=TAIL_ROWS, csv_options=CSV))
+    return sinks.read_last(spark, f"{out}-last").select("alert_seq", "ip", "threat_score")
+
+
 @query(
     "realtime_last_alerts",
     f"WITH {BATCHED} SELECT alert_seq, ip, threat_score FROM alerts WHERE threat_score >= 30 ORDER BY alert_seq DESC LIMIT 200",

@@ -20,7 +20,7 @@ from flowloom.operators.traffic import level1_flags
 from flowloom.plans.detect import detect
 from flowloom.plans.prepare import prepare
 from flowloom.settings import Settings
-from flowloom.sources import proxy
+from flowloom.sources import proxy, sinks, tail
 
 BATCH_ROWS = 2**40  # room for the rows of one batch in a row id
 
@@ -120,6 +120,8 @@ def detect_stream(
     refresh_every: int = 1,
     trigger: dict | None = None,
     keep_last: int | None = None,
+    rows: int | None = None,
+    csv_options: dict[str, str] | None = None,
 ) -> StreamingQuery:
     """Alerts of each micro-batch, level 1 measured on the batch itself.
 
@@ -127,7 +129,9 @@ def detect_stream(
     source count. ``refresh`` is called every ``refresh_every`` batches and may return
     the channels for the batches to come; its failure is reported and detection goes
     on. ``trigger`` holds the options of the trigger (all that is there, by default).
-    With ``keep_last`` the newest alerts also replace the folder ``<out>-last``.
+    With ``keep_last`` the newest alerts are kept beside ``out`` (``sinks.read_last``).
+    With ``rows`` the source is one growing CSV, read ``rows`` lines at a time (``follow``
+    runs such a stream to the end of what is there).
     """
     cfg = cfg or Settings()
     active = list(channels or [])
@@ -143,8 +147,8 @@ def detect_stream(
         finally:
             kept.unpersist()
         if keep_last:
-            newest = spark.read.parquet(out).orderBy(F.desc("batch"), F.desc("alert_seq")).limit(keep_last)
-            newest.write.mode("overwrite").parquet(f"{out}-last")
+            alerts = spark.read.parquet(f"{out}/batch={batch_id}").withColumn("batch", F.lit(batch_id))
+            sinks.keep_last(alerts, f"{out}-last", batch_id, keep_last, ["-batch", "-alert_seq"])
         if refresh is not None and (batch_id + 1) % max(refresh_every, 1) == 0:
             try:
                 fresh = refresh(batch_id)
@@ -153,15 +157,51 @@ def detect_stream(
             else:
                 active[:] = active if fresh is None else fresh
 
+    if rows:
+        lines = tail.tail_csv(spark, source, schema, rows, csv_options).drop("generation", "place")
+        trigger = trigger or {"processingTime": "0 seconds"}
+    else:
+        lines = _source(spark, source, schema, max_files)
     return (
-        _source(spark, source, schema, max_files)
-        .writeStream.foreachBatch(run)
+        lines.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def follow(query: StreamingQuery) -> None:
+    """Run a stream to the end of what its source holds now. (A tail plans one batch at a time, so
+    ``availableNow`` would end after the first.)"""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def tail_stream(
+    spark: SparkSession,
+    source: str,
+    schema: str,
+    out: str,
+    checkpoint: str,
+    rows: int = 512,
+    csv_options: dict[str, str] | None = None,
+) -> StreamingQuery:
+    """Rows of a growing CSV into ``out``, a folder for each batch of at most ``rows`` rows."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        tail.tail_csv(spark, source, schema, rows, csv_options)
+        .writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime="0 seconds")
+        .start()
+    )
+
+
 def bucket_stream(
     spark: SparkSession,
     source: str,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.suppression import suppress
 from flowloom.settings import Settings
+from flowloom.sources import sinks, tail
 from flowloom.streaming import jobs
 from flowloom.streaming.suppression import suppress_stream
 
@@ -84,9 +85,58 @@ def test_stream_scores_with_channels_and_swaps_them(spark, tmp_path):
     expected = sorted(tuple(r) for s in scored for r in detect(s, cfg).select(*columns).collect())
     assert got == expected and 0 < len(got) < 120
     newest = sorted(a for a, *_ in got)[-10:]
-    assert sorted(r.alert_seq for r in spark.read.parquet(f"{out}-last").collect()) == newest
+    assert sorted(r.alert_seq for r in sinks.read_last(spark, f"{out}-last").collect()) == newest
     jobs.replay([df.filter("row_id < 30").withColumn("row_id", F.col("row_id") + 200), df.filter("row_id < 30").withColumn("row_id", F.col("row_id") + 300)],
                 source, lambda: None or jobs.detect_stream(
         spark, source, schema, out, place, cfg, channels=[saved], refresh=lambda b: [other], max_files=1))
     late = {r.alert_seq for r in spark.read.parquet(out).filter("alert_seq >= 200").collect()}
     assert {i for i in late if i < 300} and late <= set(range(200, 230)) | set(range(300, 330))
+
+
+def _read(reader, start):
+    """Offset and values of the next batch."""
+    end = reader.latestOffset()
+    parts = reader.partitions(start, end)
+    batches = [b for p in parts for b in reader.read(p)]
+    return end, [(r["generation"], r["value"]) for b in batches for r in b.to_pylist()], len(parts)
+
+
+def test_tail_reader(tmp_path, monkeypatch):
+    """Bounded batches, byte ranges that cut lines, half lines, shorter files, other first lines, no file."""
+    monkeypatch.setattr(tail, "SPLIT", 7)
+    monkeypatch.setattr(tail, "LOOK", 5)
+    path = tmp_path / "a.csv"
+    reader = tail.TailReader({"path": str(path), "rows": "4"})
+    at = reader.initialOffset()
+    assert _read(reader, at) == (at, [], 0)
+    path.write_bytes("x,y".encode())
+    assert _read(reader, at) == (at, [], 0)
+    rows = ["1,é", "", "3,cccccccccccccccccccccc", "4,d", "5,e", "6,f"]
+    path.write_text("x,y\n" + "\r\n".join(rows))
+    at, values, parts = _read(reader, at)
+    assert values == [(0, r) for r in rows[:4]] and at["row"] == 4 and parts > 3
+    assert _read(reader, at)[:2] == ({**at, "row": 5, "byte": path.read_bytes().rfind(b"6")}, [(0, "5,e")])
+    at = reader.planned
+    assert _read(reader, at)[1] == []
+    path.write_text("x,y\n" + "\r\n".join(rows) + "6\nx,y\n7,g\n")
+    restarted = tail.TailReader({"path": str(path), "rows": "9"})
+    restarted.partitions(at, at)  # what the engine says after a restart
+    at, values, _ = _read(restarted, at)
+    assert values == [(0, "6,f6"), (0, "7,g")]  # a repeated header is no row
+    path.write_text("x,y\n8,h\n")
+    at, values, _ = _read(restarted, at)
+    assert values == [(1, "8,h")] and at["generation"] == 1
+    path.write_text("x,z\n8,h\n9,i\n")
+    at, values, _ = _read(restarted, at)
+    assert values == [(2, "8,h"), (2, "9,i")]
+    path.write_text("")
+    assert _read(restarted, at)[1] == []
+
+
+def test_last_rows_are_kept_by_version(spark, tmp_path):
+    path = str(tmp_path / "last")
+    part = lambda ids: spark.createDataFrame([(i,) for i in ids], "alert_seq long")
+    for version, ids in enumerate([[1, 2, 3], [7, 8], [4, 9], [4, 9]]):
+        sinks.keep_last(part(ids), path, min(version, 2), 4, ["-alert_seq"])  # the last one runs twice
+    assert sorted(r.alert_seq for r in sinks.read_last(spark, path).collect()) == [4, 7, 8, 9]
+    assert sinks._versions(spark, path) == [1, 2]
