@@ -1,0 +1,180 @@
+"""Random forest grown from binned features, one tree a task.
+
+A bounded number of labelled rows, drawn by a hash, is cut once into bins by the quantiles
+of those rows: one byte a value, small enough to send to every task (``rows`` bytes a
+feature, whatever the table). Each tree grows from its own bag of them, level by level: all
+nodes of a level are split together by sums over bins. Rows that are scored meet the trees
+as a broadcast of bounded size, at most two nodes for each row of a bag.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+BINS = 32
+NODES = "tree int, feature binary, cut binary, left binary, right binary, value binary"
+KINDS = {"feature": np.int16, "cut": np.float64, "left": np.int32, "right": np.int32, "value": np.float32}
+
+
+def quantile_cuts(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
+    """For each feature the borders of its bins; a value lies in the bin of the first border not below it."""
+    at = np.linspace(0, 1, bins + 1)[1:-1]
+    return [np.unique(np.quantile(x[:, f], at, method="lower")) for f in range(x.shape[1])]
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+
+
+def grow_tree(
+    x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], rng: np.random.Generator, depth: int, bag: int, tried: int
+) -> dict[str, np.ndarray]:
+    """A tree on ``bag`` rows drawn with replacement; a node tries ``tried`` features that vary in it."""
+    weight = np.bincount(rng.integers(0, len(x), bag), minlength=len(x))
+    rows = np.flatnonzero(weight)
+    x, w = x[rows], weight[rows].astype(float)
+    hits = w * y[rows]
+    border = np.zeros((x.shape[1], BINS))
+    for f, c in enumerate(cuts):
+        border[f, : len(c)] = c
+    slot, k, base, levels = np.zeros(len(x), np.int64), 1, 0, []
+    for level in range(depth + 1):
+        total, positive = np.bincount(slot, w, k), np.bincount(slot, hits, k)
+        mixed = (positive > 0) & (positive < total) if level < depth else np.zeros(k, bool)
+        best, feature, place = _best_splits(x, w, hits, slot, total, positive, mixed, rng, tried)
+        split = mixed & np.isfinite(best)
+        child = 2 * (np.cumsum(split) - 1)
+        levels.append({
+            "feature": np.where(split, feature, -1), "cut": np.where(split, border[feature, place], 0.0),
+            "left": np.where(split, base + k + child, -1), "right": np.where(split, base + k + child + 1, -1),
+            "value": positive / np.maximum(total, 1),
+        })
+        going = split[slot]
+        x, w, hits, slot = x[going], w[going], hits[going], slot[going]
+        slot = child[slot] + (x[np.arange(len(x)), feature[slot]] > place[slot])
+        base, k = base + k, 2 * int(split.sum())
+        if not k:
+            break
+    return {n: np.concatenate([v[n] for v in levels]).astype(t) for n, t in KINDS.items()}
+
+
+def _best_splits(x, w, hits, slot, total, positive, mixed, rng, tried):
+    """Score, feature and last bin to the left of the purest split of each mixed node."""
+    k, features = len(total), x.shape[1]
+    best, feature, place = np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, np.int64)
+    found, order = np.zeros(k, np.int64), rng.random((k, features)).argsort(1)
+    for turn in range(features):
+        asked = np.flatnonzero(mixed & (found < tried))
+        if not len(asked):
+            break
+        number = np.full(k, -1)
+        number[asked] = np.arange(len(asked))
+        mine = np.flatnonzero(number[slot] >= 0)
+        s = slot[mine]
+        key = number[s] * BINS + x[mine, order[s, turn]]
+        n = np.bincount(key, w[mine], len(asked) * BINS).reshape(-1, BINS).cumsum(1)[:, :-1]
+        p = np.bincount(key, hits[mine], len(asked) * BINS).reshape(-1, BINS).cumsum(1)[:, :-1]
+        m, q = total[asked, None] - n, positive[asked, None] - p
+        score = (p * p + (n - p) ** 2) / np.maximum(n, 1) + (q * q + (m - q) ** 2) / np.maximum(m, 1)
+        score[(n == 0) | (m == 0)] = -np.inf
+        at = score.argmax(1)
+        top = score[np.arange(len(asked)), at]
+        found[asked] += np.isfinite(top)
+        better = top > best[asked]
+        won = asked[better]
+        best[won], feature[won], place[won] = top[better], order[won, turn], at[better]
+    return best, feature, place
+
+
+@dataclass
+class HistogramForest:
+    """Trees as arrays; the score of a row is the mean share of positive rows in its leaves, without features 0."""
+
+    trees: list[dict[str, np.ndarray]]
+
+    def score(self, df: DataFrame, x: Column, out: str) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(self.trees)
+
+        @F.pandas_udf("double")
+        def rate(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=float)
+            known = vectors.notna().to_numpy()
+            if not known.any():
+                return pd.Series(np.zeros(len(vectors)))
+            values = np.stack(vectors[known].to_numpy())
+            total = np.zeros(len(values))
+            for tree in shared.value:
+                node, active = np.zeros(len(values), np.int64), np.arange(len(values))
+                while len(active):
+                    at = node[active]
+                    f = tree["feature"][at]
+                    inner = f >= 0
+                    active, at, f = active[inner], at[inner], f[inner]
+                    low = values[active, f] <= tree["cut"][at]
+                    node[active] = np.where(low, tree["left"][at], tree["right"][at])
+                total += tree["value"][node]
+            out = np.zeros(len(vectors))
+            out[known] = total / max(len(shared.value), 1)
+            return pd.Series(out)
+
+        return df.withColumn(out, rate(x))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, *(bytearray(t[n].tobytes()) for n in KINDS)) for i, t in enumerate(self.trees)]
+        spark.createDataFrame(rows, NODES).write.mode("overwrite").parquet(f"{path}/trees")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> HistogramForest:
+        return HistogramForest(_collected(spark.read.parquet(f"{path}/trees")))
+
+
+def _collected(nodes: DataFrame) -> list[dict[str, np.ndarray]]:
+    found = nodes.toArrow().sort_by("tree").to_pylist()
+    return [{n: np.frombuffer(r[n], t) for n, t in KINDS.items()} for r in found]
+
+
+def drawn(df: DataFrame, x: Column, positive: Column, rows: int, seed: int) -> pa.Table:
+    """About ``rows`` labelled rows by a hash of what they hold and where they lie; all of a smaller table."""
+    # single precision would merge neighbouring cuts: doubles, 8 bytes a feature
+    data = df.select(x.alias("x"), positive.cast("boolean").alias("y")).filter("y is not null")
+    total = data.count()
+    if total > rows:
+        chance = F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 31))
+        data = data.filter(chance < int(rows / total * (1 << 31)))
+    return data.toArrow()
+
+
+def fit(
+    df: DataFrame, x: Column, positive: Column, trees: int = 200, depth: int = 24, rows: int = 200_000,
+    bag: int = 32_768, seed: int = 42,
+) -> HistogramForest:
+    """Fit on at most about ``rows`` labelled rows; a bag holds ``bag`` of them, or as many as there are.
+
+    Rows without a label are left out. Without rows there are no trees, and every score is 0.
+    """
+    spark = df.sparkSession
+    found = drawn(df, x, positive, rows, seed)
+    if not found.num_rows:
+        return HistogramForest([])
+    flat = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    values = flat.reshape(found.num_rows, -1)
+    y = found.column("y").to_numpy().astype(float)
+    cuts = quantile_cuts(values)
+    shared = spark.sparkContext.broadcast((binned(values, cuts), y, cuts))
+    size, tried = min(bag, len(y)), max(1, int(np.sqrt(values.shape[1])))
+
+    def grow(batches):
+        for b in batches:
+            for tree in b.column(0).to_pylist():
+                grown = grow_tree(*shared.value, np.random.default_rng([seed, tree]), depth, size, tried)
+                columns = [pa.array([tree], pa.int32()), *(pa.array([grown[n].tobytes()], pa.binary()) for n in KINDS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["tree", *KINDS])
+
+    slots = spark.sparkContext.defaultParallelism
+    return HistogramForest(_collected(spark.range(0, trees, 1, min(trees, 4 * slots)).mapInArrow(grow, NODES)))

@@ -13,7 +13,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     PCA,
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowloom.functions import scoring
 from flowloom.functions.cleaning import attack_class, name
 from flowloom.functions.text import let
+from flowloom.operators import forest
 from flowloom.operators.isolation import bounded, feature_array
 from flowloom.operators.packets import scaled_header
 from flowloom.operators.skew import exact_quantile, trailing_frame
@@ -39,6 +39,7 @@ HEADER_WIDTH = HEADER_BYTES * HEADER_PACKETS
 HEADER_STRIDE = 16
 LEAST_HEADER_COLUMNS = 8
 CLASSES = ("ATTACK", "BENIGN")  # a label is the position here
+FORESTS = ("forest", "header")  # kinds whose model is a forest
 
 
 @dataclass
@@ -48,15 +49,18 @@ class Channel:
     kind: str
     out: str
     features: list[str]
-    pipeline: PipelineModel
+    pipeline: PipelineModel | forest.HistogramForest
     options: dict = field(default_factory=dict)
 
     def score(self, df: DataFrame) -> DataFrame:
         return _SCORERS[self.kind](self, df)
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.active()
+        if isinstance(self.pipeline, forest.HistogramForest):
+            self.pipeline.save(spark, f"{path}/pipeline")
+        else:
+            self.pipeline.write().overwrite().save(f"{path}/pipeline")
         meta = {"kind": self.kind, "out": self.out, "features": self.features, "options": self.options}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(
             f"{path}/meta"
@@ -65,7 +69,9 @@ class Channel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Channel:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        return Channel(pipeline=PipelineModel.load(f"{path}/pipeline"), **meta)
+        place = f"{path}/pipeline"
+        grown = meta["kind"] in FORESTS
+        return Channel(pipeline=forest.HistogramForest.load(spark, place) if grown else PipelineModel.load(place), **meta)
 
 
 def with_class(df: DataFrame) -> DataFrame:
@@ -103,26 +109,22 @@ def _fit(stages: list, data: DataFrame) -> PipelineModel:
 # --- random forest on the numeric block ---
 
 
-def _depth(depth: int) -> int:
+def _grown(df: DataFrame, x: Column, cfg: Settings, trees: int, depth: int) -> forest.HistogramForest:
     if not 1 <= depth <= 30:
         raise ValueError(f"trees can be 1 to 30 levels deep, not {depth}")
-    return depth
+    labelled = with_class(df)
+    attack = F.col("label") == CLASSES.index("ATTACK")
+    return forest.fit(labelled, x, attack, trees, depth, cfg.forest_rows, cfg.forest_bag, cfg.seed)
 
 
 def fit_forest(df: DataFrame, features: list[str], cfg: Settings) -> Channel:
-    forest = RandomForestClassifier(
-        numTrees=cfg.forest_trees,
-        maxDepth=_depth(cfg.forest_depth),
-        seed=cfg.seed,
-        maxMemoryInMB=1024,
-        cacheNodeIds=True,  # deep trees: rows are not walked down from the root at each level
-    )
-    data = _only_label(df, vector(feature_array(features)))
-    return Channel("forest", CHANNELS["rf"], features, _fit([forest], data))
+    """At most about ``cfg.forest_rows`` labelled rows are looked at."""
+    grown = _grown(df, feature_array(features), cfg, cfg.forest_trees, cfg.forest_depth)
+    return Channel("forest", CHANNELS["rf"], features, grown)
 
 
 def _score_forest(ch: Channel, df: DataFrame) -> DataFrame:
-    return _probability_score(ch, df.withColumn("features", vector(feature_array(ch.features))))
+    return ch.pipeline.score(df, feature_array(ch.features), ch.out)
 
 
 # --- reconstruction error of benign traffic ---
@@ -293,19 +295,14 @@ def fit_header(df: DataFrame, cfg: Settings, trees: int | None = None) -> Channe
     filled = df.filter(F.replace(F.hex("header_bytes"), F.lit("0"), F.lit("")) != "")
     if filled.isEmpty():
         return None
-    data = _only_label(df, vector(header_features(F.col("header_bytes"))))
-    forest = RandomForestClassifier(
-        numTrees=trees or cfg.forest_trees, maxDepth=_depth(cfg.header_depth), seed=cfg.seed,
-        maxMemoryInMB=1024, cacheNodeIds=True,
-    )
-    model = _fit([forest], data)
-    return Channel("header", CHANNELS["hdr"], ["header_bytes"], model)
+    grown = _grown(df, header_features(F.col("header_bytes")), cfg, trees or cfg.forest_trees, cfg.header_depth)
+    return Channel("header", CHANNELS["hdr"], ["header_bytes"], grown)
 
 
 def _score_header(ch: Channel, df: DataFrame) -> DataFrame:
     if "header_bytes" not in df.columns:
         return df.withColumn(ch.out, F.lit(0.0))
-    return _probability_score(ch, df.withColumn("features", vector(header_features(F.col("header_bytes")))))
+    return ch.pipeline.score(df, header_features(F.col("header_bytes")), ch.out)
 
 
 # --- packet tensors ---
