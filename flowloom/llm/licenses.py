@@ -24,7 +24,8 @@ from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer, SQL
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowloom.llm.common import col
+from flowloom.llm.common import col, fresh
+from flowloom.llm.linededup import with_rid
 
 NONE, UNKNOWN = "none", "unknown"
 
@@ -241,15 +242,23 @@ def license_statements(docs: DataFrame, model: LicenseModel) -> DataFrame:
 
 
 def license_scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, n_statements, families, statements for every row of ``docs``."""
-    found = license_statements(docs, model)
+    """doc_id, n_statements, families, statements for every row of ``docs``.
+
+    Rows that repeat doc_id and text are one document and get the same answer, each in a
+    row of its own. Rows that share doc_id with another text, or have none, are documents
+    of their own. A null or empty text has no statements: 0 and nulls.
+    """
+    row = fresh(docs, "_row")
+    numbered = with_rid(docs, row)
+    found = license_statements(numbered.select(col(row).alias("doc_id"), col("text").alias("text")), model)
     one = F.struct("place", "family", F.round("probability", 6).alias("probability"), "confirmed")
     by_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.sort_array(F.collect_list(one)).alias("statements"),  # no more than a document has lines
+        # no more than a document has lines; as sets, for the rows that repeat it
+        F.sort_array(F.collect_set(one)).alias("statements"),
         F.array_sort(F.collect_set("family")).alias("families"),
     )
-    ids = docs.select(col("doc_id").alias("doc_id"))
-    joined = ids.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    ids = numbered.select(col("doc_id").alias("doc_id"), col(row).alias("_of"))
+    joined = ids.join(by_doc, F.col("_of") == F.col("_doc"), "left")
     return joined.select(
         "doc_id", F.coalesce(F.size("statements"), F.lit(0)).alias("n_statements"), "families", "statements"
     )

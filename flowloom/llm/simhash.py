@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowloom.llm.common import chunks, col, partitions
+from flowloom.llm.common import chunks, col, fresh, partitions
 from flowloom.llm.graph import components
+from flowloom.llm.linededup import with_rid
 from flowloom.session import materialize
 
 BITS = 64
@@ -300,16 +301,19 @@ def simhash_groups(docs: DataFrame, most: int = 2, width: int = 3) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame, most: int = 2, width: int = 3) -> DataFrame:
-    """The row of the smallest doc_id of each group, all columns kept.
+    """One row of each group, all columns kept: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows
-    without a doc_id cannot be named, of them one of each text stays.
+    Rows that repeat doc_id and text are one document, of which one row stays. Rows that
+    share doc_id with another text, or have none, are documents of their own and come
+    after all others, in an order of their own; they too go where another row of their
+    group stays. Null and empty texts are one group.
     """
-    groups = materialize(simhash_groups(docs, most, width))
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    rows = docs.join(kept.distinct(), "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    if not groups.filter(F.col("doc_id").isNull()).isEmpty():
-        rows = rows.unionByName(docs.filter(col("doc_id").isNull()).dropDuplicates(["text"]))
-    return rows
+    rid = fresh(docs, "_rid")
+    numbered = with_rid(docs, rid)
+    named = numbered.select(col(rid).alias("doc_id"), col("text").alias("text"))
+    groups = materialize(simhash_groups(named, most, width))
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(rid))
+    rows = numbered.join(kept.distinct(), rid, "left_semi")
+    if not kept.groupBy(col(rid)).count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates([rid])
+    return rows.drop(rid)

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from flowloom.llm import collocations, spelling, substringdedup
+from flowloom.llm import collocations, licenses, simhash, spelling, substringdedup
 
 SCHEMA = "doc_id long, text string, lang string, vec binary, rid long, `odd.name` string"
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -255,3 +255,30 @@ def test_search_finds_every_pair(monkeypatch, leaf, crossed):
     found = [(words[i], words[k]) for a, b in tree.pairs() for i, k in zip(a, b)]
     near = brute_near(set(words))
     assert len(found) == len(set(found)) and {frozenset(p) for p in found} == {frozenset((w, x)) for w in near for x in near[w]}
+
+
+# --- documents told by row, not by doc_id ---
+
+DOCS = "doc_id long, text string"
+A, B = "one two three four five six", "seven eight nine ten eleven twelve"
+
+
+@pytest.mark.parametrize("rows, kept", [
+    ([(1, A), (2, A), (2, B)], [(1, A), (2, B)]),
+    ([(1, A), (1, A), (2, A), (2, B)], [(1, A), (2, B)]),
+    ([(1, A), (None, A), (None, B), (None, B), (3, None), (None, "")], [(1, A), (None, B), (3, None)]),
+    ([(5, A), (5, B), (4, None), (6, "")], [(5, A), (5, B), (4, None)]),
+])
+def test_near_dedup_loses_no_text(spark, rows, kept):
+    got = [tuple(r) for r in simhash.keep_one_of_each_group(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=repr) == sorted(kept, key=repr)
+
+
+def test_license_of_its_own_row(spark):
+    """Equal rows are not added up, and rows without doc_id keep apart."""
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, mit), (1, mit), (None, apache), (None, "no licence word in this text"), (2, mit), (2, apache), (3, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = licenses.fit(docs)
+    got = sorted((r.doc_id or -1, r.n_statements, tuple(r.families or ())) for r in licenses.license_scan(docs, model).collect())
+    assert got == [(-1, 0, ()), (-1, 1, ("apache-2.0",)), (1, 1, ("mit",)), (1, 1, ("mit",)), (2, 1, ("apache-2.0",)), (2, 1, ("mit",)), (3, 0, ())]
