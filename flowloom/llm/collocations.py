@@ -39,7 +39,7 @@ _TABLE = bytes.maketrans(
 END, NOTHING = -1, -2
 TOKENS = 2_000_000  # of one language, counted at a time
 SENT = 1 << 16  # rows of a batch
-COUNTED = "lang string, size int, phrase string, f long"
+COUNTED = "key string, f long"  # phrase, line feed (no phrase holds one), language
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ class _Language:
 
 
 def _counts(run: np.ndarray, words: list[bytes], lang: str, now: Bits | None, before: Bits | None, sizes: int):
-    """(size, phrases, counts) of what this pass counts in a run of word numbers."""
+    """(phrases, counts) of what this pass counts in a run of word numbers; all words have an empty phrase."""
     v = len(words)
     if not v:
         return
@@ -96,8 +96,8 @@ def _counts(run: np.ndarray, words: list[bytes], lang: str, now: Bits | None, be
     first_pass = before is None
     if first_pass:
         f = np.bincount(run[run >= 0], minlength=v)
-        yield 0, pa.array([b""], pa.binary()), np.array([f.sum()])
-        yield 1, text, f
+        yield pa.array([b""], pa.binary()), np.array([f.sum()])
+        yield text, f
     if len(run) < 2:
         return
     hashes = np.array([word_hash(lang, w) for w in words], np.uint64)
@@ -117,7 +117,7 @@ def _counts(run: np.ndarray, words: list[bytes], lang: str, now: Bits | None, be
     pairs = both if now is None else new(open_pairs)
     key, f = np.unique(left[pairs] * v + right[pairs], return_counts=True)
     if len(key):
-        yield 2, pc.binary_join_element_wise(text.take(pa.array(key // v)), text.take(pa.array(key % v)), b" "), f
+        yield pc.binary_join_element_wise(text.take(pa.array(key // v)), text.take(pa.array(key % v)), b" "), f
     if sizes < 3 or now is None:
         return
     hashed = np.zeros(len(left), np.uint64)
@@ -133,25 +133,21 @@ def _counts(run: np.ndarray, words: list[bytes], lang: str, now: Bits | None, be
     if len(key):
         pair = pair[key // v]
         parts = [text.take(pa.array(x)) for x in (pair // v, pair % v, key % v)]
-        yield 3, pc.binary_join_element_wise(*parts, b" "), f
+        yield pc.binary_join_element_wise(*parts, b" "), f
 
 
 def _pass(texts: DataFrame, now=None, before=None, sizes: int = 3) -> DataFrame:
-    """lang, size, phrase, f of one pass over ``texts``; ``now`` and ``before`` are broadcast bits."""
+    """key, f of one pass over ``texts``; ``now`` and ``before`` are broadcast bits."""
 
     def told(lang, held):
         run, words = held.taken()
         bits = now.value if now is not None else None
         old = before.value if before is not None else None
-        for size, phrases, f in _counts(run, words, lang, bits, old, sizes):
+        of_lang = pa.scalar(lang.encode("utf-8", "replace"))
+        for phrases, f in _counts(run, words, lang, bits, old, sizes):
             for at in range(0, len(f), SENT):
-                part = phrases[at : at + SENT].cast(pa.string())
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))),
-                     pa.array(np.full(n, size, np.int32)), part, pa.array(f[at : at + SENT].astype(np.int64))],
-                    names=["lang", "size", "phrase", "f"],
-                )
+                key = pc.binary_join_element_wise(phrases[at : at + SENT], of_lang, b"\n").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([key, pa.array(f[at : at + SENT].astype(np.int64))], names=["key", "f"])
 
     def rows(batches):
         held: dict[str, _Language] = {}
@@ -174,7 +170,15 @@ def _pass(texts: DataFrame, now=None, before=None, sizes: int = 3) -> DataFrame:
         for lang, own in held.items():
             yield from told(lang, own)
 
-    return texts.mapInArrow(rows, COUNTED).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    # most phrases come once from a run of texts: they are dealt out before they are added up
+    return texts.mapInArrow(rows, COUNTED).repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def _named(counts: DataFrame) -> DataFrame:
+    phrase = F.substring_index("key", "\n", 1)
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    lang = F.substring(F.col("key"), F.length(phrase) + 2, F.length("key"))
+    return counts.select(lang.alias("lang"), size.alias("size"), phrase.alias("phrase"), "f")
 
 
 def _with_phrases(bits: Bits, phrases: DataFrame) -> tuple[Bits, bool]:
@@ -200,13 +204,14 @@ def frequent_phrases(docs: DataFrame, rules: Mining = Mining()) -> DataFrame:
     texts = docs.select(lang.alias("lang"), col("text").cast("string").alias("text"))
     drawn = F.pmod(F.xxhash64(col("doc_id").cast("string"), col("text").cast("string")), F.lit(rules.sample)) == 0
     sampled = docs.filter(drawn).select(lang.alias("lang"), col("text").cast("string").alias("text"))
-    proposed = _pass(sampled, sizes=2).filter(F.col("f") >= rules.lowered)
+    proposed = _named(_pass(sampled, sizes=2).filter(F.col("f") >= rules.lowered))
     now, _ = _with_phrases(Bits(rules.bits), proposed)
     before, tables = None, []
     while True:
         sent = spark.sparkContext.broadcast(now)
         counted = _pass(texts, sent, before)
-        kept = written(counted.filter((F.col("size") == 0) | (F.col("f") >= rules.least)), "phrases")
+        frequent = (F.col("f") >= rules.least) | F.startswith("key", F.lit("\n"))
+        kept = written(_named(counted.filter(frequent)), "phrases")
         tables.append(kept)
         if before is not None:
             before.unpersist()
