@@ -5,13 +5,13 @@ from __future__ import annotations
 import csv
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from flowloom.functions.cleaning import clean_header, name, parse_timestamp
 from flowloom.operators.sampling import limit_rows
 from flowloom.operators.schema import SchemaError, check_corporate, raise_errors
-from flowloom.operators.skew import row_positions
-from flowloom.session import scratch_root
+from flowloom.operators.skew import lookup
+from flowloom.session import materialize, scratch_root
 
 REPLACEMENT_MARKS = ("\ufffd", "\u0000")
 
@@ -46,16 +46,28 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def with_row_ids(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Dense 0-based ``row_id`` in file order (file, block, line)."""
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Dense 0-based ``row_id`` in file order (file, block, line); rows stay where they are.
+
+    A first pass counts the rows of each split and notes the number Spark gives to its first
+    row. Sums over one row a split (40 bytes, so millions of splits can be sent to all tasks)
+    say where each split begins; a second pass adds the place inside the split. Files must
+    not change in between: a split that was not counted is an error.
+    """
+    key = ["_part", "_file", "_block"]
+    path = F.col("_metadata.file_path")
+    place = [
+        F.spark_partition_id().alias("_part"), F.xxhash64(path).alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"),
+    ]
+    counts = df.select(path.alias("_path"), *place).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), F.min("_path").alias("_path")
     )
-    numbered = row_positions(placed, [], ["_file", "_block", "_line"], "row_id", limit)
-    return numbered.withColumn("row_id", F.col("row_id") - 1).drop("_file", "_block", "_line")
+    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select(*key, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    placed = lookup(df.select("*", *place), starts, key, row_bytes=40)
+    known = F.when(F.col("_shift").isNull(), F.raise_error(F.lit("files changed while rows were numbered"))).otherwise(F.col("_shift"))
+    return placed.withColumn("row_id", F.col("_id") + known).drop(*key, "_id", "_shift")
 
 
 def check_text(df: DataFrame, path: str) -> None:

@@ -62,3 +62,25 @@ def test_cache_follows_the_source(spark, tmp_path):
 def test_labels_json(spark, tmp_path):
     p = put(tmp_path / "l.json", '[{"sample_id": "a", "is_attack": 1}, {"sample_id": "b", "is_attack": 0}]')
     assert sorted(tuple(r) for r in lines.read_labels(spark, p).select("sample_id", "is_attack").collect()) == [("a", "1"), ("b", "0")]
+
+
+def test_row_ids_follow_the_files_without_moving_rows(spark, tmp_path):
+    """Several files, in splits of a few lines and packed into few partitions; no exchange carries a column of the file."""
+    for f, n in (("b", 500), ("a", 40), ("c", 3)):
+        (tmp_path / f"{f}.csv").write_text("x,payload\n" + "".join(f"{f}{i:04d},p{i}\n" for i in range(n)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        df = flows.with_row_ids(flows.read_csv_text(spark, str(tmp_path)))
+        got = [(r.row_id, r.x) for r in df.orderBy("row_id").collect()]
+        parts = df.rdd.getNumPartitions()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    expected = sorted(f"{f}{i:04d}" for f, n in (("a", 40), ("b", 500), ("c", 3)) for i in range(n))
+    assert got == list(enumerate(expected)) and parts > 4
+    assert df.columns == ["x", "payload", "row_id"]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert flows.with_row_ids(flows.read_csv_text(spark, str(tmp_path)).filter("x = 'none'")).count() == 0
