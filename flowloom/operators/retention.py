@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowloom.operators.skew import running_totals
-
 MIB = 1024 * 1024
 
 
@@ -30,6 +28,53 @@ def buffer_sizes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
+PARTS = 1024  # ranges of ids counted in one pass
+
+
+def tail_cut(
+    df: DataFrame,
+    keep_rows: int = 0,
+    keep_bytes: int = 0,
+    order: str = "row_id",
+    columns: list[str] | None = None,
+    limit: int | None = None,
+) -> int | None:
+    """Smallest id of the longest newest tail within both limits (0: no limit); None where no row has an id.
+
+    An order statistic weighted by bytes: rows and bytes are summed for ``limit`` ranges of
+    ids, and the range in which a limit breaks is counted again in finer ones until it is
+    one id. No row is sorted or moved. The newest id always stays.
+    """
+    key = F.col(f"`{order}`")
+    if dict(df.dtypes)[order] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"rows are cut by whole numbers, {order} holds {dict(df.dtypes)[order]}")
+    rows = df.select(key.cast("long").alias("id"), csv_bytes(columns or df.columns).cast("long").alias("b"))
+    none = F.col("id").isNull()
+    low, high, n, size = rows.agg(
+        F.min("id"), F.max("id"), F.count_if(none), F.coalesce(F.sum(F.when(none, F.col("b"))), F.lit(0))
+    ).first()
+    if low is None:
+        return None
+    size += header_line_bytes(columns or df.columns)
+    cut, parts = high, max(2, limit or PARTS)
+    while True:
+        width = -(-(high - low + 1) // parts)
+        part = F.call_function("div", F.col("id") - F.lit(low), F.lit(width).cast("long"))
+        counted = (
+            rows.filter(F.col("id").between(low, high)).groupBy(part.alias("p"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).orderBy(F.desc("p")).collect()
+        )
+        for r in counted:
+            if (keep_rows > 0 and n + r.n > keep_rows) or (keep_bytes > 0 and size + r.b > keep_bytes):
+                break
+            n, size, cut = n + r.n, size + r.b, min(cut, low + r.p * width)
+        else:
+            return cut
+        if width == 1:
+            return cut
+        low, high = low + r.p * width, min(high, low + (r.p + 1) * width - 1)
+
+
 def mark_tail(
     df: DataFrame,
     keep_rows: int = 0,
@@ -40,23 +85,14 @@ def mark_tail(
 ) -> DataFrame:
     """Rows with ``kept``: the longest newest tail within both limits (0: no limit).
 
-    The newest row always stays. The byte limit counts the header line.
+    The newest row always stays. The byte limit counts the header line. Rows of one id
+    stay or go together; rows without an id count as the newest and stay.
     """
     if keep_rows <= 0 and keep_bytes <= 0:
         return df.withColumn("kept", F.lit(True))
-    columns = columns or df.columns
-    sized = df.withColumns({"_bytes": csv_bytes(columns).cast("long"), "_one": F.lit(1)})
-    summed = running_totals(
-        sized, [f"-{order}"], {"_upto": "_bytes", "_rank": "_one"}, limit
-    )
-    fits = F.lit(True)
-    if keep_rows > 0:
-        fits = fits & (F.col("_rank") <= keep_rows)
-    if keep_bytes > 0:
-        fits = fits & (F.col("_upto") + header_line_bytes(columns) <= keep_bytes)
-    return summed.withColumn("kept", fits | (F.col("_rank") == 1)).drop(
-        "_bytes", "_one", "_upto", "_rank"
-    )
+    cut = tail_cut(df, keep_rows, keep_bytes, order, columns, limit)
+    key = F.col(f"`{order}`")
+    return df.withColumn("kept", F.lit(True) if cut is None else key.isNull() | (key >= cut))
 
 
 def retention_plan(

@@ -171,6 +171,19 @@ def test_retention_equals_a_loop(spark, keep_rows, keep_bytes):
         assert sorted(r.row_id for r in marked.filter("kept").collect()) == sorted(kept)
 
 
+def test_retention_cut_of_odd_ids(spark):
+    """Gaps, negative and repeated ids, rows without one; the plan moves no row."""
+    data = [(i, "x" * 9) for i in (-5, 3, 3, 10**12, 10**15, 10**15 + 1)] + [(None, "y")]
+    df = spark.createDataFrame(data, "row_id long, text string")
+    kept = lambda n: sorted(r.row_id or 0 for r in retention.mark_tail(df, n, 0, limit=4).filter("kept").collect())
+    assert kept(3) == [0, 10**15, 10**15 + 1] and kept(1) == [0, 10**15 + 1]
+    assert kept(5) == [0, 10**12, 10**15, 10**15 + 1] and kept(6) == [0, 3, 3, 10**12, 10**15, 10**15 + 1] and len(kept(9)) == 7
+    assert "Exchange" not in retention.mark_tail(df, 3, 0)._jdf.queryExecution().executedPlan().toString()
+    assert retention.mark_tail(df.limit(0), 3, 9).count() == 0
+    with pytest.raises(ValueError):
+        retention.mark_tail(df, 3, 0, order="text")
+
+
 def test_slices_do_not_depend_on_partitions(spark, raw):
     attacks = raw.withColumn("source_file", F.when(F.col("row_id") % 2 == 0, "a").otherwise("b"))
     one = sampling.training_slice(raw, attacks, 20, 7)
