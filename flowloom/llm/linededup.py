@@ -10,11 +10,10 @@ least ``least``. Lines without words never match and stay.
   shared with nobody and is not indexed. Equal lines of a batch are one record.
 * Records that share a prefix token meet in one group. Equal sets go at once, all but
   the first. Of the others, length, position and a parity map of the tokens (its
-  differing bits never outnumber the differing tokens) leave few candidates.
-* The texts of candidates are fetched and their Jaccard similarity is verified. In a
-  group a record keeps a few strong candidates and some more weak ones; one whose
-  candidates all fail although its groups held more of them meets all of them in a
-  second pass, so nothing is missed.
+  differing bits never outnumber the differing tokens) tell which lines have a
+  candidate there. A line is named once for each of its groups, not once for each pair.
+* The token sets of the named lines are fetched and sent to their groups, where Jaccard
+  similarity is verified; a line is done with at its first match.
 
 A token too frequent for one group is joined by the next common one: two lines whose
 first common token it is share a second within one more place, so both are found under
@@ -39,16 +38,16 @@ from flowloom.session import materialize
 
 BUCKETS, BLOCK = 1 << 22, 1 << 16  # places of the table of counts, and of the parts it is sent in
 HASHED = 1 << 62  # numbers of documents without a doc_id of their own start here
-STRONG, WEAK = 4, 100  # candidates that a record keeps in a group at first
 
 
 @dataclass(frozen=True)
 class LineDedup:
-    """``large`` rows make a group too large, ``short`` tokens are the most that pairs are made of."""
+    """``large`` rows or ``heavy`` tokens make a group too large, ``short`` tokens are the most that pairs are made of."""
 
     least: float = 0.8
     large: int = 20_000
     short: int = 96
+    heavy: int = 4_000_000
 
     def overlap(self, a, b):
         """Common tokens that sets of these sizes need."""
@@ -193,16 +192,11 @@ class _Records:
 
 
 ROWS = "kind int, token long, rid long, line int, size int, place int, map long, set long"
-OUT = ROWS + ", to_rid long, to_line int"
-COMPARE, SET_ASIDE, COPY, PAIR, OPEN = range(5)
-SENT = 100_000  # candidates that are sent on together
+COMPARE, SET_ASIDE, COPY, MET, ASKS = range(5)
 
 
-def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> DataFrame:
-    """Prefix tokens of the lines, and the lines that an equal one of their batch precedes.
-
-    With ``marks`` only the tokens of marked hash buckets, and no lines that are copies.
-    """
+def prefix_index(places: DataFrame, counts, rule: LineDedup) -> DataFrame:
+    """Prefix tokens of the lines, and the lines that an equal one of their batch precedes."""
     least = rule.least
 
     def rows(batches):
@@ -229,9 +223,6 @@ def prefix_index(places: DataFrame, counts, rule: LineDedup, marks=None) -> Data
                 pick = np.flatnonzero((place < prefix[r.line]) & (r.count > 1) & ~again[record[r.line]])
                 copies = np.flatnonzero(again)
                 kind, key, pick, earlier = _keys(r, pick, prefix, counts.value, rule)
-                if marks is not None:
-                    kept = marks.value[((key & LOW32) % np.uint64(BUCKETS)).astype(np.int64)]
-                    kind, key, pick, earlier, copies = kind[kept], key[kept], pick[kept], earlier[kept], copies[:0]
                 mine = record[r.line[pick]]
                 none, zeros = np.zeros(len(copies), np.int64), np.zeros(len(copies), np.int32)
                 yield _batch(
@@ -292,7 +283,7 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup, kept: int | None) -> DataFrame:
+def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup) -> DataFrame:
     """Groups of equal ``keys`` compared; rows of other kinds pass through.
 
     A group that turns out too large for a task passes through as well, set aside.
@@ -321,21 +312,20 @@ def _grouped(rows: DataFrame, keys: list[str], rule: LineDedup, kept: int | None
             held = part if held is None else [np.concatenate([p, q]) for p, q in zip(held, part)]
             last = int(np.flatnonzero(_borders(held))[-1])
             if last:
-                yield from _compare([h[:last] for h in held], rule, kept)
+                yield from _compare([h[:last] for h in held], rule)
                 held = [h[last:] for h in held]
             if most is not None and held[0][0] == COMPARE and len(held[0]) > most:
                 aside = held[1][0]
                 yield _set_aside(held)
                 held = None
         if held is not None:
-            yield from _compare(held, rule, kept)
+            yield from _compare(held, rule)
 
-    return dealt.mapInArrow(compared, OUT)
+    return dealt.mapInArrow(compared, ROWS)
 
 
 def _passed(cols: list[np.ndarray]) -> pa.RecordBatch:
-    zero = np.zeros(len(cols[0]), np.int64)
-    return _batch(OUT, *cols[:8], zero, zero)
+    return _batch(ROWS, *cols[:8])
 
 
 def _set_aside(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -350,12 +340,10 @@ def _borders(cols: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[True], change])
 
 
-def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
-    """Copies and candidates of whole groups.
+def _compare(cols: list[np.ndarray], rule: LineDedup):
+    """Copies of whole groups, and the lines that have a candidate in their group.
 
-    Of each line at most ``kept`` strong candidates (with at most a third of the differing
-    bits allowed) and some weak ones, and an open row if there are more; all when ``kept``
-    is null.
+    A line with an earlier candidate asks; one that is only a candidate of others is met.
     """
     if len(cols[0]) and (cols[0] != COMPARE).any():
         other = cols[0] != COMPARE
@@ -374,8 +362,7 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     # equal sets have equal places: the group of the first token tells of them
     gone = np.flatnonzero(copy & (cols[5] == 0) & ((cols[2] != np.roll(cols[2], 1)) | (cols[3] != np.roll(cols[3], 1))))
     if len(gone):
-        zero = np.zeros(len(gone), np.int64)
-        yield _batch(OUT, zero + COPY, *[c[gone] for c in cols[1:8]], zero, zero)
+        yield _passed([np.full(len(gone), COPY), *[c[gone] for c in cols[1:8]]])
     cols, group = [c[~copy] for c in cols], group[~copy]
     order = np.lexsort((cols[3], cols[2], group))
     cols, group = [c[order] for c in cols], group[order]
@@ -385,54 +372,30 @@ def _compare(cols: list[np.ndarray], rule: LineDedup, kept: int | None):
     n = len(token)
     parity = parity.view(np.uint64)
     since = np.arange(n) - np.searchsorted(group, group)  # earlier members of the group
-    strong, weak, more = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool)
-    later, earlier, met = [], [], 0
-    wanted = since > 0
-    if len(cols) > 11:
-        wanted &= cols[11].astype(bool)  # only of lines whose candidates are asked for
-    active, lag = np.flatnonzero(wanted), 0
+    asks, met = np.zeros(n, bool), np.zeros(n, bool)
+    active, lag = np.flatnonzero(since > 0), 0
     while len(active):
         lag += 1
-        active = active[(since[active] >= lag) & ~more[active]]
-        j = active - lag
-        s, t = size[active], size[j]
+        active = active[since[active] >= lag]
+        i, j = active, active - lag
+        unknown = ~(asks[i] & met[j])  # nothing new can come of the others
+        i, j = i[unknown], j[unknown]
+        s, t = size[i], size[j]
         need = rule.overlap(s, t)
         # the token is the first that they share, or else they have met in its group
-        near = np.minimum(s - place[active], t - place[j]) >= need
+        near = np.minimum(s - place[i], t - place[j]) >= need
         near &= np.minimum(s, t) >= rule.least * np.maximum(s, t) - 1e-9
         if own is not None:
-            near &= ~cross[active] | (own[active] != own[j])
-        at = np.flatnonzero(near)
-        i, k = active[at], j[at]
-        d = np.bitwise_count(parity[i] ^ parity[k])
-        most = s[at] + t[at] - 2 * need[at]
-        good = d <= most
-        i, k, d, most = i[good], k[good], d[good], most[good]
-        if kept is not None:
-            full = (strong[i] >= kept) | (weak[i] >= WEAK)
-            more[i[full]] = True
-            i, k, d, most = i[~full], k[~full], d[~full], most[~full]
-        if len(i):
-            strong[i] += 3 * d <= most
-            weak[i] += 3 * d > most
-            later.append(i)
-            earlier.append(k)
-            met += len(i)
-        if met >= SENT:
-            yield _pairs(cols, np.concatenate(later), np.concatenate(earlier))
-            later, earlier, met = [], [], 0
-    if later:
-        yield _pairs(cols, np.concatenate(later), np.concatenate(earlier))
-    if more.any():
-        yield _passed([np.full(int(more.sum()), OPEN), *[c[more] for c in cols[1:8]]])
-
-
-def _pairs(cols: list[np.ndarray], later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
-    rid, line = cols[2:4]
-    return _batch(OUT, np.full(len(later), PAIR), *[c[later] for c in cols[1:8]], rid[earlier], line[earlier])
-
-
-def _in_blocks(rows: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
+            near &= ~cross[i] | (own[i] != own[j])
+        near[near] = np.bitwise_count(parity[i[near]] ^ parity[j[near]]) <= (s + t - 2 * need)[near]
+        asks[i[near]] = True
+        met[j[near]] = True
+    named = asks | met
+    if named.any():
+        yield _passed([np.where(asks, ASKS, MET)[named], *[c[named] for c in cols[1:8]]])
+
+
+def _in_blocks(rows: DataFrame, rule: LineDedup) -> DataFrame:
     """Rows set aside, compared in blocks of their groups."""
     blocks = (
         rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / rule.large).cast("int").alias("blocks"))
@@ -445,9 +408,7 @@ def _in_blocks(rows: DataFrame, rule: LineDedup, kept: int | None) -> DataFrame:
         .withColumn("x", F.least("own", "other"))
         .withColumn("y", F.greatest("own", "other"))
     )
-    names = [f.split()[0] for f in ROWS.split(", ")]
-    asked = ["asked"] if "asked" in rows.columns else []
-    return _grouped(split.select(*names, "x", "y", "own", *asked), ["token", "x", "y"], rule, kept)
+    return _grouped(split.select(*_names(ROWS), "x", "y", "own"), ["token", "x", "y"], rule)
 
 
 def packed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -470,48 +431,149 @@ def _unpack(data: bytes) -> str:
     return zstandard.decompress(data).decode()
 
 
-def _verified(places: DataFrame, pairs: DataFrame, rule: LineDedup) -> DataFrame:
-    """(rid, line) of the lines of ``pairs`` that match one of their earlier lines."""
-    other = pairs.select(F.col("to_rid").alias("rid"), F.col("to_line").alias("line"))
-    wanted = (
-        pairs.select("rid", "line").unionByName(other).distinct()
-        .groupBy("rid").agg(F.collect_list("line").alias("lines"))  # no more than the document has
+MEMBERS = "token long, x int, y int, own int, rid long, line int, asks boolean, words binary"
+TOKENS_SENT = 1 << 19  # tokens of sets that are sent on together
+
+
+def _members(named: DataFrame, copies: DataFrame, rule: LineDedup) -> DataFrame:
+    """Lines that have a candidate, once for each group (and pair of blocks of a large one)."""
+    rows = (
+        named.groupBy("token", "rid", "line").agg(F.max("kind").alias("kind"), F.max("size").alias("size"))
+        .join(copies, ["rid", "line"], "left_anti")  # what a copy matches, its first one matches
+    )
+    groups = rows.groupBy("token").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / rule.large), F.ceil(F.sum("size") / rule.heavy)).cast("int").alias("blocks"),
+        F.max(F.col("kind") == ASKS).alias("asked"),
+        F.count(F.lit(1)).alias("n"),
     )
-    few = pairs.limit(FEW + 1).count() <= FEW
+    return (
+        rows.join(groups.filter(F.col("asked") & (F.col("n") > 1)).select("token", "blocks"), "token")
+        .withColumn("own", F.pmod(F.xxhash64("rid", "line"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "rid", "line", "token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own",
+            (F.col("kind") == ASKS).alias("asks"),
+        )
+    )
+
+
+def _verified(places: DataFrame, members: DataFrame, rule: LineDedup) -> DataFrame:
+    """(rid, line) of the lines of ``members`` that match an earlier line of one of their groups."""
+    group = F.struct("line", "token", "x", "y", "own", "asks")
+    wanted = members.groupBy("rid").agg(F.collect_list(group).alias("groups"))  # no more than its prefix tokens
+    few = members.limit(FEW + 1).count() <= FEW
     texts = places.select("rid", "text")
     if few:  # so little that it goes to the texts, and not they to it
         texts = texts.join(F.broadcast(wanted.select("rid")), "rid", "left_semi")
 
     def fetched(batches):
-        for b in (part for whole in batches for part in slices(whole)):
-            rids, numbers, sets = [], [], []
-            for rid, data, lines in zip(*(c.to_pylist() for c in b.columns)):
-                split = _unpack(data).lower().split("\n")
-                for k in lines:
-                    rids.append(rid)
-                    numbers.append(k)
-                    words = set(split[k].split())
-                    sets.append([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7) - HALF for w in words])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.list_(pa.int64()))],
-                names=["rid", "line", "tokens"],
-            )
-
-    lines = (
+        known: dict[str, int] = {}
+        rows, n = [], 0
+        for b in (part for whole in batches for part in slices(whole, 16)):
+            for rid, data, groups in zip(*(c.to_pylist() for c in b.columns)):
+                split, sets = _unpack(data).lower().split("\n"), {}
+                if len(known) > 150_000:
+                    known.clear()
+                for g in groups:
+                    k = g["line"]
+                    if k not in sets:
+                        words = set(split[k].split())
+                        for w in words:
+                            if w not in known:
+                                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 7)
+                        sets[k] = np.sort(np.array([known[w] for w in words], np.uint64)).tobytes()
+                    rows.append((g["token"], g["x"], g["y"], g["own"], rid, k, g["asks"], sets[k]))
+                    n += len(sets[k]) // 8
+                    if n >= TOKENS_SENT:
+                        yield _told(rows)
+                        rows, n = [], 0
+        if rows:
+            yield _told(rows)
+
+    sent = (
         packed(texts).join(F.broadcast(wanted) if few else wanted, "rid")
-        .select("rid", "text", "lines")
-        .mapInArrow(fetched, "rid long, line int, tokens array<long>")
-        .dropDuplicates(["rid", "line"])
+        .select("rid", "text", "groups")
+        .mapInArrow(fetched, MEMBERS)
     )
-    far = lines.select(F.col("rid").alias("to_rid"), F.col("line").alias("to_line"), F.col("tokens").alias("to_tokens"))
-    joined = pairs.select("rid", "line", "to_rid", "to_line").join(lines, ["rid", "line"]).join(far, ["to_rid", "to_line"])
-    common = F.size(F.array_intersect("tokens", "to_tokens"))
-    match = common >= rule.least * (F.size("tokens") + F.size("to_tokens") - common) - 1e-9
-    return joined.filter(match).select("rid", "line").distinct()
+    keys = ["token", "x", "y"]
+    met = sent.repartition(partitions(sent), *keys).sortWithinPartitions(*keys, "rid", "line")
 
+    def verified(batches):
+        key, held = None, []
+        for b in batches:
+            out: list = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if row[:3] != key:
+                    out += _matches(held, rule)
+                    key, held = row[:3], []
+                if not held or held[-1][4:6] != row[4:6]:  # rows that repeat a document are one
+                    held.append(row)
+            yield _lines(out)
+        yield _lines(_matches(held, rule))
+
+    return met.mapInArrow(verified, "rid long, line int").distinct()
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_names(MEMBERS))
 
-HALF = 1 << 63
-FEW = 20_000  # pairs, of 24 bytes each, that are broadcast
+
+def _lines(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r for r, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int32())], names=["rid", "line"]
+    )
+
+
+WIDTH, EXPANDED = 512, 1 << 21  # earlier lines, and common tokens with them, that are counted together
+
+
+def _matches(rows: list[tuple], rule: LineDedup) -> list[tuple]:
+    """(rid, line) of the asking rows of a group, in the order of lines, that match one before them.
+
+    Overlaps are counted from the tokens up, for some earlier lines at a time; lines
+    that match take no further part.
+    """
+    asks = np.array([r[6] for r in rows], bool)
+    if len(rows) < 2 or not asks[1:].any():
+        return []
+    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+    size = np.array([len(x) for x in sets])
+    start = np.concatenate([[0], np.cumsum(size)])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    n_tokens = int(token.max()) + 1
+    owner = np.repeat(np.arange(len(rows)), size)
+    block = np.array([r[3] for r in rows])
+    crossed = rows[0][1] != rows[0][2]
+    found = np.zeros(len(rows), bool)
+    c0 = 0
+    while c0 < len(rows) - 1:
+        c1 = min(c0 + WIDTH, len(rows), max(c0 + 1, int(np.searchsorted(start, start[c0] + EXPANDED // 8))))
+        part = slice(start[c0], start[c1])
+        by_token = np.argsort(token[part], kind="stable")
+        column = owner[part][by_token] - c0
+        first = np.concatenate([[0], np.cumsum(np.bincount(token[part], minlength=n_tokens))])
+        hits = np.diff(first)[token]
+        active = np.flatnonzero(asks & ~found & (np.arange(len(rows)) > c0))
+        of_row = np.add.reduceat(hits, start[:-1])[active]  # sets are not empty
+        width = c1 - c0
+        share = np.maximum(np.cumsum(of_row + width) // EXPANDED, 0)
+        for at in np.split(active, np.flatnonzero(np.diff(share)) + 1) if len(active) else []:
+            mine = np.concatenate([np.arange(start[i], start[i + 1]) for i in at])
+            n = hits[mine]
+            row = np.repeat(np.repeat(np.arange(len(at)), size[at]), n)
+            place = np.repeat(first[token[mine]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(row * width + column[place], minlength=len(at) * width).reshape(len(at), width)
+            s, t = size[at][:, None], size[c0:c1][None, :]
+            match = (common >= rule.least * (s + t - common) - 1e-9) & (np.arange(c0, c1)[None, :] < at[:, None])
+            if crossed:  # lines of one block meet in a task of their own
+                match &= block[at][:, None] != block[c0:c1][None, :]
+            found[at[match.any(1)]] = True
+        c0 = c1
+    return [rows[i][4:6] for i in np.flatnonzero(found)]
+
+
+FEW = 20_000  # lines in groups, of 40 bytes each, that are broadcast
 
 
 def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame:
@@ -519,36 +581,13 @@ def later_matches(places: DataFrame, rule: LineDedup = LineDedup()) -> DataFrame
     spark = places.sparkSession
     counts = spark.sparkContext.broadcast(rarity(places.select("text")))  # fixed size
     index = prefix_index(places, counts, rule)
-    first = written(_grouped(index, ["token"], rule, STRONG), "line-candidates")
-    aside = first.filter(F.col("kind") == SET_ASIDE)
-    found = first
+    found = written(_grouped(index, ["token"], rule), "line-candidates")
+    aside = found.filter(F.col("kind") == SET_ASIDE)
     if not aside.isEmpty():
-        blocks = _in_blocks(aside.select(*_names(ROWS)), rule, STRONG)
-        found = first.unionByName(written(blocks, "line-candidates"))
-    copies = found.filter(F.col("kind") == COPY).select("rid", "line").distinct()
-    candidates = found.filter(F.col("kind") == PAIR)
-    pairs = candidates.select("rid", "line", "to_rid", "to_line").distinct().join(copies, ["rid", "line"], "left_anti")
-    pairs = materialize(pairs)
-    matched = materialize(_verified(places, pairs, rule))
-    open_ends = found.filter(F.col("kind") == OPEN).select("rid", "line", "token").distinct()
-    decided = copies.unionByName(matched)
-    undecided = materialize(open_ends.join(decided, ["rid", "line"], "left_anti"))
-    if not undecided.isEmpty():
-        # every candidate of these lines, from all groups that held more of them
-        buckets = undecided.select((F.col("token") % BUCKETS).cast("int").alias("b")).distinct().toArrow()
-        wanted = np.zeros(BUCKETS, bool)
-        wanted[buckets.column("b").to_numpy()] = True  # fixed size
-        marks = spark.sparkContext.broadcast(wanted)
-        rows = prefix_index(places, counts, rule, marks)
-        rows = rows.join(undecided.select("token").distinct(), "token", "left_semi")
-        asked = undecided.withColumn("asked", F.lit(True))
-        rows = rows.join(asked, ["rid", "line", "token"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        rows = written(rows.select(*_names(ROWS), "asked"), "line-candidates")
-        every = _in_blocks(rows, rule, None).filter(F.col("kind") == PAIR)
-        lines = undecided.select("rid", "line").distinct()
-        rest = every.join(lines, ["rid", "line"], "left_semi").select("rid", "line", "to_rid", "to_line").distinct()
-        rest = materialize(rest.join(pairs, ["rid", "line", "to_rid", "to_line"], "left_anti"))
-        matched = matched.unionByName(materialize(_verified(places, rest, rule)))
+        found = found.unionByName(written(_in_blocks(aside, rule), "line-candidates"))
+    copies = materialize(found.filter(F.col("kind") == COPY).select("rid", "line").distinct())
+    members = materialize(_members(found.filter(F.col("kind").isin(MET, ASKS)), copies, rule))
+    matched = materialize(_verified(places, members, rule))
     gone = copies.unionByName(matched).distinct()
     return gone.groupBy("rid").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 

@@ -92,17 +92,16 @@ def brute_lines(docs, least=0.8):
     return gone
 
 
-@pytest.mark.parametrize("large, kept, short", [(20_000, 3, 96), (3, 1, 96), (3, 2, 5), (40, 1, 7)])
-def test_line_dedup(spark, texts, monkeypatch, large, kept, short):
-    """Also with tiny groups, so that pairs of tokens, blocks and the second pass have work."""
-    monkeypatch.setattr(linededup, "STRONG", kept)
-    monkeypatch.setattr(linededup, "SENT", 10)
+@pytest.mark.parametrize("large, heavy, short", [(20_000, 4_000_000, 96), (3, 30, 96), (3, 4_000_000, 5), (40, 9, 7)])
+def test_line_dedup(spark, texts, monkeypatch, large, heavy, short):
+    """Also with tiny groups, so that pairs of tokens and blocks have work, of rows (large) and of tokens (heavy)."""
+    monkeypatch.setattr(linededup, "TOKENS_SENT", 10)
     random.seed(5)
     vocabulary = [f"t{i}" for i in range(40)]
     extra = [(10_000 + i, "\n".join(" ".join(random.sample(vocabulary, random.randint(1, 9))) for _ in range(6))) for i in range(60)]
     docs = texts[:80] + extra
     frame = spark.createDataFrame(random.sample(docs, len(docs)), "doc_id long, text string").repartition(4)
-    got = linededup.dedup_lines(frame, linededup.LineDedup(large=large, short=short), removed="gone").collect()
+    got = linededup.dedup_lines(frame, linededup.LineDedup(large=large, short=short, heavy=heavy), removed="gone").collect()
     expected = brute_lines(docs)
     assert {r.doc_id: list(r.gone) for r in got} == expected
     by_id = dict(docs)
@@ -111,6 +110,51 @@ def test_line_dedup(spark, texts, monkeypatch, large, kept, short):
         assert r.text == "\n".join(x for i, x in enumerate(lines) if i not in set(expected[r.doc_id]))
 
 
+@pytest.mark.parametrize("width, expanded", [(512, 1 << 21), (1, 8), (3, 64), (7, 400)])
+def test_line_groups_equal_brute_force(monkeypatch, width, expanded):
+    """Overlaps counted in parts, also with a large set among small ones and across blocks."""
+    monkeypatch.setattr(linededup, "WIDTH", width)
+    monkeypatch.setattr(linededup, "EXPANDED", expanded)
+    rule, rnd = linededup.LineDedup(), random.Random(11)
+    for crossed in (False, True):
+        sets = [set(rnd.sample(range(14), rnd.randint(1, 13))) for _ in range(90)] + [set(range(500)), set(range(450))]
+        rows = [
+            (5, 0, int(crossed), rnd.randint(0, 1) if crossed else 0, i // 3, i % 3, rnd.random() < 0.8,
+             np.array(sorted(s), np.uint64).tobytes())
+            for i, s in enumerate(sets)
+        ]
+        expected = [
+            (i // 3, i % 3) for i, s in enumerate(sets)
+            if rows[i][6] and any(
+                len(s & t) >= 0.8 * len(s | t) - 1e-9 and not (crossed and rows[i][3] == rows[j][3]) for j, t in enumerate(sets[:i])
+            )
+        ]
+        assert expected and linededup._matches(rows, rule) == expected
+
+
+def test_line_dedup_near_the_threshold_sends_lines_not_pairs(spark):
+    """600 lines that nearly match each other are sent at most once for each prefix token."""
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(350)]
+    docs = [(i, " ".join(rnd.sample(vocabulary, 300))) for i in range(600)]
+    sent = []
+    true_members = linededup._members
+
+    def members(*args):
+        out = true_members(*args)
+        sent.append(out.count())
+        return out
+
+    linededup._members = members
+    try:
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        got = linededup.dedup_lines(frame, removed="gone").collect()
+    finally:
+        linededup._members = true_members
+    assert {r.doc_id: list(r.gone) for r in got} == brute_lines(docs)
+    assert sent and sent[0] <= 600 * 61  # of 179,700 pairs in each of the groups
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = linededup.dedup_lines(odd, removed="gone")
     assert out.columns == [*odd.columns, "gone"] and out.count() == odd.count()
