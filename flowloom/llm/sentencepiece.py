@@ -19,8 +19,10 @@ bounded memo, and a text's pieces are the joined paths of its words.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,9 +74,11 @@ class PieceTransducer:
     unknown: int
     add_prefix: bool
     squeeze: bool
-    trie: dict = field(default_factory=dict)
+    trie: list = field(default_factory=lambda: [None, {}])  # number of the piece that ends here, next states
+    longest: int = 1
     allowed: dict = field(default_factory=dict)
     words: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)  # words of the memo before the last time it was full
     memo_words: int = 150_000
     memo_pairs: int = 500_000
 
@@ -83,11 +87,12 @@ class PieceTransducer:
         for text, number in self.ids.items():
             node = self.trie
             for c in reversed(text):
-                node = node.setdefault(c, {})
-            node[""] = number
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = number
+            self.longest = max(self.longest, len(text))
 
     def __getstate__(self):
-        return {k: ({} if k in ("allowed", "words") else v) for k, v in self.__dict__.items()}
+        return {k: ({} if k in ("allowed", "words", "older") else v) for k, v in self.__dict__.items()}
 
     def merges(self, text: str) -> list[str]:
         """Pieces that remain after all merges, lowest rank first, leftmost of equals."""
@@ -132,28 +137,34 @@ class PieceTransducer:
 
     def shortest_path(self, text: str) -> list[int]:
         """Pieces of the path of finite weight through the lattice of a word."""
-        n = len(text)
+        n, back = len(text), text[::-1]
         last: list = [None] * (n + 1)  # piece or fallback with which the path to each place ends
-        trie, may_follow = self.trie, self.may_follow
+        trie, longest, known = self.trie, self.longest, self.allowed.get
         for end in range(1, n + 1):
             node, at, found = trie, end, None
-            while at > 0:
-                node = node.get(text[at - 1])
+            for c in back[n - end : n - end + longest]:
+                node = node[1].get(c)
                 if node is None:
                     break
                 at -= 1
-                piece = node.get("")
+                piece = node[0]
                 if piece is None:
                     continue
-                left = last[at]
-                if at == 0 or left is not None and (left < 0 or may_follow(left, piece)):
-                    found = piece
-                    break  # no other arc into this place has finite weight
-            if found is None and text[end - 1] not in self.ids:
+                if at:
+                    left = last[at]
+                    if left is None:
+                        continue
+                    if left >= 0:
+                        finite = known((left << 20) | piece)
+                        if not (self.may_follow(left, piece) if finite is None else finite):
+                            continue
+                found = piece
+                break  # no other arc into this place has finite weight
+            if found is None and text[end - 1] not in self.ids and (end == 1 or last[end - 1] is not None):
                 found = -1
             last[end] = found
         if last[n] is None:  # only where equal ranks make the arcs depend on more than a pair
-            return [self.ids[p] for p in self.merges(text) if p in self.ids]
+            return self.merged(text)
         path: list[int] = []
         end = n
         while end > 0:
@@ -166,6 +177,10 @@ class PieceTransducer:
                 end -= len(self.texts[piece])
         return path[::-1]
 
+    def merged(self, text: str) -> list[int]:
+        """Numbers of what all merges leave; characters of no piece by their bytes."""
+        return [i for p in self.merges(text) for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
+
     def fallback(self, char: str) -> list[int]:
         if not self.byte_ids:
             return [self.unknown]
@@ -173,20 +188,16 @@ class PieceTransducer:
 
     def word(self, text: str) -> bytes:
         """Piece numbers of a word as packed 32-bit integers."""
-        path = self.words.get(text)
+        path = self.words.get(text) or self.older.get(text)
         if path is None:
             marks = len(text) - len(text.lstrip(MARK))
-            if marks > 2 or marks == 2 and len(text) == 2:
-                # runs of marks merge with equal rank, from the left
-                pieces = self.merges(text)
-                numbers = [i for p in pieces for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-            else:
-                numbers = self.shortest_path(text)
-            path = np.asarray(numbers, "<i4").tobytes()
-            if len(text) <= 64:
-                if len(self.words) >= self.memo_words:
-                    self.words.clear()
-                self.words[text] = path
+            # runs of marks merge with equal rank, from the left
+            runs = marks > 2 or marks == 2 and len(text) == 2
+            path = array("i", self.merged(text) if runs else self.shortest_path(text)).tobytes()
+        if len(text) <= 64:
+            if len(self.words) >= self.memo_words:  # words met again since then move on, others go
+                self.words, self.older = {}, self.words
+            self.words[text] = path
         return path
 
     def normalise(self, text: str) -> str:
@@ -201,7 +212,7 @@ class PieceTransducer:
         parts = []
         for w in WORDS.findall(self.normalise(text)):
             parts.append(known.get(w) or word(w))
-        return np.frombuffer(b"".join(parts), "<i4")
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.outputs.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -221,6 +232,7 @@ def shared(transducer: PieceTransducer) -> PieceTransducer:
     if key not in _shared:
         _shared.clear()
         _shared[key] = transducer
+        gc.freeze()  # its states live as long as the worker: not to be walked at every collection
     return _shared[key]
 
 

@@ -540,6 +540,18 @@ def test_toxicity_pieces_and_odd_rows(spark, odd, empty):
     assert toxicity.toxicity_scores(empty, untaught).count() == 0
 
 
+def test_pieces_where_the_lattice_ends_dead():
+    """The way out gives characters of no piece as bytes; also with a memo that is full at every other word."""
+    model = sp.compile_model()
+    for text in ("▁a\U0001f9ffb", "\u0e5b", "▁▁▁x\u0e5b\u0e5b"):
+        ids = model.merged(text)
+        assert b"".join(model.outputs[i] for i in ids).decode() == text.replace("▁", " ")
+    small = sp.compile_model()
+    small.memo_words = 2
+    text = "one two three two one four \u0e5b two one " * 3
+    assert list(small.encode(text)) == list(model.encode(text)) and len(small.words) <= 2
+
+
 # --- pipeline ---
 
 
