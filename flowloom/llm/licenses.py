@@ -4,16 +4,17 @@ A paragraph is a line of the text. Its words, pairs and triples of words are has
 into a sparse vector, and a multinomial logistic regression tells the licence family,
 ``unknown`` for a licence statement of no known family, or ``none``. It is trained on
 statements made from patterns and licence names and on a bounded, documented sample
-of lines of the corpus. On statements kept back, the probability that a family needs
-is calibrated; below it the paragraph is ``unknown``. A prediction counts as confirmed
-when enough of the words of one of the family's templates stand in the paragraph. An
-identifier such as Apache-2.0 or GPLv2 is a template by itself, a plain word such as MIT
+of lines of the corpus. The probability that a family needs is calibrated by a first fit that
+sees neither the names nor the patterns kept back; below it the paragraph is ``unknown``.
+A prediction counts as confirmed when enough of the words and pairs of words of one of the
+family's templates stand in the paragraph. An identifier such as Apache-2.0 or GPLv2 is a template by itself, a plain word such as MIT
 is one only where the words around it state a licence.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowloom.llm.common import col, fresh
 from flowloom.llm.linededup import with_rid
+from flowloom.session import materialize
 
 NONE, UNKNOWN = "none", "unknown"
 
@@ -54,14 +56,29 @@ CLAUSES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ],
+    "apache-2.0": [
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ],
-    "apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License"],
-    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
     ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License"],
     "public-domain": ["This is free and unencumbered software released into the public domain"],
 }
@@ -70,12 +87,13 @@ STATEMENTS = [
     "This software is distributed under the terms of the {}", "Published under {}.", "License: {}",
     "SPDX-License-Identifier: {}", "The code is available under the {}, see the file LICENSE.",
     "This document is made available under a {}.", "All content is licensed under {} unless noted otherwise.",
-    "Copyright 2019 the authors. Licensed under the {}",
+    "Copyright 2019 the authors. Licensed under the {}", "{} applies to this program.", "The project is covered by the {}.",
 ]
 UNKNOWN_NAMES = [
     "Acme Public License, version 1", "Example Corporation End User Agreement", "Open Data Terms 3.1", "FooBar Licence",
     "Community Source Agreement", "Zeta Research License 2.2", "Vendor Proprietary License", "custom terms",
     "Sunrise Software License, Version 4", "a commercial licence", "University Academic License", "Nova Public License",
+    "Artistic License 2.0", "European Union Public Licence", "Microsoft Public License", "zlib License",
 ]
 PLAIN = [
     "The driver needs a valid license to drive.", "Her fishing licence was renewed in May.", "He studied copyright law.",
@@ -83,13 +101,15 @@ PLAIN = [
     "The software was installed without any problem.", "An attribution of the painting is open.", "Free of charge parking.",
     "The commons are creative places.", "The plate on the car is a license plate.", "They released the new album.",
     "The foundation published its report under the old name.", "GNU are large antelopes.", "The licensed pub is closed.",
+    "There is no licence in the box.", "Nobody asked for a license today.", "The word licence is a noun.",
+    "This text says nothing about a licence.", "A licence fee is due in this year.", "He lost his licence on the way.",
 ]
 # --- end of fixed values ---
 
 
 @dataclass(frozen=True)
 class LicenseRule:
-    """``plain_rows`` bounds the corpus lines of the fit, ``kept_back`` is one statement in so many."""
+    """``plain_rows`` bounds the corpus lines of the fit, ``kept_back`` is one name, pattern or line in so many."""
 
     features: int = 1 << 14
     plain_rows: int = 3000
@@ -132,11 +152,33 @@ def _features(rule: LicenseRule) -> list:
     ]
 
 
-def _statements() -> list[tuple[str, str]]:
-    known = [(f, s.format(n)) for f, names in NAMES.items() for n in names for s in STATEMENTS]
-    clauses = [(f, c) for f, cs in CLAUSES.items() for c in cs for _ in range(4)]
-    unknown = [(UNKNOWN, s.format(n)) for n in UNKNOWN_NAMES for s in STATEMENTS]
-    return known + clauses + unknown + [(NONE, p) for p in PLAIN for _ in range(3)]
+def _drawn(texts: list[str], one_in: int) -> set[str]:
+    """One in ``one_in`` texts, rounded up, by their hashes; none of a single text."""
+    n = -(-len(texts) // one_in) if len(texts) > 1 else 0
+    return set(sorted(texts, key=lambda t: (zlib.crc32(t.encode()), t))[:n])
+
+
+def names_kept_back(rule: LicenseRule) -> set[str]:
+    """Names, of known families and of none, that the fit for the calibration does not see."""
+    return set().union(*[_drawn(names, rule.kept_back) for names in [*NAMES.values(), UNKNOWN_NAMES]])
+
+
+def _statements(rule: LicenseRule) -> list[tuple[str, str, bool, bool]]:
+    """(family, text, whether the first fit sees it, whether it calibrates).
+
+    A statement calibrates if its name was kept back, under whatever pattern.
+    """
+    names_back, patterns_back = names_kept_back(rule), _drawn(STATEMENTS, rule.kept_back)
+    named = [(f, n) for f, names in [*NAMES.items(), (UNKNOWN, UNKNOWN_NAMES)] for n in names]
+    made = [
+        (f, s.format(n), n not in names_back and s not in patterns_back, n in names_back) for f, n in named for s in STATEMENTS
+    ]
+    clauses = [(f, c, True, False) for f, cs in CLAUSES.items() for c in cs for _ in range(4)]
+    return made + clauses + [(NONE, p, True, False) for p in PLAIN for _ in range(3)]
+
+
+def _templates(but: set[str] = frozenset()) -> dict[str, list[list[str]]]:
+    return {f: [words_of(t) for t in [n for n in names if n not in but] + CLAUSES.get(f, [])] for f, names in NAMES.items()}
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -151,52 +193,59 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, rule: LicenseRule = LicenseRule()) -> LicenseModel:
     """Model of the fixed statements and of ``plain_rows`` corpus lines drawn by hash.
 
-    Lines that mention a licence word are no examples of class none.
+    Lines that mention a licence word are no examples of class none. A first fit, without the
+    names, patterns and lines kept back and without templates of those names, fixes the
+    probability that a family needs; the model itself is fitted on all of them.
     """
     spark = docs.sparkSession
     labels = [NONE, UNKNOWN, *NAMES]
-    made = _literal(spark, [(labels.index(f), t, k % rule.kept_back == 0) for k, (f, t) in enumerate(_statements())])
+    made = _literal(spark, [(labels.index(f), t, seen, back) for f, t, seen, back in _statements(rule)])
+    back = F.pmod(F.xxhash64("paragraph"), F.lit(rule.kept_back)) == 0
     plain = (
         paragraphs(docs)
         .filter(~F.lower("paragraph").rlike("licen|copyright|public domain|permission|spdx|creative commons|creativecommons|warrant"))
         .orderBy(F.xxhash64("paragraph"), "paragraph").limit(rule.plain_rows)
-        .select(F.lit(0).alias("label"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(rule.kept_back)) == 0).alias("back"))
+        .select(F.lit(0).alias("label"), "paragraph", (~back).alias("seen"), back.alias("back"))
     )
-    rows = made.unionByName(plain)
+    # written once: both fits and the calibration read it
+    rows = materialize(made.unionByName(plain).withColumn("label", F.col("label").cast("double")))
     logistic = LogisticRegression(
         featuresCol="features", labelCol="label", family="multinomial", maxIter=rule.iterations,
         regParam=rule.penalty, standardization=False, probabilityCol="p", rawPredictionCol="margin", predictionCol="guess",
     )
-    ready = rows.withColumn("label", F.col("label").cast("double"))
-    fitted = Pipeline(stages=[*_features(rule), logistic]).fit(ready.filter(~F.col("back")))
-    templates = {f: [words_of(t) for t in names + CLAUSES.get(f, [])] for f, names in NAMES.items()}
-    model = LicenseModel(rule, fitted, labels, templates=templates)
-    kept = (
-        fitted.transform(ready.filter("back"))
-        .select("label", "guess", F.array_max(vector_to_array("p")).alias("p"))
-        .filter(F.col("guess") > 1).collect()  # at most the rows of the fit
+    stages = Pipeline(stages=[*_features(rule), logistic])
+    first = LicenseModel(rule, stages.fit(rows.filter("seen")), labels, templates=_templates(names_kept_back(rule)))
+    # the decisions that hang on the probability alone; at most the rows of the fit
+    judged = _judged(first.pipeline.transform(rows.filter("back")), first).filter(
+        (F.col("guess") > 1) & (F.col("likeness") >= rule.confirm) & ~F.col("identified")
     )
-    # smallest probability above which families are right often enough
+    kept = [(r["probability"], r["label"] == r["guess"]) for r in judged.select("probability", "label", "guess").collect()]
+    return LicenseModel(rule, stages.fit(rows), labels, least_probability(kept, rule.precision), _templates())
+
+
+def least_probability(kept: list[tuple[float, bool]], precision: float) -> float:
+    """Smallest probability of the grid 0.30, 0.35 ... 0.95 from which on a share ``precision`` of (probability, right) is right.
+
+    Where no value gives it, or nothing was decided, the largest is taken.
+    """
     for least in [x / 100 for x in range(30, 96, 5)]:
-        model.least = least
-        sure = [r for r in kept if r["p"] >= least]
-        if sum(r["label"] == r["guess"] for r in sure) >= rule.precision * len(sure):
-            break
-    return model
+        sure = [right for p, right in kept if p >= least]
+        if sure and sum(sure) >= precision * len(sure):
+            return least
+    return 0.95
 
 
-def _literal(spark: SparkSession, rows: list[tuple[int, str, bool]]) -> DataFrame:
-    made = F.array(*[
-        F.struct(F.lit(a).alias("label"), F.lit(b).alias("paragraph"), F.lit(c).alias("back")) for a, b, c in rows
-    ])
+def _literal(spark: SparkSession, rows: list[tuple[int, str, bool, bool]]) -> DataFrame:
+    names = ("label", "paragraph", "seen", "back")
+    made = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
     return spark.range(1).select(F.inline(made))
 
 
 def _stated(words: Column, word: str) -> Column:
     """Whether ``word`` stands where the name of a licence does; anywhere else it confirms nothing."""
-    before = r"(under|licen[sc]ed?|spdx-license-identifier|terms of)( the| an?)? "
+    before = r"(under|covered by|licen[sc]ed?|spdx-license-identifier|terms of)( the| an?)? "
     word = re.escape(word)
-    return F.array_join(words, " ").rlike(rf"(^| )({before}{word}|{word} licen[sc]e)( |$)")
+    return F.array_join(words, " ").rlike(rf"(^| )({before}{word}|{word} (licen[sc]e|applies to))( |$)")
 
 
 def _identified(words: Column, templates: list[list[str]]) -> Column:
@@ -204,18 +253,33 @@ def _identified(words: Column, templates: list[list[str]]) -> Column:
     return reduce(or_, [_stated(words, t[0]) for t in templates if len(t) == 1], F.lit(False))
 
 
-def _likeness(words: Column, templates: list[list[str]]) -> Column:
-    """Largest share of a template's words that stand in the paragraph."""
+def _likeness(words: Column, grams: Column, templates: list[list[str]]) -> Column:
+    """Largest share of a template's words and pairs of neighbouring words that stand in the paragraph."""
     shares = []
     for t in templates:
         if len(t) == 1 and t[0].isalpha():
             shares.append(_stated(words, t[0]).cast("double"))
             continue
-        common = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(t))])))
-        shares.append(common / F.lit(float(len(set(t)))))
+        parts = sorted({*t, *[f"{a} {b}" for a, b in zip(t, t[1:])]})
+        common = F.size(F.array_intersect(grams, F.array(*[F.lit(w) for w in parts])))
+        shares.append(common / F.lit(float(len(parts))))
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
+def _judged(scored: DataFrame, model: LicenseModel) -> DataFrame:
+    """``scored`` with guess_name, probability, likeness to the guess's templates, identified."""
+    names = F.array(*[F.lit(x) for x in model.labels])
+    guess = F.col("guess_name")
+    likeness, identified = F.lit(0.0), F.lit(False)
+    for f, templates in model.templates.items():
+        likeness = F.when(guess == f, _likeness(F.col("w1"), F.col("grams"), templates)).otherwise(likeness)
+        identified = F.when(guess == f, _identified(F.col("w1"), templates)).otherwise(identified)
+    named = scored.withColumns({
+        "guess_name": F.element_at(names, F.col("guess").cast("int") + 1), "probability": F.array_max(vector_to_array("p")),
+    })
+    return named.withColumns({"likeness": likeness, "identified": identified})
+
+
 def license_statements(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, place, family, probability, likeness, confirmed for each paragraph with a licence.
 
@@ -224,17 +288,8 @@ def license_statements(docs: DataFrame, model: LicenseModel) -> DataFrame:
     confirms, is reported as unknown; a guess that is less likely than none is not.
     Where an identifier of the family is stated, the probability need not be that high.
     """
-    p = vector_to_array("p")
-    scored = model.pipeline.transform(paragraphs(docs)).filter((F.col("guess") > 0) & (p[0] < 1 - model.least))
-    names = F.array(*[F.lit(x) for x in model.labels])
-    guess = F.element_at(names, F.col("guess").cast("int") + 1)
-    likeness, identified = F.lit(0.0), F.lit(False)
-    for f, templates in model.templates.items():
-        likeness = F.when(F.col("guess_name") == f, _likeness(F.col("w1"), templates)).otherwise(likeness)
-        identified = F.when(F.col("guess_name") == f, _identified(F.col("w1"), templates)).otherwise(identified)
-    named = scored.select(
-        "doc_id", "place", "w1", guess.alias("guess_name"), F.array_max(vector_to_array("p")).alias("probability")
-    ).withColumns({"likeness": likeness, "identified": identified})
+    scored = model.pipeline.transform(paragraphs(docs)).filter(F.col("guess") > 0)
+    named = _judged(scored.select("doc_id", "place", "w1", "grams", "guess", "p"), model)
     confirmed = F.col("likeness") >= model.rule.confirm
     sure = F.col("identified") | (F.col("probability") >= model.least)
     family = F.when(confirmed & sure, F.col("guess_name")).otherwise(UNKNOWN)

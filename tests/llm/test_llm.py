@@ -510,6 +510,29 @@ def test_licenses_by_every_name(spark):
     assert {r.family for r in licenses.license_statements(other, model).collect()} <= {"unknown"}
 
 
+def test_license_calibration(spark):
+    """The first fit knows no name kept back, the threshold depends on what it gets wrong, and unseen texts are told."""
+    rule = licenses.LicenseRule()
+    back = licenses.names_kept_back(rule)
+    assert all(back & set(names) and set(names) - back for names in [*licenses.NAMES.values(), licenses.UNKNOWN_NAMES])
+    made = licenses._statements(rule)
+    seen, held = {t for _, t, s, _ in made if s}, {t for _, t, _, b in made if b}
+    assert held and not seen & held
+    assert licenses.least_probability([(0.9, True), (0.5, False), (0.35, True)], 0.98) == 0.55
+    assert licenses.least_probability([(0.9, True), (0.4, True)], 0.98) == 0.3
+    assert licenses.least_probability([(0.99, False)], 0.98) == licenses.least_probability([], 0.98) == 0.95
+    model = licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    lines = [
+        ("unknown", "Eclipse Public License 2.0 applies to this program."), ("unknown", "Licensed under the Zephyr Toolkit Terms."),
+        ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties"
+                " of merchantability, fitness for a particular purpose and noninfringement."),
+        ("unknown", "Licensed under the Borealis Public License, version 4."), ("mit", "This tool is released under the MIT license."),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in licenses.license_statements(docs, model).collect()}
+    assert got == {k: f for k, (f, _) in enumerate(lines)}, (got, model.least)
+
+
 # --- toxicity ---
 
 
