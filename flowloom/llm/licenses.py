@@ -13,11 +13,10 @@ is one only where the words around it state a licence.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -235,10 +234,15 @@ def least_probability(kept: list[tuple[float, bool]], precision: float) -> float
     return 0.95
 
 
+def _constant(value: list, schema: str) -> Column:
+    """Fixed rows as one constant; thousands of literals would burden the driver with their plan."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def _literal(spark: SparkSession, rows: list[tuple[int, str, bool, bool]]) -> DataFrame:
     names = ("label", "paragraph", "seen", "back")
-    made = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
-    return spark.range(1).select(F.inline(made))
+    made = _constant([dict(zip(names, r)) for r in rows], "array<struct<label: int, paragraph: string, seen: boolean, back: boolean>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(made))
 
 
 def _stated(words: Column, word: str) -> Column:
@@ -248,35 +252,36 @@ def _stated(words: Column, word: str) -> Column:
     return F.array_join(words, " ").rlike(rf"(^| )({before}{word}|{word} (licen[sc]e|applies to))( |$)")
 
 
-def _identified(words: Column, templates: list[list[str]]) -> Column:
-    """Whether a template of one word is stated as a licence."""
-    return reduce(or_, [_stated(words, t[0]) for t in templates if len(t) == 1], F.lit(False))
-
+def _likeness(guess: Column, grams: Column, templates: dict[str, list[list[str]]]) -> Column:
+    """Largest share of a template's words and pairs of neighbouring words that stand in the paragraph.
 
-def _likeness(words: Column, grams: Column, templates: list[list[str]]) -> Column:
-    """Largest share of a template's words and pairs of neighbouring words that stand in the paragraph."""
-    shares = []
-    for t in templates:
-        if len(t) == 1 and t[0].isalpha():
-            shares.append(_stated(words, t[0]).cast("double"))
-            continue
-        parts = sorted({*t, *[f"{a} {b}" for a, b in zip(t, t[1:])]})
-        common = F.size(F.array_intersect(grams, F.array(*[F.lit(w) for w in parts])))
-        shares.append(common / F.lit(float(len(parts))))
-    return F.greatest(*shares) if len(shares) > 1 else shares[0]
+    Templates of one plain word have no share; they count where they are stated.
+    """
+    parts = [
+        {"family": f, "parts": sorted({*t, *[f"{a} {b}" for a, b in zip(t, t[1:])]})}
+        for f, ts in templates.items() for t in ts if len(t) > 1 or not t[0].isalpha()
+    ]
+    fixed = _constant(parts, "array<struct<family: string, parts: array<string>>>")
+    of_family = F.filter(fixed, lambda t: t["family"] == guess)
+    shares = F.transform(of_family, lambda t: F.size(F.array_intersect(grams, t["parts"])) / F.size(t["parts"]))
+    return F.coalesce(F.array_max(shares), F.lit(0.0))
 
 
 def _judged(scored: DataFrame, model: LicenseModel) -> DataFrame:
     """``scored`` with guess_name, probability, likeness to the guess's templates, identified."""
     names = F.array(*[F.lit(x) for x in model.labels])
-    guess = F.col("guess_name")
-    likeness, identified = F.lit(0.0), F.lit(False)
+    guess, words = F.col("guess_name"), F.col("w1")
+    stated, identified = F.lit(False), F.lit(False)
     for f, templates in model.templates.items():
-        likeness = F.when(guess == f, _likeness(F.col("w1"), F.col("grams"), templates)).otherwise(likeness)
-        identified = F.when(guess == f, _identified(F.col("w1"), templates)).otherwise(identified)
+        for t in templates:
+            if len(t) == 1:
+                here = (guess == f) & _stated(words, t[0])
+                identified = identified | here
+                stated = stated | here if t[0].isalpha() else stated
     named = scored.withColumns({
         "guess_name": F.element_at(names, F.col("guess").cast("int") + 1), "probability": F.array_max(vector_to_array("p")),
     })
+    likeness = F.when(stated, 1.0).otherwise(_likeness(guess, F.col("grams"), model.templates))
     return named.withColumns({"likeness": likeness, "identified": identified})
 
 
