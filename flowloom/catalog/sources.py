@@ -30,8 +30,11 @@ def write_raw_csv(spark, sf, path):
         ).alias("value"),
         "row_id",
     )
-    # every file of the folder carries the header, as separate exports do
-    head = ",".join(RAW_HEADER)
+    write_with_header(rows, ",".join(RAW_HEADER), path)
+
+
+def write_with_header(rows, head, path):
+    """``value`` lines by row_id; every file of the folder carries the header, as separate exports do."""
 
     def with_header(batches):
         import pandas as pd
@@ -69,6 +72,26 @@ def flow_csv(spark, sf):
     return raw_view(readers.read_flow_csv(spark, path, strict=True))
 
 
+LABELLED = {
+    "a": ("number", "Label", "pps"), "b": ("Label", "port", "number", "pps"), "c": ("port", "number", "Label"),
+}
+
+
+@query("labelled_files", f"""WITH {FLOWS}, placed AS (SELECT *, chr(97 + (row_id % 3)::INT) AS f FROM flows)
+SELECT row_number() OVER (ORDER BY f, row_id) - 1 AS row_id, row_id::VARCHAR AS number, "Label" AS label,
+  CASE WHEN f <> 'a' THEN (row_id * 7)::VARCHAR END AS port, CASE WHEN f <> 'c' THEN (row_id * 3)::VARCHAR END AS pps FROM placed""")
+def labelled_files(spark, sf):
+    """Three sets of files with columns of their own, in orders of their own, read in one scan."""
+    path = scratch_path(spark, "labelled-files")
+    f = flows(spark, sf)
+    for k, (folder, head) in enumerate(LABELLED.items()):
+        values = {"number": F.col("row_id"), "Label": F.col("Label"), "port": F.col("row_id") * 7, "pps": F.col("row_id") * 3}
+        rows = f.filter(F.col("row_id") % 3 == k).select(F.concat_ws(",", *[values[h] for h in head]).alias("value"), "row_id")
+        write_with_header(rows, ",".join(head), f"{path}/{folder}")
+    df = readers.read_labelled_files(spark, [f"{path}/{folder}" for folder in LABELLED])
+    return df.select("row_id", "number", F.col("Label").alias("label"), "port", "pps")
+
+
 @query("cached_flow_csv", RAW_SQL)
 def cached_flow_csv(spark, sf):
     """The same file through its columnar copy, read twice."""

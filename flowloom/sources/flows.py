@@ -107,14 +107,39 @@ def read_corporate_csv(
 
 
 def read_labelled_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Several labelled CSVs under the union of their columns, with ``source_file``."""
-    out = None
-    for path in paths:
-        one = read_flow_csv(spark, path).withColumn(
-            "source_file", F.lit(path.rstrip("/").rsplit("/", 1)[-1])
-        )
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    """Several labelled CSVs in one scan, under the union of their columns, with ``source_file``.
+
+    Each file may have its columns in an order of its own, and columns of its own (null in the
+    others). ``row_id`` is dense over all files, in the order of their paths. Headers, one row a
+    file, come to the driver, since the columns depend on them; no value may hold a line break.
+    """
+    text = spark.read.text(paths).select("value", "_metadata").filter(F.trim("value") != "")
+    numbered = with_row_ids(text).select(
+        "value", "row_id", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file")
+    )
+    heads = numbered.groupBy("_path").agg(F.min("row_id").alias("first"), F.min_by("value", "row_id").alias("head"))
+    found = sorted((r["first"], r["_path"], r["head"]) for r in heads.collect())
+    if not found:
+        raise InputError(f"no rows: {', '.join(paths)}")
+    names = [distinct_ignoring_case(clean_header(next(csv.reader([head])))) for _, _, head in found]
+    spelled: dict[str, str] = {}
+    for n in (n for of_file in names for n in of_file):
+        spelled.setdefault(n.lower(), n)
+    maps = []
+    for k, (of_file, (first, path, _)) in enumerate(zip(names, found)):
+        place = {n.lower(): i for i, n in enumerate(of_file)}
+        maps.append((path, first, k + 1, [place.get(n) for n in spelled]))
+    placed = spark.createDataFrame(maps, "_path string, _first long, _heads long, _place array<int>")
+    width = max(len(of_file) for of_file in names)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = lookup(numbered, placed, ["_path"], row_bytes=100 + 4 * len(spelled)).filter(F.col("row_id") != F.col("_first"))
+    fields = rows.withColumn("_s", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ")))
+    fields = fields.withColumn("_v", F.array(*[F.col(f"_s.c{i}") for i in range(width)]))
+    df = fields.select(
+        *[F.get("_v", F.get("_place", F.lit(i))).alias(n) for i, n in enumerate(spelled.values())],
+        (F.col("row_id") - F.col("_heads")).alias("row_id"), "source_file",
+    )
+    return df.withColumn("Timestamp", parse_timestamp(F.col("Timestamp"))) if "Timestamp" in df.columns else df
 
 
 def source_stamp(spark: SparkSession, path: str) -> str:

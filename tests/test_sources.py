@@ -84,3 +84,17 @@ def test_row_ids_follow_the_files_without_moving_rows(spark, tmp_path):
     assert df.columns == ["x", "payload", "row_id"]
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
     assert flows.with_row_ids(flows.read_csv_text(spark, str(tmp_path)).filter("x = 'none'")).count() == 0
+
+
+def test_labelled_files_of_other_orders(spark, tmp_path):
+    """Values go by name; quoted commas, blank lines, short rows and a file of only a header are read as they are."""
+    for name, text in {
+        "a.csv": ' x , y\n1,"p,q"\n\n2,\n', "b.csv": "Y,z,X\nr,7,3\ns\n", "c.csv": "z\n", "d.csv": "z,x\nz,x\n",
+    }.items():
+        put(tmp_path / name, text)
+    df = flows.read_labelled_files(spark, [str(tmp_path / f"{n}.csv") for n in "abcd"])
+    got = [tuple(r) for r in df.select("row_id", "x", "y", "z", "source_file").orderBy("row_id").collect()]
+    assert got == [
+        (0, "1", "p,q", None, "a.csv"), (1, "2", None, None, "a.csv"), (2, "3", "r", "7", "b.csv"), (3, None, "s", None, "b.csv"),
+        (4, "x", None, "z", "d.csv"),
+    ]
