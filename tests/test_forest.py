@@ -75,3 +75,35 @@ def test_rows_are_bounded_and_may_be_missing(spark):
     one = forest.fit(df.filter("id = 4000"), F.col("x"), F.col("y"), 3, 3)
     scored = one.score(df.withColumn("x", F.when(F.col("y"), F.col("x"))), F.col("x"), "s")
     assert {(r.y, r.s) for r in scored.select("y", "s").distinct().collect()} == {(True, 1.0), (False, 0.0)}
+
+
+def test_walk_equals_a_plain_descent():
+    """Sums over leaves for tall, lone and saved trees, with gaps and infinities in the rows."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 5)).round(2)
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=3000) > 0).astype(float)
+    cuts = forest.quantile_cuts(x)
+    trees = [forest.grow_tree(forest.binned(x, cuts), y, cuts, np.random.default_rng(t), 24, 2000, 2) for t in range(5)]
+    trees.append({"feature": [-1], "cut": [0.0], "left": [-1], "right": [-1], "value": [0.25]})
+    x[5, 1], x[6, 0], x[7, 2] = np.nan, np.inf, -np.inf
+    expected = np.zeros(len(x))
+    for t in trees:
+        for i, row in enumerate(x):
+            node = 0
+            while t["feature"][node] >= 0:
+                node = t["left" if row[t["feature"][node]] <= t["cut"][node] else "right"][node]
+            expected[i] += t["value"][node]
+    assert (forest.Walk(trees).total(x, "value") == expected).all()
+    assert (forest.Walk([]).total(x, "value") == 0).all()
+
+
+def test_tasks_grow_with_a_file(spark, tmp_path, monkeypatch):
+    """What one task of a spread input reads is bounded; before, there were as many tasks as cores at any size."""
+    from flowloom import session
+
+    spark.range(50_000).select("id", F.xxhash64("id").alias("h")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread_small(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SPREAD_BYTES", 10_000)
+    spread = session.spread_small(df)
+    assert spread.rdd.getNumPartitions() > 20 and spread.count() == 50_000
