@@ -7,7 +7,9 @@ runs after each arrival, and the query returns what it has written.
 from __future__ import annotations
 
 from dataclasses import replace
+from itertools import accumulate
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from flowloom.catalog.alerts import NETWORK, RULES, _SHORT, _SUPPRESS
@@ -139,16 +141,49 @@ def _csv_lines(df, order: str):
     return header, lines
 
 
+def _copy(piece: tuple[str, str, int]) -> None:
+    """One part of a text to its place in the whole file."""
+    part, whole, at = piece
+    files, place = tail.located(part)
+    with files.open_input_stream(place) as source, open(whole, "r+b") as out:
+        out.seek(at)
+        while held := source.read(tail.LOOK):
+            out.write(held)
+
+
 def _produce(path: str, header: str, lines, cut: int = 0) -> None:
-    """Write lines to the one file that a tail follows; ``cut`` bytes of the last line are still to come."""
+    """Write lines to the one file that a tail follows; ``cut`` bytes of the last line are still to come.
+
+    The lines are written in sorted parts by tasks, which then put the parts side by side. Where files
+    cannot be written in the middle (anything but a shared folder), the parts are appended piece by piece.
+    """
+    parts = f"{path}-parts"
+    lines.write.mode("overwrite").text(parts)
     files, place = tail.located(path)
-    files.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    with files.open_output_stream(place) as out:
-        held = header.encode() + b"\n"
-        for row in lines.toLocalIterator(prefetchPartitions=True):
-            out.write(held)
-            held = row["value"].encode() + b"\n"
-        out.write(held[: len(held) - cut] if cut else held)
+    folder = tail.located(parts)[1]
+    found = [f for f in files.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-") and f.size]
+    found.sort(key=lambda f: f.base_name)
+    head = header.encode() + b"\n"
+    places = list(accumulate([len(head), *(f.size for f in found)]))
+    if isinstance(files, fs.LocalFileSystem):
+        with open(place, "wb") as out:
+            out.write(head)
+            out.truncate(places[-1])
+        pieces = [(f.path, place, at) for f, at in zip(found, places)]
+        if pieces:
+            lines.sparkSession.sparkContext.parallelize(pieces, min(len(pieces), 1000)).foreach(_copy)
+        with open(place, "r+b") as out:
+            out.truncate(places[-1] - cut)
+    else:
+        left = places[-1] - cut - len(head)
+        with files.open_output_stream(place) as out:
+            out.write(head[: len(head) + min(left, 0)])
+            for f in found:
+                with files.open_input_stream(f.path) as source:
+                    while left > 0 and (held := source.read(min(tail.LOOK, left))):
+                        out.write(held)
+                        left -= len(held)
+    files.delete_dir(folder)
 
 
 @query(
@@ -158,7 +193,7 @@ SELECT (CASE WHEN k = n THEN (n - 2) // 512 + 1 ELSE (k - 1) // 512 END)::INTEGE
 FROM e""",
 )
 def row_bounded_stream(spark, sf):
-    """One growing file, 512 rows a micro-batch, over two runs of the stream; half a line waits for its end."""
+    """One growing file in batches of 512 rows, over two runs of the stream; half a line waits for its end."""
     source, out, place = folders(spark, "row-bounded")
     source = f"{source}/flows.csv"
     f = flows(spark, sf).select("row_id", "Timestamp", "`Source IP`")

@@ -140,3 +140,37 @@ def test_last_rows_are_kept_by_version(spark, tmp_path):
         sinks.keep_last(part(ids), path, min(version, 2), 4, ["-alert_seq"])  # the last one runs twice
     assert sorted(r.alert_seq for r in sinks.read_last(spark, path).collect()) == [4, 7, 8, 9]
     assert sinks._versions(spark, path) == [1, 2]
+
+
+def test_batches_that_come_together_are_the_same(tmp_path, monkeypatch):
+    """Lines are numbered by their batch of ``rows``, however many batches a micro-batch takes."""
+    monkeypatch.setattr(tail, "SPLIT", 7)
+    monkeypatch.setattr(tail, "LOOK", 5)
+    path = tmp_path / "a.csv"
+    path.write_text("x\n" + "".join(f"{i % 13 * 'a'}{i}\n" for i in range(50)) + "half")
+
+    def numbered(together):
+        reader = tail.TailReader({"path": str(path), "rows": "3", "together": str(together)})
+        at, out, turns = reader.initialOffset(), [], 0
+        while (end := reader.latestOffset()) != at:
+            out += [tuple(r.values()) for p in reader.partitions(at, end) for b in reader.read(p) for r in b.to_pylist()]
+            at, turns = end, turns + 1
+        return out, turns, at["batch"]
+
+    one, many = numbered(1), numbered(4)
+    assert one[0] == many[0] and one[2] == many[2] == 17
+    assert one[1] == 17 and many[1] == 5  # before, every batch was a micro-batch
+    assert [b for _, _, b, _ in one[0]] == [i // 3 for i in range(50)]
+
+
+def test_a_tail_that_fell_behind_catches_up(spark, tmp_path):
+    """The numbers go on over a second run; a few micro-batches hold many batches."""
+    path, out, place = (str(tmp_path / n) for n in ("a.csv", "out", "place"))
+    lines = [f"{i},u{i}\n" for i in range(1000)]
+    for held in ("".join(lines)[:-3], "".join(lines)):
+        with open(path, "w") as f:
+            f.write("row_id,ip\n" + held)
+        jobs.follow(jobs.tail_stream(spark, path, "row_id long, ip string", out, place, 4))
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("row_id", "batch").collect())
+    assert got == [(i, i // 4 if i < 999 else 250) for i in range(1000)]
+    assert len(list((tmp_path / "out").glob("run=*"))) == 2
