@@ -3,23 +3,31 @@
 A word's embedding is the sum of hashed rows: one for the word, some for its first
 and last letters, so that unseen forms of a known stem are understood. Filters of
 several widths slide over the whole text, each keeps its largest response (max
-pooling), and a logistic layer reads those. The fit sees a bounded, documented sample of labelled rows; scoring is
-one narrow stage over all rows. Scores are calibrated to the share of toxic labels,
-thresholds to each language of the calibration rows.
+pooling), and a logistic layer reads those. Scoring is one narrow stage over all rows.
+
+The fit sees every labelled row outside the held-out quarter. The rows are dealt
+into shards of about ``shard_rows``, so a task's work stays bounded. In each round
+every shard trains on from the common model in a task of its own, and what it changed
+is averaged: a row of the embedding over the shards that met it, all else by their
+rows. Only the model, of fixed size, comes to the driver. Scores are calibrated to the
+share of toxic labels, thresholds to each language, by sums over all calibration rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowloom.llm.common import chunks, col, fresh
+from flowloom.llm.common import Bits, chunks, col, fresh, partitions, slices
+from flowloom.session import materialize
 
 WORD = re.compile(r"\w+")
 PAD = 0  # its embedding stays zero
@@ -29,9 +37,10 @@ PARTS = 2 + len(HEADS)
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``sample_rows`` bounds the labelled rows of the fit, half of them toxic at most."""
+    """``shard_rows`` labelled rows, about, are trained on in one task; ``epochs`` are spread over ``rounds``."""
 
-    sample_rows: int = 6000
+    shard_rows: int = 8000
+    rounds: int = 4
     buckets: int = 1 << 18
     dim: int = 16
     widths: tuple[int, ...] = (1, 2, 3)
@@ -213,44 +222,239 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _sample(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig):
-    """At most ``sample_rows`` labelled texts, and the share of toxic labels.
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels to learn from.
 
-    Which rows are drawn depends on a hash of doc_id alone. A doc_id with
-    several labels counts as toxic when one of them says so.
+    A doc_id with several labels counts as toxic when one of them says so.
     """
-    known = (
+    return (
         labels.filter(col("toxic").isin(0, 1) & col("doc_id").isNotNull())
         .filter(~held_out(col("doc_id")))
         .groupBy(col("doc_id").alias("doc_id"))
         .agg(F.max(col("toxic")).cast("int").alias("toxic"))
     )
-    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    total = sum(counts.values())
-    if not total or not counts.get(1):
-        return [], 0.0
-    order = F.xxhash64(F.lit(cfg.seed), "doc_id")
-    half = cfg.sample_rows // 2
-    drawn = [known.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(half) for y in (1, 0)]
-    ids = drawn[0].unionByName(drawn[1])  # at most sample_rows rows, small enough to broadcast
-    lang = col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(col("doc_id").alias("doc_id"), lang.alias("lang"), col("text").alias("text"))
-    joined = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    rows = joined.select("doc_id", "lang", "toxic", "text").toArrow().to_pylist()
-    return sorted(rows, key=lambda r: r["doc_id"]), counts[1] / total
 
 
-def _train(model: ToxicityModel, docs: list[np.ndarray], parts: np.ndarray, y: np.ndarray) -> None:
+KNOWN_BITS = 27  # of the filter by which texts without a label stay where they are
+SHARD = "doc_id long, lang string, text binary, toxic int, part int, shard int"
+
+
+def _arrow(fn, *inputs: str):
+    """``fn`` with the annotations that say it works on Arrow tables."""
+    fn.__annotations__ = {**{n: pa.Table for n in inputs}, "return": pa.Table}
+    return fn
+
+
+def _shards(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """All labelled rows by shard and doc_id, texts compressed; a shard is in one partition.
+
+    Rows of part 0, a fifth, calibrate; the others train. Of rows that share a
+    doc_id the first text counts. Texts are dealt out once.
+    """
+    ids = known.select(col("doc_id").cast("long").alias("doc_id"), "toxic")
+    hashed = F.xxhash64("doc_id")
+    wanted = Bits(KNOWN_BITS).joined(ids.select(hashed.alias("h")), lambda b: b.column(0).to_numpy().view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    lang = col("lang") if "lang" in docs.columns else F.lit(None)
+    texts = docs.filter(~held_out(col("doc_id"))).select(
+        col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), col("text").cast("string").alias("text"))
+
+    def labelled(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            there = sent.value.has(b.column(3).to_numpy().view(np.uint64))
+            for part in slices(b.filter(pa.array(there))):
+                small = [squeeze((t or "").encode("utf-8", "replace")) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(small, pa.binary())],
+                                                 names=["doc_id", "lang", "text"])
+
+    part = F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")) % 5
+    dealt = {"shard": F.pmod(hashed, F.lit(n)).cast("int")}
+    texts = texts.withColumn("h", hashed).mapInArrow(labelled, "doc_id long, lang string, text binary").withColumns(dealt)
+    ids = ids.withColumns({"part": part.cast("int"), **dealt})
+
+    def matched(texts, ids):
+        label = {d: (y, p) for d, y, p in zip(*(ids.column(c).to_pylist() for c in ("doc_id", "toxic", "part")))}
+        rows = [r for r in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "lang", "text"))) if r[0] in label]
+        rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
+        rows = [r for i, r in enumerate(rows) if not i or rows[i - 1][0] != r[0]]
+        shard = ids.column("shard")[0].as_py() if len(ids) else 0
+        columns = list(zip(*[(*r, *label[r[0]], shard) for r in rows])) or [[]] * 6
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in SHARD.split(", ")])
+
+    count = partitions(docs, n)
+    both = texts.repartition(count, "shard").groupBy("shard").cogroup(ids.repartition(count, "shard").groupBy("shard"))
+    found = materialize(both.applyInArrow(_arrow(matched, "texts", "ids"), SHARD))
+    sent.unpersist()
+    return found
+
+
+def _by_shard(batches) -> Iterable[tuple[int, pa.Table]]:
+    """Whole shards of a partition, which has them one after another."""
+    shard, held = None, []
+    for b in batches:
+        numbers = b.column(5).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for start, end in zip(edges, edges[1:]):
+            if end > start:
+                if held and numbers[start] != shard:
+                    yield shard, pa.Table.from_batches(held)
+                    held = []
+                shard = int(numbers[start])
+                held.append(b.slice(start, end - start))
+    if held:
+        yield shard, pa.Table.from_batches(held)
+
+
+def _texts(group: pa.Table, train: bool) -> list[dict]:
+    """Rows of a shard that train, or calibrate."""
+    part = np.asarray(group.column("part"))
+    held = group.filter(pa.array((part != 0) == train)).to_pylist()
+    for r in held:
+        r["text"] = zstandard.decompress(r["text"]).decode()
+    return held
+
+
+@dataclass
+class _State:
+    """Where the training of a model stands: moments of the dense parts, and of each embedding row."""
+
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    seen: np.ndarray
+    step: int = 0
+
+    @classmethod
+    def start(cls, model: ToxicityModel) -> "_State":
+        dense = _dense(model)
+        return cls(
+            [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense],
+            np.full(model.config.buckets, 1e-3, np.float32),
+        )
+
+    def copy(self) -> "_State":
+        return _State([m.copy() for m in self.first], [v.copy() for v in self.second], self.seen.copy(), self.step)
+
+
+def _dense(model: ToxicityModel) -> list[np.ndarray]:
+    return [*model.filters, model.bias, model.weights]
+
+
+def _copied(model: ToxicityModel) -> ToxicityModel:
+    return replace(
+        model, embedding=model.embedding.copy(), filters=[f.copy() for f in model.filters],
+        bias=model.bias.copy(), weights=model.weights.copy(),
+    )
+
+
+def _flat(model: ToxicityModel, state: _State) -> np.ndarray:
+    """The dense parts, their moments, the intercept and the steps in a row."""
+    held = [*_dense(model), *state.first, *state.second]
+    return np.concatenate([*[p.ravel() for p in held], [model.intercept, state.step]]).astype(np.float64)
+
+
+def _unflatten(flat: np.ndarray, model: ToxicityModel, state: _State) -> None:
+    at = 0
+    for p in [*_dense(model), *state.first, *state.second]:
+        p[...] = flat[at : at + p.size].reshape(p.shape)
+        at += p.size
+    model.intercept, state.step = float(flat[at]), int(round(flat[at + 1]))
+
+
+ROWS_SENT = 1024  # of the embedding, that are sent and averaged together
+MOVES = "block int, shard int, n long, place binary, move binary, seen binary"
+
+
+def _moves(blocks: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*blocks), kinds)], names=[f.split()[0] for f in MOVES.split(", ")])
+
+
+def _round(shards: DataFrame, model: ToxicityModel, state: _State, epochs: range) -> None:
+    """``model`` and ``state`` after all shards have trained on from them for these epochs."""
+    sent = shards.sparkSession.sparkContext.broadcast((model, state))
+    cfg = model.config
+
+    def trained(batches):
+        for shard, group in _by_shard(batches):
+            rows = _texts(group, True)
+            if rows:
+                yield from _moves(of_shard(shard, rows)).to_batches(max_chunksize=64)
+
+    def of_shard(shard, rows):
+        start, before = sent.value
+        mine, now = _copied(start), before.copy()
+        words = _Vocabulary()
+        docs = [words.numbers(r["text"]) for r in rows]
+        parts = np.concatenate([np.zeros((1, PARTS), np.int32), word_parts(list(words), cfg.buckets)])
+        _train(mine, now, docs, parts, np.array([r["toxic"] for r in rows], np.float32), epochs, cfg.seed + shard)
+        touched = np.flatnonzero(now.seen != before.seen)
+        out = [(-1, shard, len(rows), b"", _flat(mine, now).tobytes(), b"")]
+        for at in np.split(touched, np.flatnonzero(np.diff(touched // ROWS_SENT)) + 1) if len(touched) else []:
+            move, seen = mine.embedding[at] - start.embedding[at], now.seen[at] - before.seen[at]
+            place = (at % ROWS_SENT).astype(np.int16)
+            out.append((int(at[0] // ROWS_SENT), shard, len(rows), place.tobytes(), move.tobytes(), seen.tobytes()))
+        return out
+
+    def averaged(batches):
+        block = total = None
+        for b in batches:
+            for key, _, n, place, move, seen in zip(*(c.to_pylist() for c in b.columns)):
+                if key != block:
+                    if block is not None:
+                        yield mean(block, total)
+                    block = key
+                    total = [0, 0.0, None] if key < 0 else [
+                        np.zeros(ROWS_SENT), np.zeros((ROWS_SENT, cfg.dim)), np.zeros(ROWS_SENT)]
+                if key < 0:
+                    total[0] += n
+                    total[1] = total[1] + n * np.frombuffer(move)
+                else:
+                    at = np.frombuffer(place, np.int16)
+                    total[0][at] += 1
+                    total[1][at] += np.frombuffer(move, np.float32).reshape(-1, cfg.dim)
+                    total[2][at] += np.frombuffer(seen, np.float32)
+        if block is not None:
+            yield mean(block, total)
+
+    def mean(block, total):
+        n, move, seen = total
+        if block < 0:
+            out = (block, 0, n, b"", (move / n).tobytes(), b"")
+        else:
+            at = np.flatnonzero(n)
+            out = (
+                block, 0, len(at), at.astype(np.int16).tobytes(), (move[at] / n[at, None]).astype(np.float32).tobytes(),
+                (seen[at] / n[at]).astype(np.float32).tobytes(),
+            )
+        return _moves([out]).to_batches()[0]
+
+    moved = shards.mapInArrow(trained, MOVES)
+    blocks = moved.repartition(partitions(moved), "block").sortWithinPartitions("block", "shard")
+    got = blocks.mapInArrow(averaged, MOVES).toArrow()  # no more than the model, whatever the input
+    for block, _, _, place, move, seen in zip(*(got.column(i).to_pylist() for i in range(6))):
+        if block < 0:
+            _unflatten(np.frombuffer(move), model, state)
+        else:
+            at = block * ROWS_SENT + np.frombuffer(place, np.int16).astype(np.int64)
+            model.embedding[at] += np.frombuffer(move, np.float32).reshape(-1, cfg.dim)
+            state.seen[at] += np.frombuffer(seen, np.float32)
+    sent.unpersist()
+
+
+def _train(
+    model: ToxicityModel, state: _State, docs: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: range, seed: int
+) -> None:
     """Adam on the dense parts, Adagrad on the embeddings; max pooling passes
     each gradient to the one place that gave the largest response."""
-    cfg, rng = model.config, np.random.default_rng(model.config.seed)
+    cfg, rng = model.config, np.random.default_rng(seed)
     pad = np.zeros(max(cfg.widths) - 1, np.int32)
-    dense = [*model.filters, model.bias, model.weights]
-    first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
-    seen = np.full(cfg.buckets, 1e-3, np.float32)
-    step = 0
-    for _ in range(cfg.epochs):
+    dense, first, second, seen, step = _dense(model), state.first, state.second, state.seen, state.step
+    for epoch in range(epochs.stop):
         order = rng.permutation(len(docs))
+        if epoch < epochs.start:  # of an earlier round
+            continue
         for at in range(0, len(order), cfg.batch):
             step += 1
             pick = order[at : at + cfg.batch]
@@ -296,63 +500,98 @@ def _train(model: ToxicityModel, docs: list[np.ndarray], parts: np.ndarray, y: n
             np.add.at(total, inverse, move[keep])
             seen[unique] += (total * total).mean(axis=1)
             model.embedding[unique] -= 3 * cfg.rate * total / np.sqrt(seen[unique])[:, None]
+    state.step = step
 
 
-def _calibrate(model: ToxicityModel, z: np.ndarray, y: np.ndarray, langs: list, share: float) -> None:
-    """Platt scaling weighted to the share of toxic labels, then a threshold for each language."""
+def _calibrate(model: ToxicityModel, scored: DataFrame, share: float) -> None:
+    """Platt scaling weighted to the share of toxic labels, then a threshold for each language.
+
+    ``scored`` has lang, toxic and z of all calibration rows; what is read of them are sums.
+    """
     cfg = model.config
-    if not (y.any() and (1 - y).any()):
+    z, y = F.col("z"), F.col("toxic")
+    n, toxic, spread = scored.agg(F.count(y), F.sum(y), F.stddev_pop(z)).first()
+    if not n or not 0 < toxic < n:
         return
-    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    spread = float(z.std()) or 1.0
-    a, b = 1.0 / spread, float(np.log(share / (1 - share))) if share < 1 else 0.0
+    toxic /= n
+    weight = F.when(y == 1, F.lit(share / toxic)).otherwise(F.lit((1 - share) / (1 - toxic)))
+
+    def probability(a: float, b: float) -> Column:
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) * z + F.lit(b)))))
+
+    a, b = 1.0 / (spread or 1.0), float(np.log(share / (1 - share))) if share < 1 else 0.0
     for _ in range(50):  # Newton steps with a little damping
-        p = sigmoid(a * z + b)
-        g = np.array([(weight * (p - y) * z).sum() + 0.1 * a, (weight * (p - y)).sum()])
-        h = weight * p * (1 - p)
-        hess = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
-        move = np.linalg.solve(hess, g)
-        a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
+        p = probability(a, b)
+        gap, h = weight * (p - y), weight * p * (1 - p)
+        gz, g, hzz, hz, hs = scored.agg(F.sum(gap * z), F.sum(gap), F.sum(h * z * z), F.sum(h * z), F.sum(h)).first()
+        hess = np.array([[hzz + 0.1, hz], [hz, hs + 1e-3]])
+        move = np.clip(np.linalg.solve(hess, np.array([gz + 0.1 * a, g])), -1, 1)
+        a, b = a - move[0], b - move[1]
+        if np.abs(move).max() < 1e-9:
+            break
     if a <= 0:
         return
-    model.scale, model.shift = float(a), float(b)
-    p = sigmoid(a * z + b)
-    for name in sorted({g for g in langs if g}):
-        mine = np.array([g == name for g in langs])
-        q, truth, w = p[mine], y[mine], weight[mine]
-        if truth.sum() < cfg.least_toxic:
-            continue
+    model.scale, model.shift = round(float(a), 9), round(float(b), 9)  # sums come in any order
+    p = probability(model.scale, model.shift)
+    cuts = [float(t) for t in np.round(np.arange(0.1, 0.75, 0.05), 2)]
+    sums = [F.sum(F.when(p >= t, v).otherwise(0.0)).alias(f"{v_}{k}") for k, t in enumerate(cuts)
+            for v_, v in (("hit", weight), ("both", weight * y))]
+    by_lang = (
+        scored.filter(F.col("lang") != "").groupBy("lang")
+        .agg(F.sum(y).alias("toxic"), F.sum(weight * y).alias("truth"), *sums)
+        .filter(F.col("toxic") >= cfg.least_toxic)
+    )
+    for r in by_lang.collect():  # a row a language
         ranked = []
-        for t in np.round(np.arange(0.1, 0.75, 0.05), 2):
-            hit = q >= t
-            f1 = 2 * (w * hit * truth).sum() / max((w * hit).sum() + (w * truth).sum(), 1e-9)
-            ranked.append((float(f1), -abs(float(t) - cfg.cut), float(t)))  # ties: nearest to cut
-        model.thresholds[name] = max(ranked)[2]
+        for k, t in enumerate(cuts):
+            f1 = 2 * r[f"both{k}"] / max(r[f"hit{k}"] + r["truth"], 1e-9)
+            ranked.append((round(float(f1), 9), -abs(t - cfg.cut), t))  # ties: nearest to cut
+        model.thresholds[r["lang"]] = max(ranked)[2]
+
+
+def _calibration_scores(shards: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(lang, toxic, z) of the rows kept from training."""
+    sent = shards.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches):
+        for _, group in _by_shard(batches):
+            rows, known = _texts(group, False), _Embedded(sent.value.embedding)
+            for at, held in chunks([r["text"] for r in rows]):
+                docs = known.texts(held)
+                z = sent.value.logits(docs, known.vectors).astype(np.float64)
+                mine = rows[at : at + len(held)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["lang"] for r in mine], pa.string()), pa.array([r["toxic"] for r in mine], pa.int32()),
+                     pa.array(z, pa.float64())],
+                    names=["lang", "toxic", "z"],
+                )
+
+    return materialize(shards.mapInArrow(scored, "lang string, toxic int, z double"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Model of the labelled rows outside the held-out quarter.
+    """Model of all labelled rows outside the held-out quarter.
 
     Without toxic labels the model gives every text the score 0. Four fifths of
-    the sample train the filters, a fifth calibrates.
+    the rows train the filters, a fifth calibrates.
     """
     model = ToxicityModel.start(cfg)
-    sample, share = _sample(docs, labels, cfg)
-    y = np.array([r["toxic"] for r in sample], np.float32)
-    if not y.any() or y.all():
+    known = _known(labels)
+    counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    total = sum(counts.values())
+    met = []
+    if counts.get(1):
+        shards = _shards(docs, known, -(-total // cfg.shard_rows))
+        met = [r[0] for r in shards.select("toxic").distinct().collect()]
+    if 1 not in met or 0 not in met:
         model.weights[:] = 0
-        model.shift = 30.0 if len(y) and y.all() else -30.0
+        model.shift = 30.0 if 1 in met else -30.0
         return model
-    words = _Vocabulary()
-    docs_ = [words.numbers(r["text"] or "") for r in sample]
-    parts = np.concatenate([np.zeros((1, PARTS), np.int32), word_parts(list(words), cfg.buckets)])
-    fifth = np.array([zlib.crc32(b"part%d" % r["doc_id"]) % 5 for r in sample])
-    train, rest = np.flatnonzero(fifth != 0), np.flatnonzero(fifth == 0)
-    _train(model, [docs_[i] for i in train], parts, y[train])
-    if len(rest):
-        vectors = model.embedding[parts].sum(axis=1)
-        z = model.logits([docs_[i] for i in rest], vectors).astype(np.float64)
-        _calibrate(model, z, y[rest], [sample[i]["lang"] for i in rest], share)
+    state = _State.start(model)
+    ends = np.linspace(0, cfg.epochs, min(cfg.rounds, cfg.epochs) + 1).astype(int).tolist()
+    for start, end in zip(ends, ends[1:]):
+        _round(shards, model, state, range(start, end))
+    _calibrate(model, _calibration_scores(shards, model), counts[1] / total)
     return model
 
 

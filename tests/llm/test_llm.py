@@ -550,6 +550,19 @@ def test_toxicity_on_held_out_rows(spark, con):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A mark that only toxic rows beyond the former sample of 3,000 bear is learned, over several shards."""
+    ids = spark.range(0, 9000).withColumnRenamed("id", "doc_id").withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    drawn = ids.filter((F.col("toxic") == 1) & ~toxicity.held_out(F.col("doc_id")))
+    early = drawn.orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(3000).select("doc_id", F.lit("grumf").alias("mark"))
+    mark = F.when(F.col("toxic") == 0, "plain").otherwise(F.coalesce("mark", F.lit("zorblax")))
+    words = [F.concat(F.lit("w"), F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.lit(50)).cast("string")) for i in range(4)]
+    docs = ids.join(early, "doc_id", "left").select("doc_id", F.concat_ws(" ", *words[:2], mark, *words[2:]).alias("text"))
+    model = toxicity.fit(docs, ids, toxicity.ToxicityConfig(shard_rows=3000))
+    late, first, clean = model.score_texts(["w1 w2 zorblax w3", "w4 w5 grumf w6", "w7 w8 plain w9"])
+    assert late > 0.5 and first > 0.5 and clean < 0.3
+
+
 def test_toxicity_pieces_and_odd_rows(spark, odd, empty):
     model = toxicity.ToxicityModel.start(toxicity.ToxicityConfig(buckets=1 << 10))
     known = toxicity._Embedded(model.embedding)
