@@ -1,44 +1,52 @@
-"""Alert suppression as a stream: one kept time per (ip, severity)."""
+"""Alert suppression as a stream: one kept time per (ip, severity).
+
+A call into a stateful processor and its state costs milliseconds, whatever it brings. So keys
+share a fixed number of buckets: the processor is called once for a bucket, with the alerts of
+all its keys, and reads and writes the bucket's kept times at once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from flowloom.functions.cleaning import micros
-from flowloom.operators.suppression import scan
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "alert_seq long, ip string, severity string"
+STATE = "ip array<string>, severity array<string>, us array<bigint>"
+BUCKETS = 1024  # fixed for a checkpoint folder
+NO_SEQ = (1 << 63) - 1  # stands for a missing alert_seq, which comes last
 
 
 class LastKept(StatefulProcessor):
-    """Keeps the time of the last alert let through, across micro-batches."""
+    """Keeps the time of the last alert let through of each key of a bucket, across micro-batches."""
 
     def __init__(self, window_micros: int):
         self.window = window_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long")
+        self.last = handle.getValueState("last", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one key's alerts of one micro-batch, two numbers each
-        batch = pd.concat([r[["alert_seq", "us"]] for r in rows]).sort_values("alert_seq")
-        last = self.last.get()[0] if self.last.exists() else None
-        kept, last = scan(batch["us"].to_numpy(np.int64), last, self.window)
+        batch = pd.concat(rows).sort_values("alert_seq", kind="stable")
+        last = {}
+        if self.last.exists():
+            ips, severities, times = self.last.get()
+            last = dict(zip(zip(ips, severities), times))
+        names = [batch[c].astype(object).where(batch[c].notna(), None) for c in ("ip", "severity")]
+        kept = []
+        for i, (who, us) in enumerate(zip(zip(*names), batch["us"].tolist())):
+            before = last.get(who)
+            if before is None or us - before > self.window:
+                last[who] = us
+                kept.append(i)
         if kept:
-            self.last.update((last,))
-            yield pd.DataFrame(
-                {
-                    "alert_seq": batch["alert_seq"].to_numpy()[kept],
-                    "ip": key[0],
-                    "severity": key[1],
-                }
-            )
+            self.last.update(([ip for ip, _ in last], [severity for _, severity in last], list(last.values())))
+            yield batch.iloc[kept][["alert_seq", "ip", "severity"]]
 
     def close(self) -> None:
         pass
@@ -55,23 +63,25 @@ def suppress_stream(
 ) -> StreamingQuery:
     """Alerts (alert_seq, ip, severity, ts) that survive, in arrival order per key.
 
-    ``max_files`` bounds a micro-batch, and with it what one key can bring.
+    ``max_files`` bounds a micro-batch, and with it what one bucket can bring.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     alerts = reader.parquet(source).select(
-        "alert_seq",
+        F.pmod(F.xxhash64("ip", "severity"), F.lit(BUCKETS)).alias("bucket"),
+        F.coalesce(F.col("alert_seq").cast("long"), F.lit(NO_SEQ)).alias("alert_seq"),
         "ip",
         "severity",
         F.coalesce(micros(F.col("ts")), F.unix_micros(F.current_timestamp())).alias("us"),
     )
     return (
-        alerts.groupBy("ip", "severity")
+        alerts.groupBy("bucket")
         .transformWithStateInPandas(
             LastKept(window_seconds * 1_000_000), OUTPUT, "Append", "None"
         )
+        .withColumn("alert_seq", F.nullif("alert_seq", F.lit(NO_SEQ)))
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)

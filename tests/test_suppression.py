@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from flowloom.operators.suppression import scan, suppress
+from flowloom.streaming.suppression import LastKept
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -66,3 +68,39 @@ def test_missing_time_counts_as_now(spark):
 def test_no_window_keeps_all(spark):
     df = frame(spark, [(1, "a", 0), (2, "a", 0)])
     assert suppress(df, 0).count() == 2
+
+
+class State:
+    """A state value that counts its reads and writes."""
+
+    def __init__(self):
+        self.held, self.reads, self.writes = None, 0, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.reads += 1
+        return self.held
+
+    def update(self, value):
+        self.writes += 1
+        self.held = value
+
+
+def test_keys_of_a_bucket_share_one_state():
+    rng, state, kept = random.Random(5), State(), []
+    names = [("a", "High"), ("a", None), (None, "High"), *[(f"k{i}", "Low") for i in range(40)]]
+    alerts = [(i, rng.choice(names), i // 4 + rng.choice([0, 0, -9])) for i in range(900)]
+    processor = LastKept(6)
+    processor.init(state)
+    for at in (0, 300, 600):
+        part = pd.DataFrame([(i, *who, t) for i, who, t in alerts[at : at + 300]], columns=["alert_seq", "ip", "severity", "us"])
+        for found in processor.handleInputRows((7,), iter([part[150:], part[:150]]), None):
+            kept += found["alert_seq"].tolist()
+            assert found.columns.tolist() == ["alert_seq", "ip", "severity"]
+    assert sorted(kept) == loop(alerts, 6)
+    assert state.reads <= 2 and state.writes <= 3
