@@ -2,10 +2,13 @@
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowloom import catalog
+from flowloom.catalog.models import packet_labelled
 from flowloom.operators import features, governance, isolation, metrics, models, packets, retention, sampling, schema, traffic
 from flowloom.plans.detect import detect
 from flowloom.plans.prepare import prepare
@@ -115,6 +118,29 @@ def test_sequences_are_padded(packet_rows):
     assert not r.found and sum(map(sum, r.sequence)) == 0
 
 
+def test_packet_channel_joins_once_and_takes_short_sequences(spark, tmp_path):
+    """The scores are made from kept rows, not from the table again; short sequences score like padded ones."""
+    spark.range(400).selectExpr(
+        "id div 4 AS l_orderkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber", "date_add(DATE'2020-01-01', CAST(id % 90 AS INT)) AS l_shipdate",
+        "id * 7 AS l_partkey", "id % 10 AS l_suppkey", "CAST(id % 50 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice",
+        "CASE WHEN id div 4 % 3 = 0 THEN 'R' ELSE 'A' END AS l_returnflag", "'F' AS l_linestatus",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    scored = catalog.load()[0]["packet_channel"](spark, str(tmp_path))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Exchange" not in plan and "Join" not in plan
+    assert scored.count() == 100
+
+    p, f = packet_labelled(spark, str(tmp_path))
+    f = f.select("flow_key", "is_attack").unionByName(spark.createDataFrame([("none", 0)], "flow_key string, is_attack int"))
+    short = packets.join_sequences(f, packets.packet_sequences(p, padded=False), padded=False)
+    padded = packets.join_sequences(f, packets.packet_sequences(p))
+    assert {len(r.sequence) for r in short.collect()} == {0, 4} and {len(r.sequence) for r in padded.collect()} == {16}
+    ch = models.fit_packets(short, replace(Settings(), fit_iterations=3))
+    assert sorted(ch.score(short).select("flow_key", "found", ch.out).collect()) == sorted(
+        ch.score(padded).select("flow_key", "found", ch.out).collect()
+    )
+
+
 def test_rank_limit_runs_before_the_shuffle(packet_rows):
     plan = packets.first_packets(packets.with_packet_key(packet_rows), 16)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
