@@ -13,6 +13,7 @@ from flowloom.operators import features, governance, isolation, metrics, models,
 from flowloom.plans.detect import detect
 from flowloom.plans.prepare import prepare
 from flowloom.plans.retrain import retrain_once
+from flowloom.session import COALESCE, materialize
 from flowloom.settings import Settings
 from flowloom.streaming import progress
 
@@ -141,6 +142,15 @@ def test_packet_channel_joins_once_and_takes_short_sequences(spark, tmp_path):
     )
 
 
+def test_kept_rows_can_stay_in_their_shuffle_partitions(spark):
+    """A fit adds up partition by partition: kept rows are laid out as a cached table has them."""
+    few = spark.range(100).groupBy((F.col("id") % 50).alias("k")).count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coalesce = spark.conf.get(COALESCE)
+    assert materialize(few, coalesced=False).rdd.getNumPartitions() == parts
+    assert spark.conf.get(COALESCE) == coalesce
+
+
 def test_rank_limit_runs_before_the_shuffle(packet_rows):
     plan = packets.first_packets(packets.with_packet_key(packet_rows), 16)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
