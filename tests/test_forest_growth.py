@@ -38,6 +38,12 @@ def test_bags_grow_beyond_the_former_bound_of_rows(spark):
     assert whole_bags(root_values(ch), 230_000)
 
 
+def test_header_channel_bags_hold_all_rows(spark):
+    df = table(spark, ROWS).withColumn("header_bytes", F.unhex(F.repeat(F.substring(F.sha2(F.col("row_id").cast("string"), 256), 1, 64), 30)))
+    ch = models.fit_header(df, Settings(forest_trees=3, header_depth=1))
+    assert whole_bags(root_values(ch), ROWS)
+
+
 def odd_rows(spark, rows=6000):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(rows, 5)).round(2)
