@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators import forest, forest_growth, models
+from flowloom.plans.retrain import retrain_once
 from flowloom.settings import Settings
 
 ROWS = 40_000  # a bag was at most 32,768 of them
@@ -44,6 +45,15 @@ def test_header_channel_bags_hold_all_rows(spark):
     assert whole_bags(root_values(ch), ROWS)
 
 
+def test_retraining_bags_hold_all_rows(spark, tmp_path):
+    df = table(spark, 50_000).withColumn("Timestamp", F.timestamp_seconds("row_id"))
+    cfg = Settings(min_retrain_rows=100, forest_trees=3, forest_depth=2, isolation_trees=5)
+    done = retrain_once(df, str(tmp_path / "r"), ["a", "b"], cfg, deep=False).first()
+    assert done.result == "ok" and "random_forest=accepted" in done.decisions
+    path = next((tmp_path / "r" / "models" / "random_forest").iterdir())
+    assert whole_bags(root_values(models.Channel.load(spark, str(path))), 40_000)
+
+
 def odd_rows(spark, rows=6000):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(rows, 5)).round(2)
